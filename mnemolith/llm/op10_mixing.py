@@ -4,8 +4,8 @@ Every source has a target number of words. A document of a source is to be taken
 the whole part is taken for certain and the rest is a fractional copy. Fractional copies are paired, and words are moved
 at random from one to the other until one of the two is integral: the words taken in a pair never change, and each
 copy's expectation stays what it was. Within a chunk of a source this leaves one fractional copy at most; the left-over
-copies of the chunks are paired in turn in a reduction tree, until each source has one, which is rounded on its own. So a
-source misses its target by less than one document.
+copies of the chunks are paired in turn in a reduction tree, until each source has one, which is rounded to the nearer
+number. So a source misses its target by half a document at most.
 
 Defined results: a null text has size 0; a document of size 0 is rounded on its own by its fraction, as it cannot move
 words; the null source is one source, after all others; rows are told apart by id and text, and rows equal in both are
@@ -127,8 +127,7 @@ def dependent_rounding(units: DataFrame, most_chunks: int) -> DataFrame:
             break
         most_chunks, level = -(-most_chunks // FANIN), level + 1
         rows = left.withColumn("chunk", F.expr(f"chunk div {FANIN}"))
-    alone = F.pmod(F.xxhash64("order_key", F.lit(-1)), F.lit(1 << 30)) / (1 << 30)
-    done = done.unionByName(left.withColumn("share", F.when(alone < F.col("share"), 1.0).otherwise(0.0)))
+    done = done.unionByName(left.withColumn("share", F.round("share")))
     return done.select("part", "doc_key", "doc_id", "size", (F.col("whole") + F.col("share").cast("long")).alias("copies"))
 
 

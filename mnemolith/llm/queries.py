@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op1_line_dedup as op1
+from . import op8_token_counts as op8
 from .op2_transport_stream import op2_transport_stream
 from .op3_token_files import op3_token_files
 from .op6_sentencepiece import op6_sentencepiece
+from .op5_toxicity import op5_toxicity
+from .op7_fingerprints import op7_fingerprints
+from .op9_quality import op9_quality
 from .op10_mixing import op10_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1.op1_line_dedup,
     "op2_transport_stream": op2_transport_stream,
     "op3_token_files": op3_token_files,
+    "op5_toxicity": op5_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_token_counts": op8.op8_token_counts,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": op1.SQL, "op8_token_counts": op8.SQL}
