@@ -134,30 +134,49 @@ def train_toxicity(docs: DataFrame, labelled: DataFrame, *, folds: int = FOLDS,
     return NoisyOr.fit(sample_features(sample), stands_for)
 
 
+class SentenceScores:
+    """Scores of a text: the document's, how many sentences it has, which is the worst, and that one's."""
+
+    def __init__(self, model: NoisyOr):
+        # A token's weight, and as the imaginary part whether a sentence ends with it.
+        self.known, self.bias = WordCache(lambda t: complex(model.token_weight(t), t.endswith(ENDS)), 500_000), model.bias
+
+    def __call__(self, text: str | None) -> tuple[float, int, int, float]:
+        lines = [line.split() for line in (text or "").split("\n")]
+        tokens = [t for line in lines for t in line]
+        found = np.fromiter(map(self.known.__getitem__, tokens), complex, len(tokens))
+        ends = found.imag > 0
+        ends[np.cumsum([len(line) for line in lines if line], dtype=np.int64) - 1] = True
+        starts = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]).astype(np.int64)
+        z = (np.add.reduceat(found.real, starts) if len(tokens) else np.zeros(1)) + self.bias
+        return float(-np.expm1(-np.logaddexp(0, z).sum())), len(z), int(z.argmax()), float(1 / (1 + np.exp(-z.max())))
+
+
 def score_toxicity(docs: DataFrame, model: NoisyOr) -> DataFrame:
     """(doc_id, score, n_sentences, worst_sentence, worst_score): sentences are counted from 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # A token's weight, and as the imaginary part whether a sentence ends with it.
-        known = WordCache(lambda t: complex(model.token_weight(t), t.endswith(ENDS)), 500_000)
+        score = SentenceScores(model)
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                lines = [line.split() for line in (text or "").split("\n")]
-                tokens = [t for line in lines for t in line]
-                found = np.fromiter(map(known.__getitem__, tokens), complex, len(tokens))
-                ends = found.imag > 0
-                ends[np.cumsum([len(line) for line in lines if line], dtype=np.int64) - 1] = True
-                starts = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]).astype(np.int64)
-                z = (np.add.reduceat(found.real, starts) if len(tokens) else np.zeros(1)) + model.bias
-                out.append((float(-np.expm1(-np.logaddexp(0, z).sum())), len(z), int(z.argmax()), float(1 / (1 + np.exp(-z.max())))))
-            scores = pd.DataFrame(out, columns=["score", "n_sentences", "worst_sentence", "worst_score"])
+            scores = pd.DataFrame([score(t) for t in batch["text"]], columns=["score", "n_sentences", "worst_sentence", "worst_score"])
             scores.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield scores
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(run, "doc_id long, score double, n_sentences long, worst_sentence long, worst_score double")
 
 
+def drop_toxic(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose score reaches the threshold."""
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = SentenceScores(model)
+        for texts in parts:
+            yield pd.Series([one(t)[0] for t in texts], dtype=float)
+
+    return docs.where(score("text") < threshold)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scores = score_toxicity(docs, train_toxicity(docs, labels(spark, sf_dir)))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op1_line_dedup as op1
+from . import op4_near_dedup as op4
 from . import op8_token_counts as op8
 from .op2_transport_stream import op2_transport_stream
 from .op3_token_files import op3_token_files
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1.op1_line_dedup,
     "op2_transport_stream": op2_transport_stream,
     "op3_token_files": op3_token_files,
+    "op4_near_dedup": op4.op4_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_fingerprints": op7_fingerprints,
@@ -28,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": op1.SQL, "op8_token_counts": op8.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": op1.SQL, "op4_near_dedup": op4.SQL, "op8_token_counts": op8.SQL}
