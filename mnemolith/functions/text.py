@@ -127,7 +127,7 @@ def token_f1(retrieved: Column, truth: Column) -> Column:
     """F1 of the two bags of words; 0 if either is empty or nothing is shared."""
     a, b = eval_words(retrieved), eval_words(truth)
     count = lambda bag, w: F.size(F.filter(bag, lambda x: x == w))
-    shared = F.aggregate(F.transform(F.array_distinct(a), lambda w: F.least(count(a, w), count(b, w))), F.lit(0), lambda s, x: s + x)
+    shared = F.aggregate(F.transform(F.array_intersect(a, b), lambda w: F.least(count(a, w), count(b, w))), F.lit(0), lambda s, x: s + x)
     return F.when(shared == 0, 0.0).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
 
 

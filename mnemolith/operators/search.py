@@ -41,22 +41,17 @@ def similar_pairs(vectors: DataFrame, threshold: float, blocks: int) -> DataFram
     def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, y = key
         left, right = rows[rows["block"] == x], rows[rows["block"] == y]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "score": []})
-        unit = lambda f: (m := np.stack(f["embedding"].to_list()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
         found = []
-        u, v = unit(left), unit(right)
-        for at in range(0, len(a), 1024):
-            scores = u[at : at + 1024] @ v.T
-            i, j = np.nonzero(scores > threshold)
-            found.append(pd.DataFrame({"a": a[at + i], "b": b[j], "score": scores[i, j]}))
-        out = pd.concat(found)
-        if x == y:
-            return out[out["a"] < out["b"]]
-        swap = out["a"] > out["b"]
-        out.loc[swap, ["a", "b"]] = out.loc[swap, ["b", "a"]].to_numpy()
-        return out
+        if len(left) and len(right):
+            unit = lambda f: (m := np.stack(f["embedding"].to_list()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            u, v, a, b = unit(left), unit(right), left["id"].tolist(), right["id"].tolist()
+            for at in range(0, len(a), 1024):
+                scores = u[at : at + 1024] @ v.T
+                for i, j in zip(*np.nonzero(scores > threshold), strict=True):
+                    first, second = a[at + i], b[j]
+                    if x != y or first < second:
+                        found.append((min(first, second), max(first, second), float(scores[i, j])))
+        return pd.DataFrame(found, columns=["a", "b", "score"])
 
     return dealt.groupBy("x", "y").applyInPandas(product, f"a {kind}, b {kind}, score double")
 

@@ -36,7 +36,9 @@ def chain_of(memories: DataFrame, key, depth: int = 100) -> DataFrame:
         at = row["supersedes_id"]
         if at is None:
             break
-    order = F.array_position(F.array(*[F.lit(i) for i in seen]), F.col("id")) if seen else F.lit(0)
+    if not seen:
+        return memories.limit(0)
+    order = F.array_position(F.array(*[F.lit(i) for i in seen]), F.col("id"))
     return memories.where(F.col("id").isin(seen)).orderBy(order)
 
 

@@ -49,7 +49,7 @@ def write_csv(memories: DataFrame, path: str) -> None:
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(file, text) of all Markdown files below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown}").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,markdown}")
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
@@ -96,7 +96,7 @@ def dmr(spark: SparkSession, path: str) -> DataFrame:
 def parse_llm_memories(text):
     """A model's answer as an array of memories: a JSON array, or an object with one under ``memories``."""
     item = "array<struct<type:string,content:string,confidence:double,tags:array<string>>>"
-    return F.coalesce(F.from_json(text, item), F.from_json(text, f"memories {item}")["memories"])
+    return F.when(F.startswith(trimmed(text), F.lit("[")), F.from_json(text, item)).otherwise(F.from_json(text, f"memories {item}")["memories"])
 
 
 def lenient_timestamp(text):

@@ -52,7 +52,7 @@ def stream_latest(log: DataFrame) -> DataFrame:
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, best = (state.get[0] if state.exists else -1), None
         for rows in parts:
-            for row in rows.sort_values(["updated_at", "seq"], ascending=[True, False]).itertuples(index=False):
+            for row in rows.sort_values(["updated_at", "seq"]).itertuples(index=False):
                 at = row.updated_at.value // 1000
                 if at > seen:
                     seen, best = at, row
