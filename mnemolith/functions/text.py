@@ -160,3 +160,8 @@ def parse_store_output(text: Column) -> Column:
     low = F.lower(text)
     status = F.when(F.contains(low, F.lit("duplicate")) | F.contains(low, F.lit("skip")), "skipped").when(F.contains(low, F.lit("updat")), "updated").when(uuid != "", "created")
     return F.struct(status.alias("status"), F.nullif(uuid, F.lit("")).alias("id"))
+
+
+def metadata_json(text: Column) -> Column:
+    """The text if it is JSON, else null."""
+    return F.when(F.try_parse_json(text).isNotNull(), text)

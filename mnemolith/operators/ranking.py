@@ -126,3 +126,15 @@ def touch(memories: DataFrame, returned: DataFrame, now: datetime) -> DataFrame:
     """``memories`` with the returned ids counted as accessed now."""
     hit = returned.select("id", F.lit(True).alias("__hit")).distinct()
     return memories.join(hit, "id", "left").withColumn("access_count", F.col("access_count") + F.when(F.col("__hit"), 1).otherwise(0)).withColumn("last_accessed", F.when(F.col("__hit"), F.lit(now)).otherwise(F.col("last_accessed"))).drop("__hit")
+
+
+def community_sweep(results: DataFrame, query: str, seeds: DataFrame, labels: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, score, swept): ``results`` (id, score) and, if the query has fewer than ten words and meets just one entity of ``seeds`` (id), the other memories of its community, each as if first in a list."""
+    base = results.select("id", "score", F.lit(False).alias("swept"))
+    if len(query.split()) >= 10:
+        return base
+    single = seeds.select("id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("entity_id")).where("n = 1").select("entity_id")
+    mine = labels.join(F.broadcast(single), "entity_id").select("community")
+    members = labels.join(F.broadcast(mine), "community").select(F.col("entity_id").alias("id"))
+    found = entities.join(members, "id").select(F.explode("memory_ids").alias("id")).distinct().join(results.select("id"), "id", "left_anti")
+    return base.unionByName(found.select("id", F.lit(1.0 / (RRF + 1)).alias("score"), F.lit(True).alias("swept")))

@@ -55,3 +55,11 @@ def summary(memories: DataFrame, now: datetime) -> DataFrame:
         F.count_if(F.col("embedding").isNull() | (F.size("embedding") <= 0)).alias("without_embedding"),
         (F.count(F.lit(1)) * VECTOR_BYTES).alias("storage_bytes"),
     )
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, object]:
+    """``df`` and an observation that has the count of its rows once they have been used."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -154,3 +155,45 @@ def import_cleanse(rows: DataFrame, now: datetime) -> DataFrame:
     for c in ("created_at", "updated_at", "last_accessed"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(now)))
     return out
+
+
+def batch_dedup(incoming: DataFrame, stored: DataFrame, threshold: float = DEDUP, blocks: int = 8) -> DataFrame:
+    """(id, status, existing_id) of (id, seq, content, embedding), where each row also sees what earlier ones made of the store.
+
+    A row joins the most alike record at or above the threshold and takes its place if it is longer; else it is a new record. Only
+    rows that alike pairs connect affect each other, so each such group is worked through in order on its own."""
+    from .graph import communities
+    from .search import similar_pairs
+
+    text = lambda c: F.col(c).cast("string")
+    name = lambda mark, df: df.select(F.concat(F.lit(mark), text("id")).alias("id"), "embedding", F.octet_length("content").alias("size"))
+    every = name("n:", incoming).unionByName(name("s:", stored))
+    pairs = similar_pairs(every, threshold - 1e-12, blocks).where("a like 'n:%' or b like 'n:%'").persist()
+    edges = pairs.select(F.concat_ws(" ", "a", "b").alias("id"), F.col("a").alias("source_entity_id"), F.col("b").alias("target_entity_id"), F.lit(None).cast("timestamp").alias("expired_at"), F.array().cast("array<string>").alias("source_memory_ids"))
+    groups = communities(edges)
+    order = incoming.select(F.concat(F.lit("n:"), text("id")).alias("id"), "seq")
+    members = every.select("id", "size").join(order, "id", "left").join(groups.withColumnRenamed("entity_id", "id"), "id")
+    linked = pairs.join(groups.select(F.col("entity_id").alias("pair_key"), F.col("community").alias("pair_community")), F.col("a") == F.col("pair_key")).select("pair_community", "a", "b", "score")
+
+    def work(rows: pd.DataFrame, alike: pd.DataFrame) -> pd.DataFrame:
+        score = {}
+        for a, b, s in zip(alike["a"], alike["b"], alike["score"], strict=True):
+            score[a, b] = score[b, a] = s
+        size = dict(zip(rows["id"], rows["size"], strict=True))
+        slots = {i: i for i in rows["id"] if i.startswith("s:")}  # record -> the row whose vector and content it has now
+        out = []
+        for i in rows[rows["id"].str.startswith("n:")].sort_values(["seq", "id"])["id"]:
+            best = max(((score[i, now], slot) for slot, now in slots.items() if (i, now) in score), key=lambda x: (x[0], x[1]), default=None)
+            if best is None:
+                slots[i] = i
+                out.append((i[2:], "created", None))
+            elif size[i] > size[slots[best[1]]]:
+                slots[best[1]] = i
+                out.append((i[2:], "updated", best[1][2:]))
+            else:
+                out.append((i[2:], "duplicate", best[1][2:]))
+        return pd.DataFrame(out, columns=["id", "status", "existing_id"])
+
+    done = members.groupBy("community").cogroup(linked.groupBy("pair_community")).applyInPandas(work, "id string, status string, existing_id string")
+    alone = incoming.select(text("id").alias("id")).join(done.select("id"), "id", "left_anti")
+    return done.unionByName(alone.select("id", F.lit("created").alias("status"), F.lit(None).cast("string").alias("existing_id")))

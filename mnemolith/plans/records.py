@@ -9,12 +9,13 @@ from ..functions import text as X
 from ..operators import graph, lifecycle, stats, versions, writes
 from ..operators.chunks import pieces
 from ..operators.filters import SearchFilters
-from ..operators.search import similar_pairs
+from ..operators.ranking import community_sweep
+from ..operators.search import knn, seed_entities, similar_pairs
 from ..sources import files
 from ..sources import tables as T
 from ..streaming import wal
 from .registry import query
-from .retrieval import COSINE, CURRENT, EDGES, ENT, ESTIMATE, FAC, HOPS, SEED_ROWS, TURNS, M, probe, seeds
+from .retrieval import COSINE, CURRENT, EDGES, ENT, ESTIMATE, FAC, HOPS, SEED_ROWS, TOP, TURNS, M, probe, seeds
 
 NOW = "TIMESTAMP '2024-02-01'"
 TTL = f"scope = 'ttl' AND ttl_seconds > 0 AND {NOW} > created_at + to_seconds(ttl_seconds)"
@@ -108,6 +109,28 @@ def community_memories(spark, sf_dir):
     return graph.community_memories(T.entities(spark, sf_dir), labels, mine)
 
 
+@query(
+    """SELECT id, round(score, 6) AS score, swept FROM (
+      SELECT id, score, false AS swept FROM top
+      UNION ALL SELECT DISTINCT m, 1.0::double / 61, true FROM (SELECT unnest(memory_ids) AS m FROM entities WHERE id IN (SELECT source_entity_id FROM facts WHERE relation_type IN ('BASED_IN', 'LOCATED_IN') AND target_entity_id IN (SELECT id FROM region_of WHERE r = 'r3') UNION SELECT id FROM region_of WHERE r = 'r3' UNION SELECT 'r3')) WHERE m NOT IN (SELECT id FROM top))""",
+    (M, ENT, FAC, TOP, COMMUNITIES),
+)
+def recall_community(spark, sf_dir):
+    """The nearest memories, and those of the only entity's community: the name of region 3 is asked for."""
+    memories, entities = T.memories(spark, sf_dir), T.entities(spark, sf_dir)
+    name = T.read(spark, sf_dir, "region").where("r_regionkey = 3").first()["r_name"]
+    near = knn(memories, probe(spark, sf_dir), 50).select("id", "score")
+    swept = community_sweep(near, f"what of {name}", seed_entities(entities, f"what of {name}"), communities(spark, sf_dir), entities)
+    return swept.select("id", F.round("score", 6).alias("score"), "swept")
+
+
+@query()
+def batch_dedup(spark, sf_dir):
+    rows = T.memories(spark, sf_dir).where("embedding is not null")
+    new = rows.where("id % 10 = 7").withColumn("seq", F.col("id"))
+    return writes.batch_dedup(new, rows.where("id % 10 <> 7"), 0.35)
+
+
 @query("SELECT relation_type, CASE WHEN upper(trim(relation_type)) IN ('LOCATED_IN', 'BASED_IN', 'PART_OF', 'USES') THEN upper(trim(relation_type)) ELSE 'RELATES_TO' END AS label, count(*) AS n FROM facts GROUP BY ALL", (FAC,))
 def relation_migration(spark, sf_dir):
     return graph.migrate_relations(T.facts(spark, sf_dir).withColumn("label", F.lit("RELATES_TO"))).groupBy("relation_type", "label").agg(F.count(F.lit(1)).alias("n"))

@@ -83,3 +83,8 @@ def last_of_role(turns: DataFrame) -> DataFrame:
     """(conv_id, user_msg, assistant_msg): the last text of each role."""
     of = lambda role: F.max_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn"))).alias(f"{role}_msg")
     return turns.groupBy("conv_id").agg(of("user"), of("assistant"))
+
+
+def enqueue_all(memories: DataFrame, now) -> DataFrame:
+    """Log entries that have all memories worked on again."""
+    return memories.select(F.sha2(F.concat(F.lit("rebuild:"), F.col("id").cast("string")), 256).alias("id"), F.col("id").alias("memory_id"), "content", "project", F.lit(now).alias("enqueued_at"), F.lit(0).alias("attempts"), F.lit("pending").alias("state"), F.lit(now).alias("updated_at"))

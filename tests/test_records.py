@@ -249,3 +249,32 @@ def test_files(spark, tmp_path):
     assert [(r["type"], r["confidence"], r["error"]) for r in files.validate_batch(batch).collect()] == [("fact", 0.9, None), ("fact", 0.5, "content is too short"), ("odd", 0.5, "unknown type")]
     llm = spark.createDataFrame([('[{"type":"fact","content":"x"}]',), ('{"memories":[{"content":"y"}]}',)], "t string")
     assert [r[0][0]["content"] for r in llm.select(files.parse_llm_memories(F.col("t"))).collect()] == ["x", "y"]
+
+
+def test_batch_dedup_sees_earlier_rows(spark):
+    stored = table(spark, {"id": "s1", "embedding": [1.0, 0.0, 0.0], "content": "short"})
+    rows = [("a", [0.0, 1.0, 0.0], "a new record"), ("b", [0.0, 1.0, 0.05], "b"), ("c", [0.0, 1.0, 0.01], "c is longer than the first"), ("d", [1.0, 0.05, 0.0], "x"), ("e", [0.0, 0.0, 1.0], "alone")]
+    new = table(spark, *[{"id": i, "embedding": e, "content": c} for i, e, c in rows])
+    got = {r["id"]: (r["status"], r["existing_id"]) for r in writes.batch_dedup(new.withColumn("seq", F.col("id")), stored).collect()}
+    assert got == {"a": ("created", None), "b": ("duplicate", "a"), "c": ("updated", "a"), "d": ("duplicate", "s1"), "e": ("created", None)}
+
+
+def test_rebuild_and_counters(spark):
+    df = table(spark, {"id": "a"}, {"id": "b"})
+    assert wal.enqueue_all(df, NOW).where("state = 'pending'").count() == 2
+    rows, seen = stats.observed(df, "rows seen")
+    rows.collect()
+    assert seen.get["rows"] == 2
+
+
+def test_times():
+    from mnemolith.functions.times import parse_duration, parse_time
+
+    assert parse_duration("1d12h") == timedelta(days=1, hours=12) and parse_duration("-1.5m") == timedelta(seconds=-90) and parse_duration("0") == timedelta(0)
+    for bad in ("", "5", "h", "1x", "1h 2m"):
+        with pytest.raises(ValueError):
+            parse_duration(bad)
+    assert parse_time("2024-01-05", NOW, end_of_day=True) == datetime(2024, 1, 5, 23, 59, 59)
+    assert parse_time("2024-01-05T02:00:00+02:00", NOW) == datetime(2024, 1, 5) and parse_time("2d", NOW) == NOW - timedelta(days=2)
+    with pytest.raises(ValueError):
+        parse_time("-2d", NOW)
