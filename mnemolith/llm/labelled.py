@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that training takes at most, half of them with each label where there are so many.
-TRAINING_ROWS = 6000
+TRAINING_ROWS = 4000
 
 
 def fold(doc_id: Column, folds: int) -> Column:

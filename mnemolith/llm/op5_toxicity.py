@@ -30,8 +30,8 @@ from .word_cache import WordCache
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 #: Lengths of the word beginnings that are features besides the word.
 BEGINNINGS = (3, 4, 5, 6, 7)
-#: Sampled documents that a feature must be in.
-LEAST_DOCS = 3
+#: Sampled documents that a feature must be in; occurrences that one step of the training works on at once.
+LEAST_DOCS, BLOCK = 3, 1 << 20
 EDGES = ".,;:!?\"'()[]{}|$%&*#-_"
 ENDS = (".", "!", "?")
 
@@ -80,28 +80,31 @@ class NoisyOr:
             return cls({}, 0.0 if docs and docs[0][2] else -40.0)
         keys, counts = np.unique(np.concatenate([np.unique(d[0]) for d in docs]), return_counts=True)
         keys = keys[counts >= LEAST_DOCS]
-        every = np.concatenate([d[0] for d in docs])
-        per_sentence = np.concatenate([d[1] for d in docs]).astype(np.int64)
         per_doc = np.array([len(d[1]) for d in docs])
         y = np.array([d[2] for d in docs], dtype=float)
         importance = np.where(y == 1, stands_for[1], stands_for[0])
         importance /= importance.sum()
-        place = np.searchsorted(keys, every)
-        known = (place < len(keys)) & (keys[np.minimum(place, max(len(keys) - 1, 0))] == every) if len(keys) else np.zeros(len(every), bool)
-        features, sentence_of = place[known], np.repeat(np.arange(len(per_sentence)), per_sentence)[known]
         doc_of = np.repeat(np.arange(len(docs)), per_doc)
+        features, sentence_of = cls._occurrences(docs, keys, per_doc)
+        blocks = [slice(i, i + BLOCK) for i in range(0, len(features), BLOCK)]
+
+        def sentence_sums(w: np.ndarray) -> np.ndarray:
+            return sum((np.bincount(sentence_of[b], w[features[b]], len(doc_of)) for b in blocks), np.zeros(len(doc_of)))
+
+        def feature_sums(of_sentence: np.ndarray) -> np.ndarray:
+            return sum((np.bincount(features[b], of_sentence[sentence_of[b]], len(keys)) for b in blocks), np.zeros(len(keys)))
+
         weights, bias = np.zeros(len(keys)), float(np.log(max((importance * y).sum(), 1e-4) / per_doc.mean()))
         ahead, bias_ahead, speed = weights, bias, 1.0
         # A feature's curvature is at most its importance summed over its occurrences; steps are that much smaller.
-        mass = np.bincount(features, (importance * (0.2 + y))[doc_of[sentence_of]], len(keys)) + 1e-3
+        step = rate / np.sqrt(feature_sums((importance * (0.2 + y))[doc_of]) + 1e-3)
         for _ in range(epochs):
-            z = np.bincount(sentence_of, ahead[features], len(per_sentence)) + bias_ahead
+            z = sentence_sums(ahead) + bias_ahead
             clear = np.bincount(doc_of, np.logaddexp(0, z), len(docs))
             hit = np.maximum(-np.expm1(-clear), 1e-9)
             push = np.where(y == 1, -np.exp(-clear) / hit, 1.0) * importance
             grad_z = push[doc_of] / (1 + np.exp(-np.clip(z, -40, 40)))
-            step = rate / np.sqrt(mass)
-            new = ahead - step * np.bincount(features, grad_z[sentence_of], len(keys))
+            new = ahead - step * feature_sums(grad_z)
             new = np.sign(new) * np.maximum(np.abs(new) - step * shrink / len(docs), 0)
             new_bias = bias_ahead - 0.5 * float(grad_z.sum())
             faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
@@ -111,6 +114,18 @@ class NoisyOr:
         kept = np.flatnonzero(weights)
         return cls(dict(zip(keys[kept].tolist(), weights[kept].tolist(), strict=True)), float(bias))
 
+    @staticmethod
+    def _occurrences(docs: list[tuple[np.ndarray, np.ndarray, int]], keys: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``keys`` and number of the sentence of every occurrence of a feature that is in ``keys``."""
+        features, sentence_of = [], []
+        for (found, sizes, _), first in zip(docs, np.cumsum(per_doc) - per_doc, strict=True):
+            place = np.searchsorted(keys, found)
+            place[place == len(keys)] = 0
+            known = keys[place] == found if len(keys) else np.zeros(len(found), dtype=bool)
+            features.append(place[known].astype(np.int32))
+            sentence_of.append((first + np.repeat(np.arange(len(sizes)), sizes))[known].astype(np.int32))
+        return np.concatenate(features), np.concatenate(sentence_of)
+
 
 def sample_features(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Features of the (bounded) training sample, made on the executors."""
