@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, scratch_path
+from .common import WORD, cut, documents, scratch_path
 
 KEY = ["source", "lang", "tokenizer"]
 PARTS = r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
@@ -70,7 +70,7 @@ def document_history(docs: DataFrame) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = document_history(documents(spark, sf_dir))
+    history = cut(document_history(documents(spark, sf_dir)), "token-changes")
     rollup = Rollup(spark, scratch_path(spark, "token-counts"))
     rollup.commit(history)
     rollup.commit(history.where("batch = 2"))  # delivered again
