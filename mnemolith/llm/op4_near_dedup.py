@@ -9,9 +9,13 @@ the threshold; a component is what links reach.
 3. A pair's signatures are compared batch by batch. With m of n positions equal and a uniform prior, the similarity has
    a Beta(m + 1, n - m + 1) posterior; the pair is dropped once the posterior chance of reaching the threshold is below
    ``MISS``. Survivors are confirmed on their full sets.
-4. What the centres missed is settled exactly. For a node of large buckets, let u be how many of its shingles no other
-   such node has. These can't be in an intersection, which bounds the similarity of any pair. Pairs of a large bucket that
-   are in different components so far and whose bound reaches the threshold go through step 3 as well.
+4. What the centres missed is settled exactly. Large buckets that share nodes make a family, and a family gets a core: the
+   shingles that most of a few of its members have. A member's difference D is what it lacks of the core or has besides.
+   With S = (100 + t) |D| - (100 - t) n, two members of n and n' shingles reach t per cent if and only if
+   S + S' <= 2 (100 + t) |D and D'|. So all whose S and the family's least S sum to 0 or less are linked to the member
+   that has the least; and all other links need a common element of the differences, which are short: members of different components
+   are joined on those, and links are the pairs with enough of them. A member's elements that no other has can't be common, which leaves out most
+   pairs within the join. Any core gives right results; a good one short differences.
 5. Components come from alternating star operations on the link table.
 
 Chances of a miss: a pair at the threshold shares no band with a chance of 3e-7 (26 bands of 5), and is pruned with a chance of about ``MISS``.
@@ -31,7 +35,8 @@ from math import exp, lgamma, log
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, documents
@@ -43,8 +48,8 @@ BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
 MISS = 1e-7
 BATCH = 26
-#: Nodes of a bucket up to which all its pairs are compared.
-SMALL_BUCKET = 24
+#: Nodes of a bucket up to which all its pairs are compared; members that a family's core is made from.
+SMALL_BUCKET, CORE_SAMPLE = 24, 64
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,10 +181,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(linked("set_a", "set_b")).select("a", "b")
 
 
-def within_bound(threshold: int) -> Column:
-    """Whether sizes and unshared shingles of two nodes allow a similarity at the threshold."""
-    shared = F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2"))
-    return shared * 100 >= (F.col("n") + F.col("n2") - shared) * threshold
+def differences(sets: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
+    """(node, fam, d, m, s) of every member of (node, fam): its difference from the family's core, how many elements of that
+    another member has too, and its S."""
+    members = sets.join(families, "node").select("node", "fam", "shingles")
+    few = members.withColumn("place", F.row_number().over(W.partitionBy("fam").orderBy("node"))).where(F.col("place") <= CORE_SAMPLE)
+    held = few.select("fam", F.explode("shingles").alias("e")).groupBy("fam", "e").agg(F.count(F.lit(1)).alias("holders"))
+    half = few.groupBy("fam").agg((F.count(F.lit(1)) / 2).alias("half"))
+    core = held.join(half, "fam").where("holders > half").groupBy("fam").agg(F.collect_list("e").alias("core"))
+    apart = cut(members.join(core, "fam", "left").select("node", "fam", F.size("shingles").alias("n"), F.array_except(F.coalesce("core", F.array().cast("array<long>")), "shingles").alias("lacks"), F.array_except("shingles", F.coalesce("core", F.array().cast("array<long>"))).alias("has")), "differences")
+    alone = apart.select("node", "fam", F.explode("has").alias("e")).groupBy("fam", "e").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node")).where("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    size = F.size("lacks") + F.size("has")
+    # An element that is lacking and one that is there besides never are the same, so both can be in one array.
+    return apart.join(alone, "node", "left").select("node", "fam", F.concat("lacks", "has").alias("d"), (size - F.coalesce("u", F.lit(0))).alias("m"), ((100 + threshold) * size - (100 - threshold) * F.col("n")).cast("long").alias("s"))
+
+
+def family_links(found: DataFrame, sets: DataFrame, families: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of links that connect all members of a family that are to be: those that need no comparison, and pairs that have enough in common."""
+    apart = cut(differences(sets, families, threshold), "apart")
+    least = apart.groupBy("fam").agg(F.min(F.struct("s", "node")).alias("l")).select("fam", F.col("l.s").alias("least"), F.col("l.node").alias("near"))
+    placed = apart.join(least, "fam")
+    sure = placed.where("node <> near and s + least <= 0").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b"))
+    roots = connected(found.unionByName(sure))
+    unit = 2 * (100 + threshold)
+    open_nodes = placed.where(F.col("s") + F.col("least") <= unit * F.col("m")).join(roots, "node", "left")
+    left = cut(open_nodes.select("fam", "node", "m", "s", F.coalesce("root", "node").alias("root"), F.explode("d").alias("e")), "open-elements")
+    right = left.select("fam", "e", *[F.col(c).alias(f"{c}2") for c in ("node", "m", "s", "root")])
+    possible = (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & (F.col("s") + F.col("s2") <= unit * F.least("m", "m2"))
+    pairs = left.join(right, ["fam", "e"]).where(possible).groupBy("node", "node2").agg(F.count(F.lit(1)).alias("common"), F.first(F.col("s") + F.col("s2")).alias("need"))
+    return sure, pairs.where(F.col("need") <= unit * F.col("common")).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, *, words: int, threshold: int, miss: float) -> DataFrame:
@@ -199,16 +229,9 @@ def links(docs: DataFrame, nodes: DataFrame, *, words: int, threshold: int, miss
     wanted = survivors.select(F.col("a").alias("node")).unionByName(survivors.select(F.col("b").alias("node"))).unionByName(degree.select("node")).distinct()
     sets = cut(sets_of(docs, nodes.select("node", "doc_id").join(wanted, "node"), words), "sets")
     found = cut(confirmed(survivors, sets, threshold), "links")
-    # Large buckets: bound what the centres left apart by the shingles that no other node of a large bucket has.
-    elements = sets.join(degree.select("node"), "node").select("node", F.explode("shingles").alias("s"))
-    alone = elements.groupBy("s").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node")).where("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    open_nodes = degree.select("node").join(nodes.select("node", F.col("n_shingles").alias("n")), "node").join(alone, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u")).where((F.col("n") - F.col("u")) * 100 >= F.col("n") * threshold)
-    part = open_nodes.join(connected(found), "node", "left").select("node", "n", "u", F.coalesce("root", "node").alias("root"))
-    left = cut(large.select("node", "band", "key").join(part, "node"), "open-bands")
-    right = left.select("band", "key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("root").alias("root2"))
-    rest = left.join(right, ["band", "key"]).where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & within_bound(threshold)).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    more = confirmed(verified_by_signature(rest, nodes, threshold, miss), sets, threshold)
-    return found.unionByName(more)
+    families = connected(spokes.distinct()).withColumnRenamed("root", "fam")
+    sure, rest = family_links(found, sets, families, threshold)
+    return found.unionByName(sure).unionByName(confirmed(rest, sets, threshold))
 
 
 def near_components(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
