@@ -35,7 +35,7 @@ from math import exp, lgamma, log
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -110,8 +110,13 @@ def least_matches(threshold: int, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
+def text_key(docs: DataFrame) -> Column:
+    """128 bits of the text; with the id it names a row, as an id alone need not: it may be null or shared."""
+    return F.unhex(F.md5(docs["text"].cast("binary")))
+
+
 def nodes_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sig, bands); node is a 128-bit hash of the set, null for an empty one."""
+    """(doc_id, text_key, n_shingles, node, sig, bands); node is a 128-bit hash of the set, null for an empty one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = ShingleSets(words)
@@ -126,9 +131,10 @@ def nodes_of(docs: DataFrame, words: int) -> DataFrame:
                     rows.append((0, None, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "node", "sig", "bands"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            out.insert(1, "text_key", batch["text_key"].to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(run, "doc_id long, n_shingles long, node binary, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), F.col("text").alias("text")).mapInPandas(run, "doc_id long, text_key binary, n_shingles long, node binary, sig binary, bands array<long>")
 
 
 def verified_by_signature(pairs: DataFrame, nodes: DataFrame, threshold: int, miss: float) -> DataFrame:
@@ -155,7 +161,7 @@ def verified_by_signature(pairs: DataFrame, nodes: DataFrame, threshold: int, mi
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the documents in ``wanted`` (node, doc_id, n_shingles)."""
+    """(node, shingles) of the documents in ``wanted`` (node, doc_id, text_key)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = ShingleSets(words)
@@ -165,8 +171,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             same = np.array([bytes(w) == n for w, n in zip(batch["node"], node, strict=True)], dtype=bool)
             yield pd.DataFrame({"node": node, "shingles": [s.astype(np.int64) for s in found]})[same]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return texts.join(wanted.select(F.col("doc_id").alias("w"), "node"), F.col("doc_id").eqNullSafe(F.col("w"))).select("node", "text").mapInPandas(run, "node binary, shingles array<long>").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), F.col("text").alias("text"))
+    same_row = F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("text_key") == F.col("w_key"))
+    return texts.join(wanted.select(F.col("doc_id").alias("w"), F.col("text_key").alias("w_key"), "node"), same_row).select("node", "text").mapInPandas(run, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -227,30 +234,37 @@ def links(docs: DataFrame, nodes: DataFrame, *, words: int, threshold: int, miss
     spokes = members.join(centre, ["band", "key"]).where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
     survivors = cut(verified_by_signature(pairs.unionByName(spokes).distinct(), nodes, threshold, miss), "survivors")
     wanted = survivors.select(F.col("a").alias("node")).unionByName(survivors.select(F.col("b").alias("node"))).unionByName(degree.select("node")).distinct()
-    sets = cut(sets_of(docs, nodes.select("node", "doc_id").join(wanted, "node"), words), "sets")
+    sets = cut(sets_of(docs, nodes.select("node", "doc_id", "text_key").join(wanted, "node"), words), "sets")
     found = cut(confirmed(survivors, sets, threshold), "links")
     families = connected(spokes.distinct()).withColumnRenamed("root", "fam")
     sure, rest = family_links(found, sets, families, threshold)
     return found.unionByName(sure).unionByName(confirmed(rest, sets, threshold))
 
 
-def near_components(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def placed_rows(docs: DataFrame, words: int, threshold: int, miss: float) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) of every row."""
     rows = cut(nodes_of(docs, words), "shingled")
-    nodes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "nodes")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    found = rows.where("node is not null").groupBy("node").agg(one.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    nodes = cut(found.select("node", "one.doc_id", "one.text_key", "n_shingles", "sig", "bands", "copies"), "nodes")
     roots = connected(links(docs, nodes, words=words, threshold=threshold, miss=miss))
     placed = nodes.select("node", "doc_id", "copies").join(roots, "node", "left")
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     grouped = placed.where("root is not null or copies > 1").join(least, "root", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"), F.lit(True).alias("grouped"))
-    out = rows.select("doc_id", "n_shingles", "node").join(grouped, "node", "left")
+    out = rows.select("doc_id", "text_key", "n_shingles", "node").join(grouped, "node", "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_components(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    return placed_rows(docs, words, threshold, miss).drop("text_key")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents of each component other than the one it is named for."""
-    gone = near_components(docs, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+def keep_one(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """The rows of ``docs`` that ``near_components`` keeps: ids may be null or shared, so a row goes by its id and its text."""
+    gone = placed_rows(docs, words, threshold, miss).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")) & text_key(docs).eqNullSafe(F.col("__gone_key")), "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,23 @@ def test_copies_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _, _, k in got if k] and kept.columns == frame(spark, rows, CLASHES).columns
 
 
+def test_keep_one_with_null_and_shared_ids(spark):
+    """A near copy without an id goes alone: other texts without one stay, and so do other texts under a shared id."""
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(2, base), (None, base), (None, base + " more"), (None, "a text of its own here"), (None, None), (7, base + " more"), (7, "seven has another text too")]
+    got = near.keep_one(frame(spark, rows, CLASHES)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(2, base), (None, "a text of its own here"), (None, None), (7, "seven has another text too")], key=str)
+
+
+def test_sets_of_texts_without_ids_meet_only_their_own(spark):
+    df = frame(spark, [(None, f"text number {i} of many") for i in range(40)])
+    nodes = near.nodes_of(df, near.WORDS).select("node", "doc_id", "text_key")
+    met = near.sets_of(df, nodes, near.WORDS)
+    assert met.count() == 40
+    joined = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joined) == 1 and "text_key" in joined[0] and "w_key" in joined[0]
+
+
 def test_pruning_is_sound():
     need = near.least_matches(85, near.MISS)
     assert len(need) == near.HASHES // near.BATCH and list(need) == sorted(need) and need[-1] < 0.85 * near.HASHES
