@@ -5,7 +5,7 @@ combined by noisy-or, 1 - prod(1 - p), and weights are learned from document lab
 sentences that carry a document's score are then known.
 
 Training takes a bounded sample (``labelled.TRAINING_ROWS``) of the labelled rows outside the held-out fold. Inputs are
-the words of the text, nothing else.
+the words of the text, nothing else. The sample's features stay in a table and on the executors.
 
 Defined results: a null or empty text has one empty sentence and so the score of the bias alone; without usable labels
 every score is 0; null and repeated document ids pass through; an empty table gives an empty result; columns other than
@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, labels
+from .common import cut, documents, labels
 from .labelled import TRAINING_ROWS, held_out, training_sample
 from .word_cache import WordCache
 
@@ -32,6 +33,8 @@ FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Sampled documents that a feature must be in; occurrences that one step of the training works on at once.
 LEAST_DOCS, BLOCK = 3, 1 << 20
+#: Parts of the sample at least, and bytes of features in each of them.
+LEAST_PARTS, PART_BYTES = 6, 8 << 20
 EDGES = ".,;:!?\"'()[]{}|$%&*#-_"
 ENDS = (".", "!", "?")
 
@@ -71,64 +74,95 @@ class NoisyOr:
         return sum(self.weights.get(f, 0.0) for f in word_features(token))
 
     @classmethod
-    def fit(cls, docs: list[tuple[np.ndarray, np.ndarray, int]], stands_for: dict[int, float], epochs: int = 150, rate: float = 1.0, shrink: float = 0.6) -> NoisyOr:
-        """``docs``: for each its features end to end, the number of them in each sentence, and its label.
+    def fit(cls, sample: DataFrame, stands_for: dict[int, float], epochs: int = 150, rate: float = 1.0, shrink: float = 0.6) -> NoisyOr:
+        """``sample``: a table as of ``sample_features``.
 
         Accelerated full-batch gradient steps; after each, weights shrink towards 0, the more the fewer documents there
-        are, which drops features of chance."""
-        if not docs or len({label for *_, label in docs}) < 2:
-            return cls({}, 0.0 if docs and docs[0][2] else -40.0)
-        keys, counts = np.unique(np.concatenate([np.unique(d[0]) for d in docs]), return_counts=True)
-        keys = keys[counts >= LEAST_DOCS]
-        per_doc = np.array([len(d[1]) for d in docs])
-        y = np.array([d[2] for d in docs], dtype=float)
-        importance = np.where(y == 1, stands_for[1], stands_for[0])
-        importance /= importance.sum()
-        doc_of = np.repeat(np.arange(len(docs)), per_doc)
-        features, sentence_of = cls._occurrences(docs, keys, per_doc)
-        blocks = [slice(i, i + BLOCK) for i in range(0, len(features), BLOCK)]
-
-        def sentence_sums(w: np.ndarray) -> np.ndarray:
-            return sum((np.bincount(sentence_of[b], w[features[b]], len(doc_of)) for b in blocks), np.zeros(len(doc_of)))
-
-        def feature_sums(of_sentence: np.ndarray) -> np.ndarray:
-            return sum((np.bincount(features[b], of_sentence[sentence_of[b]], len(keys)) for b in blocks), np.zeros(len(keys)))
-
-        weights, bias = np.zeros(len(keys)), float(np.log(max((importance * y).sum(), 1e-4) / per_doc.mean()))
+        are, which drops features of chance. The sums of a step are made by Spark, so the driver has weights only."""
+        about = {r["label"]: r for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("sizes") / 4).alias("sentences"), F.sum(F.length("features")).alias("bytes")).collect()}
+        if len(about) < 2:
+            return cls({}, 0.0 if 1 in about else -40.0)
+        n_docs = sum(r["docs"] for r in about.values())
+        total = sum(stands_for[label] * r["docs"] for label, r in about.items())
+        importance = {label: stands_for[label] / total for label in about}
+        keys = common_features(sample)
+        sc = sample.sparkSession.sparkContext
+        sent = sc.broadcast(keys)
+        n_parts = max(LEAST_PARTS, -(-sum(r["bytes"] for r in about.values()) // PART_BYTES))
+        # The number of parts and the order of rows depend on the sample alone, and so do sums of them in this order.
+        ordered = sample.repartition(int(n_parts), F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "features")
+        parts = ordered.select("label", "features", "sizes").rdd.mapPartitions(lambda rows: [Occurrences.of(rows, sent.value, importance)]).persist(StorageLevel.MEMORY_AND_DISK)
+        mass = sum(parts.map(Occurrences.mass).collect(), np.zeros(len(keys)))
+        weights, bias = np.zeros(len(keys)), float(np.log(max(importance[1] * about[1]["docs"], 1e-4) / (sum(r["sentences"] for r in about.values()) / n_docs)))
         ahead, bias_ahead, speed = weights, bias, 1.0
         # A feature's curvature is at most its importance summed over its occurrences; steps are that much smaller.
-        step = rate / np.sqrt(feature_sums((importance * (0.2 + y))[doc_of]) + 1e-3)
+        step = rate / np.sqrt(mass + 1e-3)
         for _ in range(epochs):
-            z = sentence_sums(ahead) + bias_ahead
-            clear = np.bincount(doc_of, np.logaddexp(0, z), len(docs))
-            hit = np.maximum(-np.expm1(-clear), 1e-9)
-            push = np.where(y == 1, -np.exp(-clear) / hit, 1.0) * importance
-            grad_z = push[doc_of] / (1 + np.exp(-np.clip(z, -40, 40)))
-            new = ahead - step * feature_sums(grad_z)
-            new = np.sign(new) * np.maximum(np.abs(new) - step * shrink / len(docs), 0)
-            new_bias = bias_ahead - 0.5 * float(grad_z.sum())
+            now = sc.broadcast((ahead, bias_ahead))
+            slopes = parts.map(lambda part, now=now: part.slopes(*now.value)).collect()
+            now.destroy()
+            new = ahead - step * sum((s for s, _ in slopes), np.zeros(len(keys)))
+            new = np.sign(new) * np.maximum(np.abs(new) - step * shrink / n_docs, 0)
+            new_bias = bias_ahead - 0.5 * sum(s for _, s in slopes)
             faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
             drift = min((speed - 1) / faster, 0.9)
             ahead, bias_ahead = new + drift * (new - weights), new_bias + drift * (new_bias - bias)
             weights, bias, speed = new, new_bias, faster
+        parts.unpersist()
+        sent.destroy()
         kept = np.flatnonzero(weights)
         return cls(dict(zip(keys[kept].tolist(), weights[kept].tolist(), strict=True)), float(bias))
 
-    @staticmethod
-    def _occurrences(docs: list[tuple[np.ndarray, np.ndarray, int]], keys: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in ``keys`` and number of the sentence of every occurrence of a feature that is in ``keys``."""
-        features, sentence_of = [], []
-        for (found, sizes, _), first in zip(docs, np.cumsum(per_doc) - per_doc, strict=True):
+
+@dataclass
+class Occurrences:
+    """A part of the sample: place in the keys and number of the sentence of every occurrence of a feature that is a key,
+    the document of every sentence, and label and importance of every document."""
+
+    n_keys: int
+    features: np.ndarray
+    sentence_of: np.ndarray
+    doc_of: np.ndarray
+    y: np.ndarray
+    importance: np.ndarray
+
+    @classmethod
+    def of(cls, rows: Iterator[Row], keys: np.ndarray, importance: dict[int, float]) -> Occurrences:
+        features, sentence_of, doc_of, y, first = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], 0
+        for row in rows:
+            found, sizes = np.frombuffer(row["features"], "<u4"), np.frombuffer(row["sizes"], "<u4")
             place = np.searchsorted(keys, found)
             place[place == len(keys)] = 0
             known = keys[place] == found if len(keys) else np.zeros(len(found), dtype=bool)
             features.append(place[known].astype(np.int32))
             sentence_of.append((first + np.repeat(np.arange(len(sizes)), sizes))[known].astype(np.int32))
-        return np.concatenate(features), np.concatenate(sentence_of)
+            doc_of.append(np.full(len(sizes), len(y), dtype=np.int32))
+            y.append(row["label"])
+            first += len(sizes)
+        return cls(len(keys), *map(np.concatenate, (features, sentence_of, doc_of)), np.array(y, dtype=float), np.array([importance[label] for label in y], dtype=float))
+
+    def blocks(self) -> list[slice]:
+        return [slice(i, i + BLOCK) for i in range(0, len(self.features), BLOCK)]
+
+    def feature_sums(self, of_sentence: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(self.features[b], of_sentence[self.sentence_of[b]], self.n_keys) for b in self.blocks()), np.zeros(self.n_keys))
+
+    def mass(self) -> np.ndarray:
+        return self.feature_sums((self.importance * (0.2 + self.y))[self.doc_of])
 
+    def slopes(self, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        """Slopes of this part's loss in the weights and in the bias."""
+        n_sentences = len(self.doc_of)
+        z = sum((np.bincount(self.sentence_of[b], weights[self.features[b]], n_sentences) for b in self.blocks()), np.zeros(n_sentences)) + bias
+        clear = np.bincount(self.doc_of, np.logaddexp(0, z), len(self.y))
+        hit = np.maximum(-np.expm1(-clear), 1e-9)
+        push = np.where(self.y == 1, -np.exp(-clear) / hit, 1.0) * self.importance
+        grad_z = push[self.doc_of] / (1 + np.exp(-np.clip(z, -40, 40)))
+        return self.feature_sums(grad_z), float(grad_z.sum())
 
-def sample_features(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of the (bounded) training sample, made on the executors."""
+
+def sample_features(sample: DataFrame) -> DataFrame:
+    """(doc_id, label, features, sizes) of the training sample, as a stored table: features end to end, and the number of them in each sentence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordCache(word_features, 300_000)
@@ -139,9 +173,19 @@ def sample_features(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int
                 out.append((np.array([f for p in parts for f in p], dtype="<u4").tobytes(), np.array([len(p) for p in parts], dtype="<u4").tobytes()))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "features": [a for a, _ in out], "sizes": [b for _, b in out]})
 
-    rows = sample.select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label int, features binary, sizes binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
-    return [(np.frombuffer(r["features"], "<u4"), np.frombuffer(r["sizes"], "<u4"), r["label"]) for r in rows]
+    return cut(sample.select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label int, features binary, sizes binary"), "toxic-sample")
+
+
+def common_features(sample: DataFrame) -> np.ndarray:
+    """The features that at least ``LEAST_DOCS`` documents of the sample have, in ascending order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, docs = np.unique(np.concatenate([np.zeros(0, "<u4"), *[np.unique(np.frombuffer(f, "<u4")) for f in batch["features"]]]), return_counts=True)
+            yield pd.DataFrame({"feature": keys.astype(np.int64), "docs": docs.astype(np.int64)})
+
+    found = sample.select("features").mapInPandas(run, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
+    return np.sort(np.array([r["feature"] for r in found.select("feature").collect()], dtype=np.uint32))
 
 
 def train_toxicity(docs: DataFrame, labelled: DataFrame, *, folds: int = FOLDS, held: int = HELD, rows: int = TRAINING_ROWS) -> NoisyOr:

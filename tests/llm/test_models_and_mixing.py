@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ import corpus_pipeline
 from mnemolith.llm import op5_toxicity as tox
 from mnemolith.llm import op9_quality as qual
 from mnemolith.llm import op10_mixing as mixing
+from mnemolith.llm import labelled
 from mnemolith.llm.op4_near_dedup import near_components
 
 from .test_lines_and_copies import brute_components, brute_lines
@@ -59,6 +61,26 @@ def toy(spark):
     return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_training_takes_6000_rows_and_holds_them_on_the_executors(spark):
+    """The same model as a plain loop over all of the sample, from a table and not from rows on the driver."""
+    docs, labels = toy(spark)
+    assert labelled.TRAINING_ROWS == 6000
+    sample, stands_for = labelled.training_sample(docs, labels, "toxic", 3, 1)
+    table = tox.sample_features(sample)
+    rows = table.orderBy("doc_id", "features").collect()
+    keys = tox.common_features(table)
+    held = Counter(f for r in rows for f in set(np.frombuffer(r["features"], "<u4").tolist()))
+    assert keys.tolist() == sorted(f for f, n in held.items() if n >= tox.LEAST_DOCS)
+    whole = tox.Occurrences.of(rows, keys, {0: 0.25, 1: 0.5})
+    parts = [tox.Occurrences.of(rows[i::3], keys, {0: 0.25, 1: 0.5}) for i in range(3)]
+    w = np.linspace(-1, 1, len(keys))
+    slope, bias_slope = whole.slopes(w, -0.3)
+    assert np.allclose(slope, sum(p.slopes(w, -0.3)[0] for p in parts)) and np.isclose(bias_slope, sum(p.slopes(w, -0.3)[1] for p in parts))
+    assert np.allclose(whole.mass(), sum(p.mass() for p in parts))
+    one, again = (tox.NoisyOr.fit(t, stands_for) for t in (table, table.repartition(7)))
+    assert one == again and one.weights
+
+
 def test_toxic_sentences_are_found(spark):
     docs, labels = toy(spark)
     model = tox.train_toxicity(docs, labels)
