@@ -4,7 +4,8 @@ A change inserts, deletes or revises the count of a document under a source, a l
 becomes signed deltas of documents and tokens (a revision takes the old count away and adds the new one), which are
 summed for each batch and key and stored under the batch's number. A batch that is delivered again replaces itself, so
 commits are idempotent, and after a failure the batch is simply committed again. Totals are the sums over all batches;
-older batches can be folded into a base.
+older batches can be folded into a base, which keeps their
+numbers: a folded batch is final, and is skipped when it is delivered again.
 
 Defined results: null sources, languages and versions are keys of their own; a null count is 0; an empty batch changes
 nothing; keys whose documents and tokens are both back at 0 are left out of the totals; columns other than those named
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, documents, scratch_path
 
 KEY = ["source", "lang", "tokenizer"]
+SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
 PARTS = r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
 
 
@@ -39,18 +41,39 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def has_base(self) -> bool:
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/folded")
+        return base.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(base)
+
+    def deltas(self) -> DataFrame:
+        return self.spark.read.schema(f"{SUMS}, batch long").parquet(f"{self.path}/deltas")
+
+    def base(self) -> DataFrame:
+        return self.spark.read.schema(SUMS).parquet(f"{self.path}/base") if self.has_base() else self.spark.createDataFrame([], SUMS)
+
+    def folded(self) -> DataFrame:
+        """(batch): numbers of the batches that the base holds."""
+        return self.spark.read.schema("batch long").parquet(f"{self.path}/folded") if self.has_base() else self.spark.createDataFrame([], "batch long")
+
     def commit(self, changes: DataFrame) -> None:
-        """Store the deltas of all batches in ``changes``, each in place of an earlier delivery of the same batch."""
-        deltas(changes).repartition(1, "batch").write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/deltas")
+        """Store the deltas of all batches in ``changes``, each in place of an earlier delivery of the same batch; those in the base are skipped."""
+        rows = deltas(changes.join(self.folded(), "batch", "left_anti") if self.has_base() else changes)
+        rows.repartition("batch", *KEY).write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/deltas")
 
     def totals(self) -> DataFrame:
-        rows = self.spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long, batch long").parquet(f"{self.path}/deltas")
+        rows = self.deltas().drop("batch").unionByName(self.base()) if self.has_base() else self.deltas()
         return rows.groupBy(*KEY).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
     def fold(self, path: str, up_to: int) -> Rollup:
-        """A rollup at ``path`` with the batches up to ``up_to`` as one, under that number, and the later ones as they are."""
-        rows = self.spark.read.parquet(f"{self.path}/deltas").withColumn("batch", F.greatest(F.col("batch").cast("long"), F.lit(up_to)))
-        rows.groupBy("batch", *KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.partitionBy("batch").parquet(f"{path}/deltas")
+        """A rollup at ``path`` with the batches up to ``up_to`` in its base, beside their numbers, and the others as they are.
+
+        A batch up to ``up_to`` that comes only later is not in the base, so it is still added."""
+        old = F.coalesce(F.col("batch") <= up_to, F.lit(False))
+        rows = self.deltas()
+        rows.where(~old).repartition("batch", *KEY).write.partitionBy("batch").parquet(f"{path}/deltas")
+        base = rows.where(old).drop("batch").unionByName(self.base())
+        base.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{path}/base")
+        rows.where(old).select("batch").unionByName(self.folded()).distinct().write.parquet(f"{path}/folded")
         return Rollup(self.spark, path)
 
 

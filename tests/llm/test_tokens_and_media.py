@@ -236,6 +236,19 @@ def test_rollup(spark, tmp_path):
     assert tc.deltas(changes(spark, [])).count() == 0
 
 
+def test_redelivery_after_a_fold(spark, tmp_path):
+    one, two, three, late = (changes(spark, [(n, "insert", "a", "en", "t1", 10**n, None, None, None, None)]) for n in (1, 2, 4, 3))
+    roll = tc.Rollup(spark, str(tmp_path / "r"))
+    for batch in (one, two, three):
+        roll.commit(batch)
+    folded = roll.fold(str(tmp_path / "s"), 2).fold(str(tmp_path / "t"), 3)
+    for again in (two, one, one.unionByName(two).unionByName(three)):
+        folded.commit(again)
+        assert {tuple(r) for r in folded.totals().collect()} == {("a", "en", "t1", 3, 10110)}
+    folded.commit(late)
+    assert {tuple(r) for r in tc.Rollup(spark, folded.path).totals().collect()} == {("a", "en", "t1", 4, 11110)}
+
+
 def test_rollup_of_documents_equals_a_recount(spark, small):
     docs = pd.read_parquet(f"{small}/documents.parquet")
     got = {tuple(r) for r in tc.op8_token_counts(spark, small).collect()}
