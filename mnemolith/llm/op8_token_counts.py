@@ -14,10 +14,15 @@ are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, documents, scratch_path
+from .op3_token_files import encoder
+from .op6_sentencepiece import piece_encoder
 
 KEY = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -100,6 +105,43 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+BYTES, PIECES = "byte_bpe_50k", "piece_bpe_32k"
+
+
+def tokenizer_history(docs: DataFrame) -> DataFrame:
+    """Changes that end with every document counted by a real tokenizer: all arrive under ``byte_bpe_50k``, English ones are
+    counted anew under ``piece_bpe_32k``, documents of fewer than 50 words are deleted, and a later batch inserts them again."""
+    import public_tokenizers
+
+    bytes_path, pieces_path = public_tokenizers.path(f"{BYTES}.json"), public_tokenizers.path(f"{PIECES}.model")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole, pieces = encoder(bytes_path, 2), piece_encoder(pieces_path)
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch["text"]]
+            # Only English documents have a count in pieces.
+            in_pieces = [len(pieces.encode(t)) if lang == "en" else 0 for t, lang in zip(texts, batch["lang"], strict=True)]
+            yield batch[["source", "lang", "words"]].assign(whole=[len(whole(t)) // 2 for t in texts], pieces=in_pieces)
+
+    counted = docs.select("source", "lang", pattern_count(F.col("text"), WORD).alias("words"), "text").mapInPandas(run, "source string, lang string, words long, whole long, pieces long")
+    english, short = F.coalesce(F.col("lang") == "en", F.lit(False)), F.col("words") < 50
+    latest, none = F.when(english, PIECES).otherwise(BYTES), F.lit(None).cast("string")
+    change = lambda batch, op, new, old: F.struct(F.lit(batch).cast("long").alias("batch"), F.lit(op).alias("op"), new.alias("tokenizer"), old.alias("old_tokenizer"))
+    steps = F.array(change(1, "insert", F.lit(BYTES), none), F.when(english, change(2, "revise", F.lit(PIECES), F.lit(BYTES))), F.when(short, change(3, "delete", none, latest)), F.when(short, change(4, "insert", latest, none)))
+    count = lambda c: F.when(F.col(c) == PIECES, F.col("pieces")).when(F.col(c) == BYTES, F.col("whole"))
+    rows = counted.withColumn("s", F.explode(F.filter(steps, lambda s: s.isNotNull())))
+    return rows.select("s.*", "source", "lang", F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), "whole", "pieces").withColumn("tokens", count("tokenizer")).withColumn("old_tokens", count("old_tokenizer"))
+
+
+def op8_tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of every document, in tokens of the real tokenizers."""
+    history = cut(tokenizer_history(documents(spark, sf_dir)), "token-changes")
+    rollup = Rollup(spark, scratch_path(spark, "token-counts"))
+    rollup.commit(history)
+    rollup.commit(history.where("batch = 2"))  # delivered again
+    return rollup.totals()
+
+
 SQL = rf"""
 WITH counted AS (
   SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words, len(regexp_extract_all(coalesce(text, ''), '{PARTS}')) AS parts FROM documents

@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_fingerprints": op7_fingerprints,
     "op8_token_counts": op8.op8_token_counts,
+    "op8_tokenizer_counts": op8.op8_tokenizer_counts,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }

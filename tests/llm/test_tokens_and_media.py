@@ -255,3 +255,24 @@ def test_rollup_of_documents_equals_a_recount(spark, small):
     n = docs.assign(w=docs.text.str.encode("utf-8").map(lambda b: len(b.split())))
     n = n[(n.w >= 50) & (n.lang != "en")].groupby(["source", "lang"]).agg(d=("w", "size"), t=("w", "sum"))
     assert {g for g in got if g[1] != "en"} == {(s, lang, "words-1", r.d, r.t) for (s, lang), r in n.iterrows()}
+
+
+def test_tokenizer_counts_cover_every_document(spark, small):
+    """A recount of all rows, short and empty ones too, by the tokenizers themselves."""
+    docs = pd.read_parquet(f"{small}/documents.parquet")
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {}
+    for source, lang, text in zip(docs["source"], docs["lang"], docs["text"].fillna(""), strict=True):
+        n = len(pieces.encode(text)) if lang == "en" else len(whole.encode(text, add_special_tokens=False).ids)
+        had = want.get((source, lang), (0, 0))
+        want[source, lang] = (had[0] + 1, had[1] + n)
+    got = tc.op8_tokenizer_counts(spark, small).collect()
+    assert {tuple(r) for r in got} == {(s, lang, "piece_bpe_32k" if lang == "en" else "byte_bpe_50k", d, n) for (s, lang), (d, n) in want.items()}
+    assert sum(r["n_docs"] for r in got) == len(docs)
+
+
+def test_only_short_documents_still_count(spark):
+    rows = spark.createDataFrame([("tiny", "en", "one two"), ("tiny", None, None), (None, "de", "")], "source string, lang string, text string")
+    got = tc.deltas(tc.tokenizer_history(rows)).groupBy(*tc.KEY).agg(F.sum("docs").alias("n"), F.sum("tokens")).where("n <> 0").collect()
+    assert {tuple(r)[:4] for r in got} == {("tiny", "en", "piece_bpe_32k", 1), ("tiny", None, "byte_bpe_50k", 1), (None, "de", "byte_bpe_50k", 1)}
