@@ -26,9 +26,16 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Most rows and bytes that go to or from a Python worker at once, where the session says nothing else.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """What every query needs: UTC, and the package on the workers."""
+    """What every query needs: UTC, small batches for Python workers, and the package on them."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for name, value in ARROW.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     ship_package(spark)
     return spark
