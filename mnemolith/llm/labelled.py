@@ -21,7 +21,8 @@ def held_out(doc_id: Column, folds: int, held: int) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int = TRAINING_ROWS) -> tuple[DataFrame, dict[int, float]]:
     """(doc_id, text, label) of at most ``rows`` labelled documents outside the held-out fold, and how many labelled rows one row of each label stands for.
 
-    The rows with the smallest hashes of their ids are taken of each label, so the sample depends on nothing else."""
+    The ids with the smallest hashes are taken of each label, so the sample depends on nothing else. Of documents that
+    share an id the first text counts, of labels the higher."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id"), folds, held)).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = None
     for value in (0, 1):
@@ -31,4 +32,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     stands_for = {v: max(1.0, counts.get(v, 0) / (rows // 2)) for v in (0, 1)}
     # At most ``rows`` rows of two numbers each are broadcast.
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
     return sample, stands_for

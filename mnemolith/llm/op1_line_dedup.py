@@ -1,8 +1,9 @@
 """Near-duplicate lines across all documents, by a deletion-neighbourhood join.
 
 A line is its words (between ASCII white space). Lines with the same words are one class. Two classes are near if one
-insertion, deletion or replacement of a word turns one into the other and the shorter has ``LEAST_WORDS`` words at
-least. Of a class, only the earliest line stays, and none if a near class begins earlier; the order is by document id,
+insertion, deletion or replacement of a word turns one into the other and the shorter has ``least_words`` words at
+least: an edit is then at most that share of a line, an eighth by default. (Short lines that differ in a word, as
+"Part 1" and "Part 2" do, mostly say different things; with ``least_words=1`` they are near too.) Of a class, only the earliest line stays, and none if a near class begins earlier; the order is by document id,
 then text hash, then place in the document. Blank lines stay.
 
 1. Every line gets a 128-bit hash; classes and their first lines come from one aggregation.
@@ -28,10 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, new_names
 from .word_cache import WordCache
 
-LEAST_WORDS = 8
+#: Words that the shorter of two near lines has at least; lines that a task holds before it hands them on.
+LEAST_WORDS, SLICE = 8, 20_000
 DOC = ["doc_id", "doc_key"]
 AT = "struct(doc_id, doc_key, line_no) AS at"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -42,12 +44,12 @@ def words_of(line: str) -> list[bytes]:
     return line.encode("utf-8", "replace").split()
 
 
-def end_keys(words: list[bytes]) -> list[int]:
+def end_keys(words: list[bytes], least_words: int = LEAST_WORDS) -> list[int]:
     """Hashes of the halves at both ends: as long as any near line of the same length, or one longer or shorter, must share."""
     n = len(words)
-    if n < LEAST_WORDS:
+    if n < least_words:
         return []
-    halves = {n // 2, (n - 1) // 2} if n > LEAST_WORDS else {n // 2}
+    halves = {n // 2, (n - 1) // 2} if n > least_words else {n // 2}
     return [xxhash.xxh3_64_intdigest(b" ".join(part), seed=2 * h + side) - (1 << 63) for h in halves for side, part in enumerate((words[:h], words[n - h :]))]
 
 
@@ -72,8 +74,18 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), F.col("text").alias("text"))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def placed(batch: pd.DataFrame, rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """``rows`` as a frame, whose first column, a row number of ``batch``, becomes that row's id and key."""
+    out = pd.DataFrame(rows, columns=["row", *columns])
+    place = out.pop("row").to_numpy()
+    out.insert(0, "doc_key", batch["doc_key"].to_numpy()[place])
+    out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy()[place])
+    return out
+
+
+def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, doc_key, line_no, h1, h2, n, ends) of every line that is not blank."""
+    columns = ["line_no", "h1", "h2", "n", "ends"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -83,39 +95,39 @@ def line_table(docs: DataFrame) -> DataFrame:
                     words = words_of(line)
                     if words:
                         h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        rows.append((i, no, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), len(words), end_keys(words)))
+                        rows.append((i, no, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), len(words), end_keys(words, least_words)))
+                        if len(rows) == SLICE:
+                            yield placed(batch, rows, columns)
+                            rows = []
             if rows:
-                out = pd.DataFrame(rows, columns=["row", "line_no", "h1", "h2", "n", "ends"])
-                place = out.pop("row").to_numpy()
-                out.insert(0, "doc_key", batch["doc_key"].to_numpy()[place])
-                out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy()[place])
-                yield out
+                yield placed(batch, rows, columns)
 
     return with_key(docs).mapInPandas(run, "doc_id long, doc_key long, line_no int, h1 long, h2 long, n int, ends array<long>")
 
 
 def candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(at, line, whole, less) of the first line of every class that shares an end with another class."""
-    ends = classes.where(F.col("n") >= LEAST_WORDS).select(F.explode("ends").alias("end"), "h1")
+    columns, most = ["line_no", "line", "whole", "less"], 4 * SLICE
+    ends = classes.where(F.size("ends") > 0).select(F.explode("ends").alias("end"), "h1")
     shared = ends.groupBy("end").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("end")
     chosen = classes.join(ends.join(shared, "end").select("h1").distinct(), "h1").select("at.*").groupBy(*DOC).agg(F.collect_list("line_no").alias("lines"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordCache(xxhash.xxh3_64_intdigest, 300_000)
+        known = WordCache(xxhash.xxh3_64_intdigest)
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for i, (text, numbers) in enumerate(zip(batch["text"], batch["lines"], strict=True)):
                 lines = (text or "").split("\n")
                 for no in {int(x) for x in numbers}:
                     words = words_of(lines[no])
                     whole, less = neighbourhood(np.array([known[w] for w in words], dtype=np.uint64))
                     rows.append((i, no, " ".join(w.decode() for w in words), whole, less))
+                    held += len(words)
+                    if held >= most:
+                        yield placed(batch, rows, columns)
+                        rows, held = [], 0
             if rows:
-                out = pd.DataFrame(rows, columns=["row", "line_no", "line", "whole", "less"])
-                place = out.pop("row").to_numpy()
-                out.insert(0, "doc_key", batch["doc_key"].to_numpy()[place])
-                out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy()[place])
-                yield out
+                yield placed(batch, rows, columns)
 
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.doc_key") == F.col("c.doc_key"))
     texts = with_key(docs).alias("d").join(chosen.alias("c"), same).select("d.doc_id", "d.doc_key", "d.text", "c.lines")
@@ -145,9 +157,9 @@ def near_classes(found: DataFrame) -> DataFrame:
     return both.where(verified("line", "earlier_line")).select("at")
 
 
-def line_decisions(docs: DataFrame) -> DataFrame:
+def line_decisions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, doc_key, n_same, n_near, dropped) of every document that loses lines: how many for which reason, and their numbers."""
-    lines = cut(line_table(docs), "lines")
+    lines = cut(line_table(docs, least_words), "lines")
     classes = cut(lines.groupBy("h1", "h2").agg(F.expr("min(struct(doc_id, doc_key, line_no))").alias("at"), F.count(F.lit(1)).alias("lines"), F.first("n").alias("n"), F.first("ends").alias("ends")), "line-classes")
     near = near_classes(candidates(docs, classes)).withColumn("near", F.lit(True))
     losing = classes.select("h1", "h2", "at", "lines").join(near, "at", "left").where("near or lines > 1").select("h1", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
@@ -155,30 +167,31 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     return lost.groupBy(*DOC).agg(F.count_if(~F.col("near")).alias("n_same"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_same, n_near, dropped) of every document."""
     own = with_key(docs).select(*DOC, F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"))
-    lost = line_decisions(docs)
+    lost = line_decisions(docs, least_words)
     same = F.col("o.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("o.doc_key") == F.col("l.doc_key"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return own.alias("o").join(lost.alias("l"), same, "left").select("o.doc_id", "o.n_lines", zero("n_same"), zero("n_near"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text`` (and ``n_chars``, if there, counted anew).
 
     A document that loses every line that it had is dropped; one that had none stays."""
-    lost = line_decisions(docs).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), F.col("dropped").alias("__dropped"))
+    of, key, gone = new_names(docs, "__id", "__key", "__dropped")
+    lost = line_decisions(docs, least_words).select(F.col("doc_id").alias(of), F.col("doc_key").alias(key), F.col("dropped").alias(gone))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
-        gone = [set(d.tolist()) if d is not None else None for d in dropped]
-        return pd.Series([t if g is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in zip(texts, gone, strict=True)], dtype=object)
+        less = [set(d.tolist()) if d is not None else None for d in dropped]
+        return pd.Series([t if g is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in zip(texts, less, strict=True)], dtype=object)
 
-    joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left")
-    shorter = joined.withColumn("text", without("text", "__dropped")).where(F.col("__dropped").isNull() | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+    joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
+    shorter = joined.withColumn("text", without("text", gone)).where(F.col(gone).isNull() | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
-        shorter = shorter.withColumn("n_chars", F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        shorter = shorter.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return shorter.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -147,8 +147,8 @@ class BpeEncoder:
         self.shown = str.maketrans(self.shown)
         self.space = letters.pre_tokenize_str(" ")[0][0]
         self.bytes_of = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.first = WordCache(lambda w: self.word("", w), 100_000)
-        self.later = WordCache(lambda w: self.word(self.space, w), 700_000)
+        self.first = WordCache(lambda w: self.word("", w), 8 << 20)
+        self.later = WordCache(lambda w: self.word(self.space, w), 64 << 20)
         self.newline = self.encode("\n")
 
     def join(self, ids: list[int]) -> bytes:
