@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -88,18 +89,21 @@ class NoisyOr:
         keys = common_features(sample)
         sc = sample.sparkSession.sparkContext
         sent = sc.broadcast(keys)
-        n_parts = max(LEAST_PARTS, -(-sum(r["bytes"] for r in about.values()) // PART_BYTES))
-        # The number of parts and the order of rows depend on the sample alone, and so do sums of them in this order.
-        ordered = sample.repartition(int(n_parts), F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "features")
-        parts = ordered.select("label", "features", "sizes").rdd.mapPartitions(lambda rows: [Occurrences.of(rows, sent.value, importance)]).persist(StorageLevel.MEMORY_AND_DISK)
-        mass = sum(parts.map(Occurrences.mass).collect(), np.zeros(len(keys)))
+        n_parts = int(max(LEAST_PARTS, -(-sum(r["bytes"] for r in about.values()) // PART_BYTES)))
+        # What is in a part and the order of its rows depend on the sample alone, and so do sums of them by the number of the part.
+        placed = sample.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)))
+        ordered = placed.repartition(n_parts, "part").sortWithinPartitions("part", "doc_id", "features").select("part", "label", "features", "per_token", "sizes")
+        each = lambda rows: ((p, Occurrences.of(mine, sent.value, importance)) for p, mine in groupby(rows, key=lambda r: r["part"]))
+        parts = ordered.rdd.mapPartitions(each).coalesce(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
+        in_order = lambda found: [x for _, x in sorted(found, key=lambda x: x[0])]
+        mass = sum(in_order(parts.mapValues(Occurrences.mass).collect()), np.zeros(len(keys)))
         weights, bias = np.zeros(len(keys)), float(np.log(max(importance[1] * about[1]["docs"], 1e-4) / (sum(r["sentences"] for r in about.values()) / n_docs)))
         ahead, bias_ahead, speed = weights, bias, 1.0
         # A feature's curvature is at most its importance summed over its occurrences; steps are that much smaller.
         step = rate / np.sqrt(mass + 1e-3)
         for _ in range(epochs):
             now = sc.broadcast((ahead, bias_ahead))
-            slopes = parts.map(lambda part, now=now: part.slopes(*now.value)).collect()
+            slopes = in_order(parts.mapValues(lambda part, now=now: part.slopes(*now.value)).collect())
             now.destroy()
             new = ahead - step * sum((s for s, _ in slopes), np.zeros(len(keys)))
             new = np.sign(new) * np.maximum(np.abs(new) - step * shrink / n_docs, 0)
@@ -116,11 +120,14 @@ class NoisyOr:
 
 @dataclass
 class Occurrences:
-    """A part of the sample: place in the keys and number of the sentence of every occurrence of a feature that is a key,
-    the document of every sentence, and label and importance of every document."""
+    """A part of the sample. Its different tokens: for every feature of one that is a key, the place in the keys and the number of the token.
+    For every token that occurs its number and that of the sentence, the document of every sentence, and label and importance of every document."""
 
     n_keys: int
     features: np.ndarray
+    token_of: np.ndarray
+    n_tokens: int
+    tokens: np.ndarray
     sentence_of: np.ndarray
     doc_of: np.ndarray
     y: np.ndarray
@@ -128,24 +135,32 @@ class Occurrences:
 
     @classmethod
     def of(cls, rows: Iterator[Row], keys: np.ndarray, importance: dict[int, float]) -> Occurrences:
-        features, sentence_of, doc_of, y, first = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], 0
+        found, counts, sizes, doc_of, y = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
         for row in rows:
-            found, sizes = np.frombuffer(row["features"], "<u4"), np.frombuffer(row["sizes"], "<u4")
-            place = np.searchsorted(keys, found)
-            place[place == len(keys)] = 0
-            known = keys[place] == found if len(keys) else np.zeros(len(found), dtype=bool)
-            features.append(place[known].astype(np.int32))
-            sentence_of.append((first + np.repeat(np.arange(len(sizes)), sizes))[known].astype(np.int32))
-            doc_of.append(np.full(len(sizes), len(y), dtype=np.int32))
+            found.append(np.frombuffer(row["features"], "<u4"))
+            counts.append(np.frombuffer(row["per_token"], np.uint8).astype(np.int64))
+            sizes.append(np.frombuffer(row["sizes"], "<u4").astype(np.int64))
+            doc_of.append(np.full(len(sizes[-1]), len(y), dtype=np.int32))
             y.append(row["label"])
-            first += len(sizes)
-        return cls(len(keys), *map(np.concatenate, (features, sentence_of, doc_of)), np.array(y, dtype=float), np.array([importance[label] for label in y], dtype=float))
+        found, counts, sizes = map(np.concatenate, (found, counts, sizes))
+        ends = np.cumsum(counts)
+        # A token is told by its first and its last feature.
+        named = found[ends - counts].astype(np.uint64) << np.uint64(32) | found[ends - 1]
+        _, one, tokens = np.unique(named, return_index=True, return_inverse=True)
+        token_of = np.repeat(np.arange(len(one)), counts[one])
+        own = found[np.repeat((ends - counts)[one] - (np.cumsum(counts[one]) - counts[one]), counts[one]) + np.arange(len(token_of))]
+        place = np.searchsorted(keys, own)
+        place[place == len(keys)] = 0
+        known = keys[place] == own if len(keys) else np.zeros(len(own), dtype=bool)
+        sentence_of = np.repeat(np.arange(len(sizes)), sizes).astype(np.int32)
+        return cls(len(keys), place[known].astype(np.int32), token_of[known].astype(np.int32), len(one), tokens.astype(np.int32), sentence_of, np.concatenate(doc_of), np.array(y, dtype=float), np.array([importance[label] for label in y], dtype=float))
 
     def blocks(self) -> list[slice]:
-        return [slice(i, i + BLOCK) for i in range(0, len(self.features), BLOCK)]
+        return [slice(i, i + BLOCK) for i in range(0, len(self.tokens), BLOCK)]
 
     def feature_sums(self, of_sentence: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(self.features[b], of_sentence[self.sentence_of[b]], self.n_keys) for b in self.blocks()), np.zeros(self.n_keys))
+        of_token = sum((np.bincount(self.tokens[b], of_sentence[self.sentence_of[b]], self.n_tokens) for b in self.blocks()), np.zeros(self.n_tokens))
+        return np.bincount(self.features, of_token[self.token_of], self.n_keys)
 
     def mass(self) -> np.ndarray:
         return self.feature_sums((self.importance * (0.2 + self.y))[self.doc_of])
@@ -153,7 +168,8 @@ class Occurrences:
     def slopes(self, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
         """Slopes of this part's loss in the weights and in the bias."""
         n_sentences = len(self.doc_of)
-        z = sum((np.bincount(self.sentence_of[b], weights[self.features[b]], n_sentences) for b in self.blocks()), np.zeros(n_sentences)) + bias
+        of_token = np.bincount(self.token_of, weights[self.features], self.n_tokens)
+        z = sum((np.bincount(self.sentence_of[b], of_token[self.tokens[b]], n_sentences) for b in self.blocks()), np.zeros(n_sentences)) + bias
         clear = np.bincount(self.doc_of, np.logaddexp(0, z), len(self.y))
         hit = np.maximum(-np.expm1(-clear), 1e-9)
         push = np.where(self.y == 1, -np.exp(-clear) / hit, 1.0) * self.importance
@@ -162,18 +178,20 @@ class Occurrences:
 
 
 def sample_features(sample: DataFrame) -> DataFrame:
-    """(doc_id, label, features, sizes) of the training sample, as a stored table: features end to end, and the number of them in each sentence."""
+    """(doc_id, label, features, per_token, sizes) of the training sample, as a stored table: features end to end, the number of
+    them of each token that has any, and the number of these tokens in each sentence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordCache(word_features, 300_000)
+        known = WordCache(word_features)
         for batch in batches:
             out = []
             for text in batch["text"]:
-                parts = [[f for t in s for f in known[t]] for s in sentences(text)]
-                out.append((np.array([f for p in parts for f in p], dtype="<u4").tobytes(), np.array([len(p) for p in parts], dtype="<u4").tobytes()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "features": [a for a, _ in out], "sizes": [b for _, b in out]})
+                parts = [[f for t in s if (f := known[t])] for s in sentences(text)]
+                features = [x for p in parts for f in p for x in f]
+                out.append((np.array(features, dtype="<u4").tobytes(), bytes(len(f) for p in parts for f in p), np.array([len(p) for p in parts], dtype="<u4").tobytes()))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"]} | {c: [x[i] for x in out] for i, c in enumerate(("features", "per_token", "sizes"))})
 
-    return cut(sample.select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label int, features binary, sizes binary"), "toxic-sample")
+    return cut(sample.select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label int, features binary, per_token binary, sizes binary"), "toxic-sample")
 
 
 def common_features(sample: DataFrame) -> np.ndarray:
@@ -198,7 +216,7 @@ class SentenceScores:
 
     def __init__(self, model: NoisyOr):
         # A token's weight, and as the imaginary part whether a sentence ends with it.
-        self.known, self.bias = WordCache(lambda t: complex(model.token_weight(t), t.endswith(ENDS)), 500_000), model.bias
+        self.known, self.bias = WordCache(lambda t: complex(model.token_weight(t), t.endswith(ENDS))), model.bias
 
     def __call__(self, text: str | None) -> tuple[float, int, int, float]:
         lines = [line.split() for line in (text or "").split("\n")]
@@ -208,7 +226,7 @@ class SentenceScores:
         ends[np.cumsum([len(line) for line in lines if line], dtype=np.int64) - 1] = True
         starts = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]).astype(np.int64)
         z = (np.add.reduceat(found.real, starts) if len(tokens) else np.zeros(1)) + self.bias
-        return float(-np.expm1(-np.logaddexp(0, z).sum())), len(z), int(z.argmax()), float(1 / (1 + np.exp(-z.max())))
+        return float(-np.expm1(-np.logaddexp(0, z).sum())), len(z), int(z.argmax()), float(1 / (1 + np.exp(-np.clip(z.max(), -40, 40))))
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr) -> DataFrame:
