@@ -8,8 +8,8 @@ copies of the chunks are paired in turn in a reduction tree, until each source h
 number. So a source misses its target by half a document at most.
 
 Defined results: a null text has size 0; a document of size 0 is rounded on its own by its fraction, as it cannot move
-words; the null source is one source, after all others; rows are told apart by id and text, and rows equal in both are
-treated alike except for their place among each other; an empty table gives an empty result; columns other than the id,
+words; the null source is one source, after all others; rows are told apart by id and text, and rows equal in both by a
+number, so that repeats of a row are spread over the chunks like other rows; an empty table gives an empty result; columns other than the id,
 the text and the source are not read. Reruns give the same result: all chance comes from hashes of the rows.
 """
 
@@ -20,13 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents
+from .common import WORD, cut, documents, new_names
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Documents in a chunk, about; left-over copies that meet in one step of the tree; sources up to which targets are broadcast.
-CHUNK, FANIN, BROADCAST_SOURCES = 4_000, 256, 50_000
+#: Documents in a chunk, about; left-over copies that meet in one step of the tree; bytes of targets up to which they are broadcast.
+CHUNK, FANIN, BROADCAST_BYTES = 4_000, 256, 8 << 20
 KEYS = ["part", "chunk"]
 
 
@@ -34,36 +35,50 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def share_out(sizes: list[int], weights: tuple[float, ...], share: float, most: float) -> list[float]:
-    """Targets of sources in their order: ``share`` of all words by weight, none above ``most`` times its size."""
-    weight = np.array([weights[i % len(weights)] for i in range(len(sizes))])
-    size = np.array(sizes, dtype=float)
-    target, free, left = np.zeros(len(sizes)), size > 0, share * size.sum()
-    while free.any():
-        part = np.where(free, weight, 0) / weight[free].sum() * left
-        over = free & (part > most * size)
-        if not over.any():
-            target[free] = part[free]
+def numbered(sources: DataFrame) -> DataFrame:
+    """(source, size, n, part): ``part`` counts the sources from 0 by code point, null last. Ranges are sorted each on its own."""
+    ranges = cut(sources.repartitionByRange(F.asc_nulls_last("source")).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    within = W.partitionBy("range").orderBy(F.asc_nulls_last("source"))
+    # One row a range, of which there are as many as shuffle partitions.
+    before = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("rows")).withColumn("before", F.sum("rows").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)))
+    placed = ranges.withColumn("place", F.row_number().over(within)).join(before.select("range", F.coalesce("before", F.lit(0)).alias("before")), "range")
+    return placed.select("source", "size", "n", (F.col("before") + F.col("place") - 1).alias("part"))
+
+
+def shared_out(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """(source, size, n, part, target): ``share`` of all words by weight, none above ``most`` times its size.
+
+    Each round takes the sources that would be above out and shares what they leave among the others; once out, a source
+    stays out, as the others' shares only grow. The driver sees three sums a round."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("part") % len(weights) + 1).cast("int"))
+    rows = cut(sources.withColumn("weight", weight), "mix-sources")
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,12)"))
+    filled = rows.where("size > 0")
+    total = filled.agg(F.count(F.lit(1)).alias("n"), exact("weight").alias("weight"), F.sum("size").alias("size")).first()
+    free, left, n_out = float(total["weight"] or 0), share * (total["size"] or 0), 0
+    out = F.lit(False)
+    while free > 0:
+        out = F.col("weight") / F.lit(free) * F.lit(left) > F.lit(float(most)) * F.col("size")
+        gone = filled.where(out).agg(F.count(F.lit(1)).alias("n"), exact("weight").alias("weight"), F.sum("size").alias("size")).first()
+        if gone["n"] == n_out:
             break
-        target[over] = most * size[over]
-        left -= target[over].sum()
-        free &= ~over
-    return target.tolist()
+        n_out, free, left = gone["n"], float(total["weight"] - gone["weight"]), share * total["size"] - most * gone["size"]
+    part = F.col("weight") / F.lit(free) * F.lit(left) if free > 0 else F.lit(float(most)) * F.col("size")
+    target = F.when(F.col("size") <= 0, 0.0).when(out, F.lit(float(most)) * F.col("size")).otherwise(part)
+    return rows.select("source", "size", "n", "part", target.alias("target"))
 
 
-def source_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, part, source_size, target, chunks). The driver gets one row a source, not more."""
-    spark = docs.sparkSession
-    found = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    found.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
-    targets = share_out([r["size"] for r in found], weights, share, most)
-    rows = [(r["source"], i, r["size"], t, -(-r["n"] // CHUNK)) for i, (r, t) in enumerate(zip(found, targets, strict=True))]
-    return spark.createDataFrame(rows, "source string, part int, source_size long, target double, chunks long")
+def source_targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, part, source_size, target, chunks) of (source, size, n), where a row stands for n equal ones."""
+    found = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n"))
+    targets = shared_out(numbered(found), weights, share, most)
+    return cut(targets.select("source", "part", F.col("size").alias("source_size"), "target", F.ceil(F.col("n") / CHUNK).alias("chunks")), "mix-targets")
 
 
 def small_enough(targets: DataFrame) -> DataFrame:
-    """Broadcast up to a number of sources; beyond it, an ordinary join."""
-    return F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
+    """Broadcast up to a number of bytes; beyond it, an ordinary join."""
+    about = targets.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()[0] or 0
+    return F.broadcast(targets) if about <= BROADCAST_BYTES else targets
 
 
 def pivotal(share: np.ndarray, size: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, int]:
@@ -95,7 +110,7 @@ def pivotal(share: np.ndarray, size: np.ndarray, chance: np.ndarray) -> tuple[np
     return x, held
 
 
-ROW = "part int, chunk long, doc_key long, order_key long, doc_id long, size long, whole long, share double, settled boolean"
+ROW = "part long, chunk long, doc_key long, order_key long, doc_id long, size long, whole long, share double, settled boolean"
 
 
 def _level(level: int):
@@ -133,16 +148,19 @@ def dependent_rounding(units: DataFrame, most_chunks: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies) of every row of (doc_id, text, source)."""
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("doc_key")), "mix-sizes")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("doc_key"))
+    rows = cut(own.groupBy("doc_id", "source", "size", "doc_key").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     targets = source_targets(rows, weights, share, most)
     most_chunks = targets.agg(F.max("chunks")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    side = small_enough(targets)
+    each = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     # A random order within a source, the same in every run, which also chooses the chunk.
-    units = rows.join(small_enough(targets), rows["source"].eqNullSafe(targets["source"])).select(
+    units = each.join(side, each["source"].eqNullSafe(side["source"])).select(
         "part",
-        F.pmod(F.xxhash64("doc_key", F.lit(7)), F.col("chunks")).alias("chunk"),
+        F.pmod(F.xxhash64("doc_key", "repeat", F.lit(7)), F.col("chunks")).alias("chunk"),
         "doc_key",
-        F.xxhash64("doc_key", F.lit(11)).alias("order_key"),
+        F.xxhash64("doc_key", "repeat", F.lit(11)).alias("order_key"),
         "doc_id",
         "size",
         F.floor(rate).alias("whole"),
@@ -150,19 +168,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         F.lit(False).alias("settled"),
     )
     copies = dependent_rounding(units, most_chunks)
-    return copies.join(small_enough(targets), "part").select("doc_id", "doc_key", "size", "source", "source_size", "target", "copies")
+    return copies.join(side, "part").select("doc_id", "doc_key", "size", "source", "source_size", "target", "copies")
 
 
 def take_mixture(docs: DataFrame, **how) -> DataFrame:
     """The mixture itself: every row of ``docs`` with all its columns, as often as it is taken.
 
     Rows equal in id and text are repeats of one row: together they appear as often as they are taken together."""
-    key = ["__id", "__key"]
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__key", F.xxhash64("doc_id", "text"))
-    taken = cut(mix(docs, **how).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("doc_key").alias("__key")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")), "mix-taken").where("__copies > 0")
-    once = keyed.join(taken.where("__rows = 1"), key)
-    repeated = keyed.join(taken.where("__rows > 1"), key).dropDuplicates(key)
-    return once.unionByName(repeated).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    *key, copies, times, copy = new_names(docs, "__id", "__key", "__copies", "__rows", "__copy")
+    keyed = docs.withColumn(key[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(key[1], F.xxhash64("doc_id", "text"))
+    mixed = mix(docs, **how).groupBy(F.coalesce("doc_id", F.lit(-1)).alias(key[0]), F.col("doc_key").alias(key[1]))
+    taken = cut(mixed.agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(times)), "mix-taken").where(F.col(copies) > 0)
+    once = keyed.join(taken.where(F.col(times) == 1), key)
+    repeated = keyed.join(taken.where(F.col(times) > 1), key).dropDuplicates(key)
+    every = once.unionByName(repeated).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return every.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

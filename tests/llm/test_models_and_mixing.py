@@ -20,7 +20,7 @@ from mnemolith.llm.op4_near_dedup import near_components
 from .test_lines_and_copies import brute_components, brute_lines
 
 MEDIUM = "/root/testdata/sf0.01"
-CLASHES = ["score", "label", "target", "copies", "size", "part", "chunk", "share", "__note"]
+CLASHES = ["score", "label", "target", "copies", "size", "part", "chunk", "share", "__note", "__id", "__key", "__copies", "__rows", "__copy", "repeat", "n"]
 
 
 def frame(spark, rows, extra=CLASHES):
@@ -136,11 +136,38 @@ def brute_targets(sizes, weights=(5, 2, 1)):
 
 
 @pytest.mark.parametrize("sizes", [[100], [100, 100, 100], [10, 1000, 5, 0, 7], [0, 0, 9]])
-def test_targets(sizes):
-    got = mixing.share_out(sizes, mixing.WEIGHTS, 1.5, 2.0)
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame([(f"s{i}", s, 1) for i, s in enumerate(sizes)], "source string, size long, n long")
+    got = [r["target"] for r in mixing.source_targets(rows).orderBy("part").collect()]
     assert got == pytest.approx(brute_targets(sizes), rel=1e-6, abs=1e-6) and sum(got) == pytest.approx(1.5 * sum(sizes))
 
 
+def test_many_sources(spark):
+    """Sources are numbered over ranges, by code point with null last, and none of them goes through the driver."""
+    names = [f"h{i * 7919 % 30011}" for i in range(30_000)] + ["", "Z", "é", "\U0001f600", "\uffff", None]
+    rows = spark.createDataFrame([(s, i % 50, 1) for i, s in enumerate(names)], "source string, size long, n long")
+    got = mixing.source_targets(rows).orderBy("part").collect()
+    want = sorted(names, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    assert [r["source"] for r in got] == want and [r["part"] for r in got] == list(range(len(names)))
+    assert [r["target"] for r in got] == pytest.approx(brute_targets([r["source_size"] for r in got]), rel=1e-6, abs=1e-6)
+
+
+def test_repeats_of_a_row_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    largest = []
+    rounding = mixing.dependent_rounding
+
+    def watched(units, most_chunks):
+        largest.append(units.groupBy("part", "chunk").count().agg(F.max("count")).first()[0])
+        return rounding(units, most_chunks)
+
+    monkeypatch.setattr(mixing, "dependent_rounding", watched)
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same row").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(docs)
+    assert got.count() == 20_000 and largest[0] < 250
+    assert got.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == pytest.approx(1.5 * 60_000, abs=3)
+
+
 def test_pivotal_keeps_words_and_expectations():
     rng = np.random.default_rng(0)
     size, share = np.array([5, 40, 7, 100, 3, 60]), np.array([0.3, 0.5, 0.9, 0.25, 0.5, 0.6])
@@ -178,6 +205,7 @@ def test_mixture_edges(spark):
     assert len(got) == 6 and set(got["size"]) == {0, 2, 3, 30000}
     taken = mixing.take_mixture(docs)
     assert taken.count() == got["copies"].sum() and taken.columns == docs.columns
+    assert {r["__id"] for r in taken.collect()} == {"own __id"}
 
 
 def test_many_chunks_meet_in_a_tree(spark, monkeypatch):
