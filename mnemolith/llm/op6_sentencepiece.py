@@ -31,6 +31,12 @@ class CharacterMap:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.texts = blob[4 + size :]
+        #: Whether a key begins with the byte.
+        self.begins = np.array([self._begins(b) for b in range(256)], dtype=bool)
+
+    def _begins(self, byte: int) -> bool:
+        node = self._child(0, self.units[0]) ^ byte if self.units else -1
+        return 0 <= node < len(self.units) and self.units[node] & 0x800000FF == byte
 
     def longest(self, text: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest key that is a prefix of text[at:], and its replacement."""
@@ -56,8 +62,25 @@ class CharacterMap:
         return node ^ (unit >> 10 << ((unit & 0x200) >> 6))
 
 
+def aligned(text: bytes, chars: CharacterMap) -> tuple[bytes, np.ndarray]:
+    """Text after replacements and, for each of its bytes, the source byte that it came from: its own, or the first of the key replaced."""
+    parts, source, done = [], [], 0
+    for at in np.flatnonzero(chars.begins[np.frombuffer(text, np.uint8)]).tolist():
+        hit = chars.longest(text, at) if at >= done else None
+        if hit is not None:
+            parts += [text[done:at], hit[1]]
+            source += [np.arange(done, at), np.full(len(hit[1]), at)]
+            done = at + hit[0]
+    return b"".join([*parts, text[done:]]), np.concatenate([*source, np.arange(done, len(text))]).astype(np.int64)
+
+
 def normalise(text: bytes, chars: CharacterMap, *, prefix: bool, squeeze: bool) -> tuple[bytes, np.ndarray]:
     """Normalised bytes (white space as U+2581) and, for each of them and for the end, its source byte offset."""
+    if not squeeze:
+        plain, source = aligned(text, chars)
+        source = np.repeat(source, np.where(np.frombuffer(plain, np.uint8) == 0x20, 3, 1))
+        first = [source[:1].repeat(3)] if prefix and len(source) else []
+        return SPACE.encode() * len(first) + plain.replace(b" ", SPACE.encode()), np.concatenate([*first, source, [len(text)]])
     mark, out, source, at = SPACE.encode(), bytearray(), [], 0
     pieces = []
     while at < len(text):
@@ -69,15 +92,14 @@ def normalise(text: bytes, chars: CharacterMap, *, prefix: bool, squeeze: bool)
         pieces.append((at, hit[1]))
         at += hit[0]
     blank = lambda p: p[1].strip(b" ") == b""
-    if squeeze:
-        while pieces and blank(pieces[0]):
-            pieces.pop(0)
+    while pieces and blank(pieces[0]):
+        pieces.pop(0)
     if prefix and pieces:
         out += mark
         source += [pieces[0][0]] * 3
-    after_space = squeeze
+    after_space = True
     for origin, piece in pieces:
-        if squeeze and after_space:
+        if after_space:
             piece = piece.lstrip(b" ")
         if not piece:
             continue
@@ -86,10 +108,9 @@ def normalise(text: bytes, chars: CharacterMap, *, prefix: bool, squeeze: bool)
         out += piece
         source += [origin] * len(piece)
     end = at
-    if squeeze:
-        while out.endswith(mark):
-            end = source[len(out) - 3]
-            del out[-3:], source[-3:]
+    while out.endswith(mark):
+        end = source[len(out) - 3]
+        del out[-3:], source[-3:]
     return bytes(out), np.array([*source, end], dtype=np.int64)
 
 
@@ -106,9 +127,7 @@ class PieceEncoder:
         spec = sentencepiece_model_pb2.ModelProto.FromString(blob)
         norm = spec.normalizer_spec
         self.chars, self.prefix, self.squeeze = CharacterMap(norm.precompiled_charsmap), norm.add_dummy_prefix, norm.remove_extra_whitespaces
-        self.plain = not self.chars.units and not self.squeeze
         self.bytes_of = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in spec.pieces], dtype=np.int64)
-        self.spaces_of = np.array([p.piece.count(SPACE) for p in spec.pieces], dtype=np.int64)
         self.unknown = self.model.unk_id()
         self.decimals = [str(i) for i in range(len(spec.pieces))]
 
@@ -122,12 +141,8 @@ class PieceEncoder:
 
     def spans(self, text: str, ids: list[int]) -> np.ndarray:
         """Edges of the pieces' spans in the source bytes: piece i covers edges[i] to edges[i + 1]."""
-        raw, at = text.encode("utf-8", "replace"), np.array(ids, dtype=np.int64)
-        if self.plain and SPACE not in text:
-            edges = np.concatenate([[0], np.cumsum(self.bytes_of[at] - 2 * self.spaces_of[at])])
-            edges[1:] -= bool(len(ids) and self.prefix)
-            return edges
-        norm, source = normalise(raw, self.chars, prefix=self.prefix, squeeze=self.squeeze)
+        at = np.array(ids, dtype=np.int64)
+        norm, source = normalise(text.encode("utf-8", "replace"), self.chars, prefix=self.prefix, squeeze=self.squeeze)
         sizes = self.bytes_of[at]
         if self.unknown in ids:
             sizes = self._unknown_sizes(norm, ids, sizes)
