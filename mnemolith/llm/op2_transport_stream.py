@@ -6,8 +6,8 @@ before which the program tables are repeated.
 
 Defined results: a null text counts as empty; null and repeated document ids pass through; an empty table gives an empty
 result; columns other than the id and the text are not read. A damaged stream never raises: packets out of step or
-flagged as wrong are counted and skipped, gaps of a continuity counter are counted, and PES packets that a gap touches
-are left out of the payload and counted.
+flagged as wrong are counted and skipped, gaps of a continuity counter are counted, of the data and of the tables, and PES
+packets that a gap touches are left out of the payload and counted.
 """
 
 from __future__ import annotations
@@ -119,6 +119,7 @@ class Stream:
     out_of_step: int = 0
     flagged: int = 0
     gaps: int = 0
+    table_gaps: int = 0
     broken_units: int = 0
     timestamps: list[int | None] = field(default_factory=list)
     random_access: list[bool] = field(default_factory=list)
@@ -171,6 +172,12 @@ def table_body(packet: np.ndarray) -> bytes | None:
 KNOWN = {PAT[5 : 5 + 16].tobytes(), PMT[5 : 5 + 21].tobytes()}
 
 
+def counter_gaps(packets: np.ndarray) -> int:
+    """Breaks in the continuity of a table's packets: a counter that is neither the next one, nor the same of the same packet again."""
+    step = np.diff(packets[packets[:, 3] & 0x10 != 0][:, 3].astype(np.int64) & 15) % 16
+    return int(((step != 1) & (step != 0)).sum())
+
+
 def read_stream(media: bytes) -> Stream:
     """Follow the program tables to the first elementary stream and reassemble its units."""
     out = Stream()
@@ -187,6 +194,7 @@ def read_stream(media: bytes) -> Stream:
         entry = next((body[i : i + 4] for i in range(0, len(body) - 3, 4) if body[i : i + 2] != b"\0\0"), None)
         if entry:
             out.program, table = int.from_bytes(entry[:2]), int.from_bytes(entry[2:]) & 0x1FFF
+            out.table_gaps = sum(counter_gaps(rows[pids == p]) for p in (PAT_PID, table))
             for inner in bodies(table):
                 at = 4 + (int.from_bytes(inner[2:4]) & 0xFFF)
                 if at + 5 <= len(inner):
@@ -265,8 +273,8 @@ def media_units(media: DataFrame) -> DataFrame:
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Digests of every stored stream and of the payload read back from it."""
-    columns = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Digests of every stored stream and of the payload read back from it, with the timestamps of its units and the places of its random-access points."""
+    columns = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, table_gaps long, units long, timestamps array<long>, access_units array<int>, access_packets array<long>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -274,8 +282,10 @@ def media_digests(media: DataFrame) -> DataFrame:
             for blob in batch["media"]:
                 blob = bytes(blob)
                 found = read_stream(blob)
-                out.append((len(found.payload), hashlib.sha256(found.payload).hexdigest(), zlib.crc32(found.payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), found.feature))
-            digests = pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                access = [i for i, r in enumerate(found.random_access) if r]
+                digest = len(found.payload), hashlib.sha256(found.payload).hexdigest(), zlib.crc32(found.payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest()
+                out.append((*digest, found.feature, found.table_gaps, len(found.sizes), found.timestamps, access, [found.first_packet[i] for i in access]))
+            digests = pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "table_gaps", "units", "timestamps", "access_units", "access_packets"])
             yield pd.concat([batch[["doc_id", "n_bytes"]].reset_index(drop=True), digests], axis=1)
 
     return media.select("doc_id", "n_bytes", "media").mapInPandas(run, columns)
