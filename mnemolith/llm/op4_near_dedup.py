@@ -9,16 +9,24 @@ the threshold; a component is what links reach.
 3. A pair's signatures are compared batch by batch. With m of n positions equal and a uniform prior, the similarity has
    a Beta(m + 1, n - m + 1) posterior; the pair is dropped once the posterior chance of reaching the threshold is below
    ``MISS``. Survivors are confirmed on their full sets.
-4. What the centres missed is settled exactly. Large buckets that share nodes make a family, and a family gets a core: the
-   shingles that most of a few of its members have. A member's difference D is what it lacks of the core or has besides.
-   With S = (100 + t) |D| - (100 - t) n, two members of n and n' shingles reach t per cent if and only if
+4. What the centres missed is settled by differences. Large buckets that share nodes make a family, and a family gets a
+   core: the shingles that most of a few of its members have. A member's difference D is what it lacks of the core or has
+   besides. With S = (100 + t) |D| - (100 - t) n, two members of n and n' shingles reach t per cent if and only if
    S + S' <= 2 (100 + t) |D and D'|. So all whose S and the family's least S sum to 0 or less are linked to the member
-   that has the least; and all other links need a common element of the differences, which are short: members of different components
-   are joined on those, and links are the pairs with enough of them. A member's elements that no other has can't be common, which leaves out most
-   pairs within the join. Any core gives right results; a good one short differences.
+   that has the least, members with too few elements that any other has too can't be linked, and families whose other
+   members all are in one component are done. For the rest:
+   a. The differences of a linked pair are alike, the more so the longer they are: with s = (|D| + |D'|) / (n + n') and
+      f = (100 - t) / (100 + t) they overlap by (s - f) / (s + f) at least, while those of unlinked members, being rid
+      of what all have in common, hardly overlap. So bands of MinHash values of the differences find the pairs; there
+      is a level of bands for each range of s, with as many bands as the least overlap of the range needs. A pair that
+      shares a band is still left out, within the join, if one-bit sketches of the differences rule its overlap out.
+   b. Pairs of so short differences that even (a) would need too many bands are joined on the elements themselves.
+   Only pairs of different components count in either, and those found go through step 3 like all others. Any core gives
+   right results; a good one short differences.
 5. Components come from alternating star operations on the link table.
 
-Chances of a miss: a pair at the threshold shares no band with a chance of 3e-7 (26 bands of 5), and is pruned with a chance of about ``MISS``.
+Chances of a miss: a pair at the threshold shares no band with a chance of 3e-7 (26 bands of 5), or no band of differences
+or by their sketches with a chance of ``LEVEL_MISS`` each, and is pruned with a chance of about ``MISS``.
 
 Defined results: null and blank texts have an empty set and are their own component; fewer than five words are one
 shingle; ids may be null: a component's id is the smallest that is not null, and a null id is kept only if its component
@@ -30,16 +38,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, lgamma, log
+from math import ceil, exp, inf, lgamma, log
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, new_names
 from .components import connected
 from .word_cache import WordCache
 
@@ -50,10 +57,17 @@ MISS = 1e-7
 BATCH = 26
 #: Nodes of a bucket up to which all its pairs are compared; members that a family's core is made from.
 SMALL_BUCKET, CORE_SAMPLE = 24, 64
+#: Bands over differences: rows of a band, and the least overlap of differences that it is for; chance that a pair with this overlap shares none.
+LEVELS, LEVEL_MISS = ((5, 0.58), (4, 0.50), (3, 0.42), (3, 0.36), (2, 0.30)), 1e-6
+#: Longs of a one-bit sketch of a difference, and standard deviations by which its unequal bits may exceed what is expected.
+SKETCH, SPREAD = 8, 5.0
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+LEVEL_BANDS = [ceil(log(LEVEL_MISS) / log(1 - overlap**rows)) for rows, overlap in LEVELS]
+LEVEL_FACTORS = _rng.integers(0, 1 << 63, max(b * r for b, (r, _) in zip(LEVEL_BANDS, LEVELS, strict=True)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LEVEL_OFFSETS = _rng.integers(0, 1 << 63, len(LEVEL_FACTORS), dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,7 +79,7 @@ class ShingleSets:
     """Sorted distinct 64-bit hashes of a text's runs of words."""
 
     def __init__(self, words: int = WORDS):
-        self.n, self.known = words, WordCache(xxhash.xxh3_64_intdigest, 400_000)
+        self.n, self.known = words, WordCache(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "replace").lower().split()
@@ -79,19 +93,19 @@ class ShingleSets:
         return np.unique(mixed(run))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048, None] * FACTORS + OFFSETS
+def signature(shingles: np.ndarray, factors: np.ndarray = FACTORS, offsets: np.ndarray = OFFSETS) -> np.ndarray:
+    out, step = np.full(len(factors), 0xFFFFFFFF, dtype=np.uint32), max(1, (1 << 18) // len(factors))
+    for at in range(0, len(shingles), step):
+        part = shingles[at : at + step, None] * factors + offsets
         out = np.minimum(out, (part >> np.uint64(32)).astype(np.uint32).min(axis=0))
     return out
 
 
-def band_keys(sig: np.ndarray) -> list[int]:
-    rows, keys = sig.astype(np.uint64).reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
+def band_keys(sig: np.ndarray, bands: int = BANDS, seed: int = 0) -> np.ndarray:
+    rows, keys = sig.astype(np.uint64).reshape(bands, -1), np.arange(bands, dtype=np.uint64) + np.uint64(seed)
+    for k in range(rows.shape[1]):
         keys = mixed(keys * np.uint64(0xA24BAED4963EE407) + rows[:, k])
-    return keys.astype(np.int64).tolist()
+    return keys.astype(np.int64)
 
 
 def beta_tail(a: int, b: int, x: float) -> float:
@@ -189,34 +203,113 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def differences(sets: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
-    """(node, fam, d, m, s) of every member of (node, fam): its difference from the family's core, how many elements of that
-    another member has too, and its S."""
-    members = sets.join(families, "node").select("node", "fam", "shingles")
-    few = members.withColumn("place", F.row_number().over(W.partitionBy("fam").orderBy("node"))).where(F.col("place") <= CORE_SAMPLE)
-    held = few.select("fam", F.explode("shingles").alias("e")).groupBy("fam", "e").agg(F.count(F.lit(1)).alias("holders"))
+    """(node, fam, d, n, m, s) of every member of (node, fam): its difference from the family's core, the size of its set, how
+    many elements of the difference another member has too, and its S."""
+    sizes = families.groupBy("fam").agg(F.count(F.lit(1)).alias("size"))
+    few = families.join(sizes, "fam").where(F.pmod(F.xxhash64("node"), F.col("size")) < CORE_SAMPLE).select("node", "fam")
+    held = few.join(sets, "node").select("fam", F.explode("shingles").alias("e")).groupBy("fam", "e").agg(F.count(F.lit(1)).alias("holders"))
     half = few.groupBy("fam").agg((F.count(F.lit(1)) / 2).alias("half"))
     core = held.join(half, "fam").where("holders > half").groupBy("fam").agg(F.collect_list("e").alias("core"))
-    apart = cut(members.join(core, "fam", "left").select("node", "fam", F.size("shingles").alias("n"), F.array_except(F.coalesce("core", F.array().cast("array<long>")), "shingles").alias("lacks"), F.array_except("shingles", F.coalesce("core", F.array().cast("array<long>"))).alias("has")), "differences")
+    none = F.array().cast("array<long>")
+    members = sets.join(families, "node").join(core, "fam", "left")
+    apart = cut(members.select("node", "fam", F.size("shingles").alias("n"), F.array_except(F.coalesce("core", none), "shingles").alias("lacks"), F.array_except("shingles", F.coalesce("core", none)).alias("has")), "differences")
     alone = apart.select("node", "fam", F.explode("has").alias("e")).groupBy("fam", "e").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node")).where("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
     size = F.size("lacks") + F.size("has")
     # An element that is lacking and one that is there besides never are the same, so both can be in one array.
-    return apart.join(alone, "node", "left").select("node", "fam", F.concat("lacks", "has").alias("d"), (size - F.coalesce("u", F.lit(0))).alias("m"), ((100 + threshold) * size - (100 - threshold) * F.col("n")).cast("long").alias("s"))
+    return apart.join(alone, "node", "left").select("node", "fam", F.concat("lacks", "has").alias("d"), "n", (size - F.coalesce("u", F.lit(0))).alias("m"), ((100 + threshold) * size - (100 - threshold) * F.col("n")).cast("long").alias("s"))
+
+
+def level_ranges(threshold: int) -> list[tuple[float, float]]:
+    """For each level the range of (|D| + |D'|) / (n + n') that it is for."""
+    f, high, out = (100 - threshold) / (100 + threshold), inf, []
+    for _, overlap in LEVELS:
+        low = f * (1 + overlap) / (1 - overlap)
+        out.append((low, high))
+        high = low
+    return out
+
+
+def reach(d: int, n: int, least: float, threshold: int) -> tuple[float, float]:
+    """The least and the largest (|D| + |D'|) / (n + n') of a node with any node that it can be linked to, where no |D'| / n' is below ``least``."""
+    f, t = (100 - threshold) / (100 + threshold), threshold / 100
+    with_least = min((d + least * other) / (n + other) for other in (n * t, n / t))
+    return max(2 * d / (n * (1 + 1 / t)) - f, with_least), 2 * d / (n * (1 + t)) + f
+
+
+def difference_keys(members: DataFrame, threshold: int) -> DataFrame:
+    """(key, node, n, low, root): keys of the bands of each node's difference, at every level that a pair of the node's may be on.
+
+    In a pair of a level, one node at least is low: its own share of differences is below the level's upper bound."""
+    ranges = level_ranges(threshold)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, fam, d, n, share, root in zip(batch["node"], batch["fam"], batch["d"], batch["n"], batch["share"], batch["root"], strict=True):
+                sig = signature(np.asarray(d, dtype=np.int64).astype(np.uint64), LEVEL_FACTORS, LEVEL_OFFSETS)
+                least, most = reach(len(d), n, share, threshold)
+                for level, ((rows, _), bands, (low, high)) in enumerate(zip(LEVELS, LEVEL_BANDS, ranges, strict=True)):
+                    if least < high and most >= low:
+                        keys = band_keys(sig[: bands * rows], bands, xxhash.xxh3_64_intdigest(bytes(fam), seed=level) >> 1)
+                        yield pd.DataFrame({"key": keys, "node": [bytes(node)] * bands, "n": n, "low": len(d) < high * n, "root": root})
+
+    rows = members.select("node", "fam", "d", "n", "share", F.xxhash64("root").alias("root"))
+    return rows.mapInPandas(run, "key long, node binary, n int, low boolean, root long")
+
+
+def sketched(members: DataFrame) -> DataFrame:
+    """(node, size, k0, k1, ..): the size of each node's difference, and a bit of each of its first MinHash values."""
+    names = [f"k{i}" for i in range(SKETCH)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = [signature(np.asarray(d, dtype=np.int64).astype(np.uint64), LEVEL_FACTORS[: 64 * SKETCH], LEVEL_OFFSETS[: 64 * SKETCH]) & 1 for d in batch["d"]]
+            words = np.packbits(np.array(bits, dtype=np.uint8).reshape(-1, 64 * SKETCH), axis=1).view(np.int64)
+            yield pd.DataFrame({"node": batch["node"], "size": [len(d) for d in batch["d"]]} | {c: words[:, i] for i, c in enumerate(names)})
+
+    return members.select("node", "d").mapInPandas(run, "node binary, size int, " + ", ".join(f"{c} long" for c in names)).dropDuplicates(["node"])
+
+
+def alike_sketches(threshold: int) -> Column:
+    """Whether two sketches (columns with and without a 2) leave it possible that the differences overlap as much as those of a linked pair."""
+    f = (100 - threshold) / (100 + threshold)
+    share = (F.col("size") + F.col("size2")) / (F.col("n") + F.col("n2"))
+    unequal = F.greatest(F.lit(0.0), 1 - (share - f) / (share + f)) / 2
+    most = 64 * SKETCH * unequal + SPREAD * F.sqrt(64 * SKETCH * unequal * (1 - unequal))
+    return sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"k{i}2"))) for i in range(SKETCH)), F.lit(0)) <= most
+
+
+def across(rows: DataFrame, on: list[str], threshold: int, possible: Column, more: DataFrame | None = None) -> DataFrame:
+    """Pairs of nodes with equal ``on`` whose roots differ, of which one at least is low, and that are ``possible``.
+
+    The columns of the second have a 2 behind their names; those of ``more`` (node, ..) are there too."""
+    mixed = rows.groupBy(*on).agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("low").alias("any_low")).where("r1 <> r2 and any_low").select(*on)
+    met = rows.join(mixed, on)
+    met = cut(met if more is None else met.join(more, "node"), "met")
+    other = met.select(*on, *[F.col(c).alias(f"{c}2") for c in met.columns if c not in on])
+    near_size = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * threshold
+    return met.where("low").join(other, on).where((F.col("root") != F.col("root2")) & (~F.col("low2") | (F.col("node") < F.col("node2"))) & near_size & possible)
 
 
 def family_links(found: DataFrame, sets: DataFrame, families: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of links that connect all members of a family that are to be: those that need no comparison, and pairs that have enough in common."""
+    """(a, b) of links that need no comparison, and (a, b) of pairs that may be linked: both hold all that connect members of a family."""
     apart = cut(differences(sets, families, threshold), "apart")
     least = apart.groupBy("fam").agg(F.min(F.struct("s", "node")).alias("l")).select("fam", F.col("l.s").alias("least"), F.col("l.node").alias("near"))
     placed = apart.join(least, "fam")
-    sure = placed.where("node <> near and s + least <= 0").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b"))
+    pair = (F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    sure = placed.where("node <> near and s + least <= 0").select("node", F.col("near").alias("node2")).select(*pair)
     roots = connected(found.unionByName(sure))
     unit = 2 * (100 + threshold)
-    open_nodes = placed.where(F.col("s") + F.col("least") <= unit * F.col("m")).join(roots, "node", "left")
-    left = cut(open_nodes.select("fam", "node", "m", "s", F.coalesce("root", "node").alias("root"), F.explode("d").alias("e")), "open-elements")
-    right = left.select("fam", "e", *[F.col(c).alias(f"{c}2") for c in ("node", "m", "s", "root")])
-    possible = (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & (F.col("s") + F.col("s2") <= unit * F.least("m", "m2"))
-    pairs = left.join(right, ["fam", "e"]).where(possible).groupBy("node", "node2").agg(F.count(F.lit(1)).alias("common"), F.first(F.col("s") + F.col("s2")).alias("need"))
-    return sure, pairs.where(F.col("need") <= unit * F.col("common")).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    open_nodes = placed.where(F.col("s") + F.col("least") <= unit * F.col("m")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart_still = open_nodes.groupBy("fam").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.size("d") / F.col("n")).alias("share")).where("r1 <> r2").select("fam", "share")
+    members = cut(open_nodes.join(apart_still, "fam").select("node", "fam", "d", "n", "m", "s", "root", "share"), "open")
+    banded = across(difference_keys(members, threshold), ["key"], threshold, alike_sketches(threshold), sketched(members)).select(*pair)
+    low = level_ranges(threshold)[-1][0]
+    f, t = (100 - threshold) / (100 + threshold), threshold / 100
+    short = members.where(2 * F.size("d") / (F.col("n") * (1 + 1 / t)) - f < low)
+    elements = short.select("fam", F.explode("d").alias("e"), "node", "n", "m", "s", (F.size("d") < low * F.col("n")).alias("low"), F.xxhash64("root").alias("root"))
+    joined = across(elements, ["fam", "e"], threshold, F.col("s") + F.col("s2") <= unit * F.least("m", "m2"))
+    counted = joined.groupBy("node", "node2").agg(F.count(F.lit(1)).alias("common"), F.first(F.col("s") + F.col("s2")).alias("need")).where(F.col("need") <= unit * F.col("common"))
+    return sure, banded.unionByName(counted.select(*pair)).distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, *, words: int, threshold: int, miss: float) -> DataFrame:
@@ -236,9 +329,12 @@ def links(docs: DataFrame, nodes: DataFrame, *, words: int, threshold: int, miss
     wanted = survivors.select(F.col("a").alias("node")).unionByName(survivors.select(F.col("b").alias("node"))).unionByName(degree.select("node")).distinct()
     sets = cut(sets_of(docs, nodes.select("node", "doc_id", "text_key").join(wanted, "node"), words), "sets")
     found = cut(confirmed(survivors, sets, threshold), "links")
-    families = connected(spokes.distinct()).withColumnRenamed("root", "fam")
+    if large.isEmpty():
+        return found
+    families = cut(connected(spokes.distinct()).withColumnRenamed("root", "fam"), "families")
     sure, rest = family_links(found, sets, families, threshold)
-    return found.unionByName(sure).unionByName(confirmed(rest, sets, threshold))
+    more = cut(verified_by_signature(rest, nodes, threshold, miss), "family-survivors")
+    return found.unionByName(sure).unionByName(confirmed(more, sets, threshold))
 
 
 def placed_rows(docs: DataFrame, words: int, threshold: int, miss: float) -> DataFrame:
@@ -263,8 +359,9 @@ def near_components(docs: DataFrame, *, words: int = WORDS, threshold: int = THR
 
 def keep_one(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
     """The rows of ``docs`` that ``near_components`` keeps: ids may be null or shared, so a row goes by its id and its text."""
-    gone = placed_rows(docs, words, threshold, miss).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")) & text_key(docs).eqNullSafe(F.col("__gone_key")), "left_anti")
+    of, key = new_names(docs, "__gone", "__gone_key")
+    gone = placed_rows(docs, words, threshold, miss).where("not kept").select(F.col("doc_id").alias(of), F.col("text_key").alias(key)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & text_key(docs).eqNullSafe(F.col(key)), "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

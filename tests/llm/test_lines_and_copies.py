@@ -14,7 +14,7 @@ from mnemolith.llm import op1_line_dedup as lines
 from mnemolith.llm import op4_near_dedup as near
 from mnemolith.llm.components import connected
 
-CLASHES = ["bucket", "node", "lines", "size", "band", "key", "at", "root", "sig", "doc_key", "near", "label"]
+CLASHES = ["bucket", "node", "lines", "size", "band", "key", "at", "root", "sig", "doc_key", "near", "label", "__id", "__key", "__dropped", "__gone", "__gone_key"]
 
 
 def frame(spark, rows, extra=()):
@@ -84,6 +84,19 @@ def test_lines_against_brute_force(spark):
     assert report(lines.line_report(frame(spark, rows, CLASHES))) == want
 
 
+def test_short_lines_are_near_on_demand(spark):
+    rows = [(1, "part one"), (2, "part two\nother words"), (3, "single"), (4, "part one of")]
+    got = {r["doc_id"]: (r["n_near"], r["dropped"]) for r in lines.line_report(frame(spark, rows), least_words=1).collect()}
+    assert got == {1: (0, ""), 2: (1, "0"), 3: (0, ""), 4: (1, "0")}
+    assert not any(r["dropped"] for r in lines.line_report(frame(spark, rows)).collect())
+
+
+def test_a_line_longer_than_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SLICE", 3)
+    rows = word_rows(4)
+    assert report(lines.line_report(frame(spark, rows))) == brute_lines(rows)
+
+
 def test_lines_without_documents(spark):
     empty = frame(spark, [])
     assert lines.line_report(empty).count() == 0 and lines.dedup_lines(empty).count() == 0
@@ -183,6 +196,61 @@ def test_large_groups_of_near_copies(spark):
     assert components(frame(spark, rows)) == brute_components(rows)
 
 
+def templated(n, fields, values, seed=1):
+    """Pages of 160 words that are alike but for some fields, each with one of some values: many alike pairs, few links."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [f"t{k}" for k in range(160)]
+        for f in range(fields):
+            words[8 + 150 // fields * f] = f"f{f}v{rng.randrange(values)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("fields", "values", "most"), [(10, 6, 0.01), (6, 30, 0.1)])
+def test_templated_pages(spark, monkeypatch, fields, values, most):
+    """Links are found by joining a small share of all pairs of a template's pages."""
+    rows, joined, across = templated(700, fields, values), [], near.across
+
+    def counted(*args):
+        pairs = across(*args)
+        joined.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near, "across", counted)
+    got = components(frame(spark, rows))
+    assert got == brute_components(rows)
+    assert sum(joined) <= most * len(rows) ** 2 / 2, joined
+
+
+def test_differences_reach_their_levels():
+    """The bounds that choose a node's levels hold for random sets at the threshold."""
+    rng = random.Random(5)
+    for threshold in (80, 85):
+        f, ranges = (100 - threshold) / (100 + threshold), near.level_ranges(threshold)
+        for _ in range(2000):
+            core, universe = set(range(rng.randrange(1, 200))), rng.randrange(200, 400)
+            a = set(rng.sample(range(universe), rng.randrange(20, 200)))
+            b = set(a)
+            for x in rng.sample(range(universe), rng.randrange(0, 40)):
+                b ^= {x}
+            both = len(a & b)
+            if not b or 100 * both < threshold * (len(a) + len(b) - both):
+                continue
+            d, e = a ^ core, b ^ core
+            share = (len(d) + len(e)) / (len(a) + len(b))
+            least = min(len(d) / len(a), len(e) / len(b))
+            for x, n in ((d, len(a)), (e, len(b))):
+                low, high = near.reach(len(x), n, least, threshold)
+                assert low - 1e-9 <= share <= high + 1e-9
+            if d | e and share > f:
+                assert len(d & e) / len(d | e) >= (share - f) / (share + f) - 1e-9
+            for low, high in ranges:
+                if low <= share < high:
+                    assert len(d) < high * len(a) or len(e) < high * len(b)
+
+
 def test_copies_edges(spark):
     five = "a b c d e"
     rows = [(5, five), (3, five.upper()), (9, "short text"), (4, "short  TEXT"), (1, None), (2, ""), (7, " \n"), (8, "a b c d e f"), (11, "w " * 30000), (12, "w " * 29999)]
