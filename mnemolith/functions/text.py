@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,24 +46,41 @@ def truncate_to_budget(text: Column, budget: Column | int) -> Column:
     return F.when(budget <= 0, "").when(F.octet_length(text) <= most, text).otherwise(F.concat(cut, F.lit("...")))
 
 
-def _mentions(text: Column, phrases: list[str]) -> Column:
-    """How many of the phrases stand in the text between ASCII word boundaries, in any case."""
-    found = F.lit(0)
+def _mention(phrase: str) -> str:
+    """Pattern of a phrase up to an ASCII word boundary."""
+    return f"{re.escape(phrase)}{'(?![0-9A-Za-z_])' if phrase[-1].isalnum() else '(?=[0-9A-Za-z_])'}"
+
+
+def mentions(text: Column, phrases: list[str]) -> Column:
+    """Those of the phrases that stand in the text between ASCII word boundaries, in any case, in one pass over the text.
+
+    Of phrases that begin alike the longest is met first at a place; the shorter ones that it holds are added."""
+    by_letter: dict[str, list[str]] = {}
+    for p in sorted(set(phrases), key=lambda p: (-len(p), p)):
+        by_letter.setdefault(p[0], []).append(_mention(p)[1:])
+    any_of = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in sorted(by_letter.items()))
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"(?i)(?<![0-9A-Za-z_])(?=({any_of}))"), F.lit(1)), F.lower)
     for p in phrases:
-        after = "(?![0-9A-Za-z_])" if p[-1].isalnum() else "(?=[0-9A-Za-z_])"
-        found = found + F.rlike(text, F.lit(f"(?i)(?<![0-9A-Za-z_])\\Q{p}\\E{after}")).cast("int")
+        within = [q for q in phrases if q != p and re.match(_mention(q), p)]
+        if within:
+            found = F.concat(found, F.when(F.array_contains(found, p), F.array(*map(F.lit, within))).otherwise(F.array().cast("array<string>")))
     return found
 
 
 def classify(text: Column) -> Column:
     """The type with most phrases; among equals rule, procedure, preference, episode; fact if there are none."""
-    text = F.coalesce(text, F.lit(""))
-    scores = [("rule", _mentions(text, RULE)), ("procedure", _mentions(text, PROCEDURE)), ("preference", _mentions(text, PREFERENCE)), ("episode", _mentions(text, EPISODE))]
-    best = F.greatest(*[s for _, s in scores])
-    out = F.when(best == 0, "fact")
-    for name, score in scores:
-        out = out.when(score == best, name)
-    return out
+    kinds = {"rule": RULE, "procedure": PROCEDURE, "preference": PREFERENCE, "episode": EPISODE}
+
+    def best(found: Column) -> Column:
+        scores = {kind: F.size(F.array_intersect(found, F.array(*map(F.lit, phrases)))) for kind, phrases in kinds.items()}
+        most = F.greatest(*scores.values())
+        out = F.when(most == 0, "fact")
+        for kind, score in scores.items():
+            out = out.when(score == most, kind)
+        return out
+
+    # As the element of an array, what is found is made once for all four scores.
+    return F.transform(F.array(mentions(F.coalesce(text, F.lit("")), [p for phrases in kinds.values() for p in phrases])), best)[0]
 
 
 def capture_gate(user: Column, assistant: Column, least_user: int = 20, least_assistant: int = 20, blocked: tuple[str, ...] = ("HEARTBEAT_OK", "NO_REPLY")) -> Column:

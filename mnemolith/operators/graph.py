@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from ..schema import RELATIONS
+from ..session import cut_off
 
 
 def active(facts: DataFrame) -> DataFrame:
@@ -18,9 +19,10 @@ def active(facts: DataFrame) -> DataFrame:
 
 
 def undirected(facts: DataFrame) -> DataFrame:
-    """(fact_id, src, dst, source_memory_ids) of every active fact in both directions."""
-    one = lambda a, b: active(facts).select(F.col("id").alias("fact_id"), F.col(a).alias("src"), F.col(b).alias("dst"), "source_memory_ids")
-    return one("source_entity_id", "target_entity_id").unionByName(one("target_entity_id", "source_entity_id"))
+    """(fact_id, src, dst, source_memory_ids) of every active fact in both directions, in one pass."""
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    both = F.array(way("source_entity_id", "target_entity_id"), way("target_entity_id", "source_entity_id"))
+    return active(facts).select(F.col("id").alias("fact_id"), "source_memory_ids", F.explode(both).alias("way")).select("fact_id", "way.src", "way.dst", "source_memory_ids")
 
 
 def expand(facts: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,33 +32,45 @@ def expand(facts: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def memories_within(facts: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """(memory_id, hops): the first hop at which a memory is met, going on from entities not visited before."""
+    """(memory_id, hops): the first hop at which a memory is met, going on from entities not visited before.
+
+    The facts are read once a hop; what a hop passed is cut off, so that later hops don't compute it again."""
     visited = frontier = seeds.select("entity_id").distinct()
     found = []
     for hop in range(1, depth + 1):
-        memories, neighbours = expand(facts, frontier)
-        found.append(memories.withColumn("hops", F.lit(hop)))
-        frontier = neighbours.join(visited, "entity_id", "left_anti")
+        passed = cut_off(undirected(facts).join(frontier.withColumnRenamed("entity_id", "src"), "src").select("dst", "source_memory_ids").distinct())
+        found.append(passed.select(F.explode("source_memory_ids").alias("memory_id"), F.lit(hop).alias("hops")))
+        frontier = passed.select(F.col("dst").alias("entity_id")).distinct().join(visited, "entity_id", "left_anti")
         visited = visited.unionByName(frontier)
     return reduce(DataFrame.unionByName, found).groupBy("memory_id").agg(F.min("hops").alias("hops"))
 
 
+def ranks_of(near: DataFrame, limit: int) -> DataFrame:
+    """(id, hops, rank) of the nearest of (memory_id, hops)."""
+    few = near.withColumnRenamed("memory_id", "id").orderBy("hops", "id").limit(limit)
+    return few.withColumn("rank", F.row_number().over(W.orderBy("hops", "id")))
+
+
 def graph_ranks(facts: DataFrame, seeds: DataFrame, limit: int, depth: int = 2) -> DataFrame:
     """(id, hops, rank) of the nearest memories."""
-    near = memories_within(facts, seeds, depth).withColumnRenamed("memory_id", "id").orderBy("hops", "id").limit(limit)
-    return near.withColumn("rank", F.row_number().over(W.orderBy("hops", "id")))
+    return ranks_of(memories_within(facts, seeds, depth), limit)
 
 
 def subgraph(facts: DataFrame, seed: str, hops: int = 3, limit: int = 200) -> DataFrame:
-    """(dist, entity_id, fact_id): ends and last edges of paths from the seed that repeat no edge, nearest first."""
+    """(dist, entity_id, fact_id): ends and last edges of paths from the seed that repeat no edge, nearest first.
+
+    Goes no further once the levels so far fill the limit, as all further rows come after them."""
     edges = undirected(facts).select("fact_id", "src", "dst")
     paths = edges.where(F.col("src") == seed).select(F.col("dst").alias("at"), F.array("fact_id").alias("path"))
-    levels = [paths]
-    for _ in range(hops - 1):
+    rows = None
+    for dist in range(1, hops + 1):
+        paths = cut_off(paths)
+        level = paths.select(F.lit(dist).alias("dist"), F.col("at").alias("entity_id"), F.element_at("path", -1).alias("fact_id")).distinct()
+        rows = level if rows is None else rows.unionByName(level)
+        if dist == hops or rows.limit(limit).count() == limit:
+            break
         paths = paths.join(edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("fact_id"))).select(F.col("dst").alias("at"), F.array_append("path", F.col("fact_id")).alias("path"))
-        levels.append(paths)
-    rows = [p.select(F.lit(i + 1).alias("dist"), F.col("at").alias("entity_id"), F.element_at("path", -1).alias("fact_id")).distinct() for i, p in enumerate(levels)]
-    return reduce(DataFrame.unionByName, rows).orderBy("dist", "entity_id", "fact_id").limit(limit)
+    return rows.orderBy("dist", "entity_id", "fact_id").limit(limit)
 
 
 def subgraph_nodes(paths: DataFrame) -> DataFrame:
@@ -80,6 +94,13 @@ def memories_of_facts(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("id").alias("fact_id"), F.explode("source_memory_ids").alias("memory_id")).distinct()
 
 
+def linked_by_entity(memories: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, candidate_id): for each of (id), the other memories that the facts of its entities name."""
+    named = undirected(facts).select("src", F.explode("source_memory_ids").alias("memory_id")).distinct()
+    mine = named.join(memories.select(F.col("id").alias("memory_id")).distinct(), "memory_id").select(F.col("memory_id").alias("id"), "src")
+    return mine.join(named.withColumnRenamed("memory_id", "candidate_id"), "src").where("id <> candidate_id").select("id", "candidate_id").distinct()
+
+
 def episodes_of_memory(episodes: DataFrame, memory) -> DataFrame:
     return episodes.where(F.array_contains("memory_ids", memory))
 
@@ -108,28 +129,20 @@ def migrate_relations(facts: DataFrame) -> DataFrame:
 def communities(facts: DataFrame) -> DataFrame:
     """(entity_id, community): connected components of the active facts, named by their smallest entity.
 
-    Rounds of hooking to the smallest neighbour and of pointer jumping; each is cut off in the checkpoint folder where there is one."""
-    edges = undirected(facts).select("src", "dst").distinct()
-    cut = _cutter(facts)
-    labels = cut(edges.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "entity_id"))
+    Rounds of hooking to the smallest neighbour and of pointer jumping; each is cut off in the checkpoint folder."""
+    edges = cut_off(undirected(facts).select("src", "dst").distinct())
+    labels = cut_off(edges.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "entity_id"))
     while True:
         near = edges.join(labels.withColumnRenamed("entity_id", "dst"), "dst").groupBy("src").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels["entity_id"] == near["src"]).select("entity_id", "label", F.least("label", "near").alias("hooked"))
         jumps = labels.select(F.col("entity_id").alias("hooked"), F.col("label").alias("jump"))
-        new = cut(hooked.join(jumps, "hooked").select("entity_id", "label", F.least("hooked", "jump").alias("new")))
+        new = cut_off(hooked.join(jumps, "hooked").select("entity_id", "label", F.least("hooked", "jump").alias("new")))
         changed = new.where("new <> label").limit(1).count()
         labels = new.select("entity_id", F.col("new").alias("label"))
         if not changed:
             return labels.withColumnRenamed("label", "community")
 
 
-def _cutter(df: DataFrame):
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return lambda x: x.checkpoint()
-    return lambda x: x.persist()
-
-
 def community_memories(entities: DataFrame, labels: DataFrame, community: str) -> DataFrame:
     members = labels.where(F.col("community") == community).select(F.col("entity_id").alias("id"))
     return entities.join(members, "id").select(F.explode("memory_ids").alias("memory_id")).distinct()

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_off
 from .filters import SearchFilters
 from .graph import communities
 from .search import similar_pairs
@@ -45,16 +46,16 @@ def resolve_conflicts(memories: DataFrame) -> DataFrame:
     return memories.join(groups, "conflict_group_id", "left").withColumn("conflict_status", F.when(hit, "resolved").otherwise(F.col("conflict_status"))).select(*memories.columns)
 
 
-def consolidation_pairs(memories: DataFrame, threshold: float = 0.92, blocks: int = 8) -> DataFrame:
+def consolidation_pairs(memories: DataFrame, threshold: float = 0.92, blocks: int | None = None) -> DataFrame:
     """(a, b, score) of permanent memories more alike than the threshold."""
     return similar_pairs(current(memories).where("scope = 'permanent'"), threshold, blocks)
 
 
-def consolidate(memories: DataFrame, threshold: float = 0.92, blocks: int = 8) -> DataFrame:
+def consolidate(memories: DataFrame, threshold: float = 0.92, blocks: int | None = None) -> DataFrame:
     """(id) of permanent memories to delete: newest first, each kept row is compared with the later ones; of two alike the more confident stays, and a row that goes stops comparing.
 
     Only rows of one component of alike pairs affect each other, so the order-bound part runs for each component on its own."""
-    pairs = consolidation_pairs(memories, threshold, blocks).persist()
+    pairs = cut_off(consolidation_pairs(memories, threshold, blocks))
     text = lambda c: F.col(c).cast("string")
     edges = pairs.select(F.concat_ws("-", text("a"), text("b")).alias("id"), text("a").alias("source_entity_id"), text("b").alias("target_entity_id"), F.lit(None).cast("timestamp").alias("expired_at"), F.array().cast("array<string>").alias("source_memory_ids"))
     groups = communities(edges)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,32 +30,66 @@ def find_duplicates(memories: DataFrame, query: list[float], threshold: float, c
     return near.limit(candidate_window) if candidate_window else near
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int) -> DataFrame:
-    """(a, b, score), a < b, of every pair of (id, embedding) with a cosine above the threshold.
+#: Vectors of a block: two blocks and their product fit a task.
+BLOCK_ROWS = 2000
+
 
-    Vectors are dealt into blocks by a hash of their ids; each pair of blocks is one matrix product. A vector is sent to
-    ``blocks`` groups, and a group holds two blocks, so choose blocks so that two fit a task."""
+def _products(vectors: DataFrame, blocks: int | None, work: Callable, columns: str) -> DataFrame:
+    """``work(scores, ids of the rows, ids of the columns, whether both are the same block)`` for each pair of blocks of (id, embedding).
+
+    Vectors are dealt into blocks by a hash of their ids, as many as their number asks for; each is sent to one group a block."""
+    rows = vectors.where("size(embedding) > 0").select("id", "embedding")
+    blocks = blocks or max(1, -(-rows.count() // BLOCK_ROWS))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")))
-    dealt = vectors.where("size(embedding) > 0").select("id", "embedding").withColumn("block", block).select("id", "embedding", "block", F.explode(both).alias("p")).select("id", "embedding", "block", "p.x", "p.y")
-    kind = vectors.schema["id"].dataType.simpleString()
+    dealt = rows.withColumn("block", block).select("id", "embedding", "block", F.explode(both).alias("p")).select("id", "embedding", "block", "p.x", "p.y")
 
-    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def product(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x, y = key
-        left, right = rows[rows["block"] == x], rows[rows["block"] == y]
-        found = []
-        if len(left) and len(right):
-            unit = lambda f: (m := np.stack(f["embedding"].to_list()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            u, v, a, b = unit(left), unit(right), left["id"].tolist(), right["id"].tolist()
-            for at in range(0, len(a), 1024):
-                scores = u[at : at + 1024] @ v.T
-                for i, j in zip(*np.nonzero(scores > threshold), strict=True):
-                    first, second = a[at + i], b[j]
-                    if x != y or first < second:
-                        found.append((min(first, second), max(first, second), float(scores[i, j])))
-        return pd.DataFrame(found, columns=["a", "b", "score"])
-
-    return dealt.groupBy("x", "y").applyInPandas(product, f"a {kind}, b {kind}, score double")
+        left, right = group[group["block"] == x], group[group["block"] == y]
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[c.split()[0] for c in columns.split(", ")])
+        unit = lambda f: (m := np.stack(f["embedding"].to_list()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        return work(unit(left) @ unit(right).T, left["id"].to_numpy(), right["id"].to_numpy(), x == y)
+
+    return dealt.groupBy("x", "y").applyInPandas(product, columns)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
+    """(a, b, score), a < b, of every pair of (id, embedding) with a cosine above the threshold."""
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def above(scores: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> pd.DataFrame:
+        i, j = np.nonzero(scores > threshold)
+        out = pd.DataFrame({"a": a[i], "b": b[j], "score": scores[i, j]})
+        if same:
+            return out[out["a"] < out["b"]]
+        turned = out["a"] > out["b"]
+        out.loc[turned, ["a", "b"]] = out.loc[turned, ["b", "a"]].to_numpy()
+        return out
+
+    return _products(vectors, blocks, above, f"a {kind}, b {kind}, score double")
+
+
+def nearest_before(vectors: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(id, existing_id, score): for each of (id, embedding) the most alike of those with a smaller id, the first among equals (to nine digits).
+
+    A product of blocks gives one row a vector at most, so no pairs are made."""
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def best(scores: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> pd.DataFrame:
+        scores, found = np.round(scores, 9), []
+        for s, new, old in ((scores, a, b),) if same else ((scores, a, b), (scores.T, b, a)):
+            order = np.argsort(old, kind="stable")
+            allowed = np.where(old[order][None, :] < new[:, None], s[:, order], -np.inf)
+            at = allowed.argmax(axis=1)
+            top = allowed[np.arange(len(new)), at]
+            found.append(pd.DataFrame({"id": new, "existing_id": old[order][at], "score": top})[top > -np.inf])
+        return pd.concat(found)
+
+    each = _products(vectors, blocks, best, f"id {kind}, existing_id {kind}, score double")
+    ranked = each.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "existing_id")).alias("m"))
+    return ranked.select("id", "m.existing_id", (-F.col("m.s")).alias("score"))
 
 
 def search_facts(facts: DataFrame, limit: int, query: str = "", embedding: list[float] | None = None, candidate_window: int | None = None) -> DataFrame:

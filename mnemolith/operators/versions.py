@@ -7,39 +7,38 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_off
 
-def chains(memories: DataFrame, depth: int = 100) -> DataFrame:
+
+def _followed(memories: DataFrame, heads: DataFrame) -> DataFrame:
+    """(head, id, depth): from each of (head) along ``supersedes_id`` to the end, to a missing link or to an id met before.
+
+    Steps double in length, so a chain of n versions takes about log2(n) rounds."""
+    links = memories.select("id", F.col("supersedes_id").alias("next")).where("next is not null")
+    jumps = cut_off(links.join(memories.select(F.col("id").alias("next")), "next", "left_semi").select("id", "next"))
+    reached, size = cut_off(heads.select("head", F.col("head").alias("id"), F.lit(0).alias("depth"))), 1
+    while True:
+        further = reached.join(jumps, "id").select("head", F.col("next").alias("id"), (F.col("depth") + size).alias("depth"))
+        new = cut_off(further.join(reached.select("head", "id"), ["head", "id"], "left_anti").groupBy("head", "id").agg(F.min("depth").alias("depth")))
+        if new.isEmpty():
+            return reached
+        reached, size = cut_off(reached.unionByName(new)), 2 * size
+        jumps = cut_off(jumps.join(jumps.select(F.col("id").alias("next"), F.col("next").alias("last")), "next").select("id", F.col("last").alias("next")))
+
+
+def chains(memories: DataFrame) -> DataFrame:
     """(head, id, depth): from every memory that nothing supersedes back along ``supersedes_id``, the newest at depth 0.
 
-    Goes on while a step finds anything, and stops at missing links; a cycle has no head and gives no rows."""
-    links = memories.select("id", "supersedes_id")
-    superseded = links.where("supersedes_id is not null").select(F.col("supersedes_id").alias("id")).distinct()
-    step = links.join(superseded, "id", "left_anti").where("supersedes_id is not null").select(F.col("id").alias("head"), "id", "supersedes_id", F.lit(0).alias("depth"))
-    out = step
-    older = links.select(F.col("id").alias("next"), F.col("supersedes_id").alias("next_supersedes"))
-    for d in range(1, depth + 1):
-        step = step.join(older, F.col("supersedes_id") == F.col("next")).select("head", F.col("next").alias("id"), F.col("next_supersedes").alias("supersedes_id"), F.lit(d).alias("depth")).persist()
-        if step.limit(1).count() == 0:
-            break
-        out = out.unionByName(step)
-    return out.select("head", "id", "depth")
-
-
-def chain_of(memories: DataFrame, key, depth: int = 100) -> DataFrame:
+    Stops at missing links; a cycle has no head and gives no rows."""
+    superseded = memories.where("supersedes_id is not null").select(F.col("supersedes_id").alias("id")).distinct()
+    heads = memories.where("supersedes_id is not null").join(superseded, "id", "left_anti").select(F.col("id").alias("head"))
+    return _followed(memories, heads).select("head", "id", "depth")
+
+
+def chain_of(memories: DataFrame, key) -> DataFrame:
     """One memory and what it supersedes, newest first; each id once."""
-    seen, rows, at = [], memories, key
-    for _ in range(depth):
-        row = rows.where(F.col("id") == at).select("id", "supersedes_id").first()
-        if row is None or row["id"] in seen:
-            break
-        seen.append(row["id"])
-        at = row["supersedes_id"]
-        if at is None:
-            break
-    if not seen:
-        return memories.limit(0)
-    order = F.array_position(F.array(*[F.lit(i) for i in seen]), F.col("id"))
-    return memories.where(F.col("id").isin(seen)).orderBy(order)
+    chain = _followed(memories, memories.where(F.col("id") == key).select(F.col("id").alias("head")))
+    return memories.join(chain.select("id", F.col("depth").alias("__depth")), "id").orderBy("__depth").select(*memories.columns)
 
 
 def invalidate(memories: DataFrame, keys: list, now: datetime) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import significant_words, trimmed
+from ..session import cut_off
 
 DEDUP, REINFORCE, DUPLICATE, BOOST = 0.92, 0.80, 0.95, 0.05
 CANDIDATE, AUTO_CONFIRM, MOST_CANDIDATES = 0.75, 0.82, 20
@@ -157,7 +158,7 @@ def import_cleanse(rows: DataFrame, now: datetime) -> DataFrame:
     return out
 
 
-def batch_dedup(incoming: DataFrame, stored: DataFrame, threshold: float = DEDUP, blocks: int = 8) -> DataFrame:
+def batch_dedup(incoming: DataFrame, stored: DataFrame, threshold: float = DEDUP, blocks: int | None = None) -> DataFrame:
     """(id, status, existing_id) of (id, seq, content, embedding), where each row also sees what earlier ones made of the store.
 
     A row joins the most alike record at or above the threshold and takes its place if it is longer; else it is a new record. Only
@@ -168,7 +169,7 @@ def batch_dedup(incoming: DataFrame, stored: DataFrame, threshold: float = DEDUP
     text = lambda c: F.col(c).cast("string")
     name = lambda mark, df: df.select(F.concat(F.lit(mark), text("id")).alias("id"), "embedding", F.octet_length("content").alias("size"))
     every = name("n:", incoming).unionByName(name("s:", stored))
-    pairs = similar_pairs(every, threshold - 1e-12, blocks).where("a like 'n:%' or b like 'n:%'").persist()
+    pairs = cut_off(similar_pairs(every, threshold - 1e-12, blocks).where("a like 'n:%' or b like 'n:%'"))
     edges = pairs.select(F.concat_ws(" ", "a", "b").alias("id"), F.col("a").alias("source_entity_id"), F.col("b").alias("target_entity_id"), F.lit(None).cast("timestamp").alias("expired_at"), F.array().cast("array<string>").alias("source_memory_ids"))
     groups = communities(edges)
     order = incoming.select(F.concat(F.lit("n:"), text("id")).alias("id"), "seq")

@@ -10,7 +10,7 @@ from ..operators import graph, lifecycle, stats, versions, writes
 from ..operators.chunks import pieces
 from ..operators.filters import SearchFilters
 from ..operators.ranking import community_sweep
-from ..operators.search import knn, seed_entities, similar_pairs
+from ..operators.search import knn, nearest_before, seed_entities, similar_pairs
 from ..sources import files
 from ..sources import tables as T
 from ..streaming import wal
@@ -235,33 +235,31 @@ VECTORS = "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e
 @query(VECTORS)
 def similar_vectors(spark, sf_dir):
     vectors = T.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return similar_pairs(vectors, 0.4, 8).select("a", "b", F.round("score", 6).alias("score"))
+    return similar_pairs(vectors, 0.4).select("a", "b", F.round("score", 6).alias("score"))
 
 
-BEST = f"""
-incoming AS (SELECT * FROM memories WHERE embedding IS NOT NULL AND id % 10 = 7),
-best AS (SELECT p.id, p.content, m.id AS existing_id, m.content AS existing_content, list_cosine_similarity(p.embedding, m.embedding) AS score FROM incoming p JOIN memories m ON m.embedding IS NOT NULL AND m.id % 10 <> 7
-  QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY list_cosine_similarity(p.embedding, m.embedding) DESC, m.id) = 1)"""
+BEST = """
+incoming AS (SELECT * FROM memories WHERE embedding IS NOT NULL),
+best AS (SELECT p.id, p.content, m.id AS existing_id, m.content AS existing_content, round(list_cosine_similarity(p.embedding, m.embedding), 9) AS score FROM incoming p LEFT JOIN incoming m ON m.id < p.id
+  QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY round(list_cosine_similarity(p.embedding, m.embedding), 9) DESC NULLS LAST, m.id) = 1)"""
 
 
 def _best(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Rows that end old versions, as if they came in anew, with the nearest of the others."""
+    """Every memory with a vector, as it came in, and the most alike of those before it."""
     memories = T.memories(spark, sf_dir).where("embedding is not null")
-    new, old = memories.where("id % 10 = 7"), memories.where("id % 10 <> 7")
-    pairs = similar_pairs(memories.select("id", "embedding"), -1.0, 8)
-    both = pairs.where("(a % 10 = 7) <> (b % 10 = 7)").select(F.when(F.col("a") % 10 == 7, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(F.col("a") % 10 == 7, F.col("b")).otherwise(F.col("a")).alias("existing_id"), "score")
-    best = both.groupBy("id").agg(F.max_by(F.struct("existing_id", "score"), F.struct("score", (-F.col("existing_id")).alias("x"))).alias("m")).select("id", "m.*")
-    return new.select("id", "content"), best.join(old.select(F.col("id").alias("existing_id"), F.col("content").alias("existing_content")), "existing_id")
+    best = nearest_before(memories.select("id", "embedding"))
+    return memories.select("id", "content"), best.join(memories.select(F.col("id").alias("existing_id"), F.col("content").alias("existing_content")), "existing_id")
 
 
-@query("SELECT id, CASE WHEN score < 0.3 THEN 'created' WHEN strlen(content) > strlen(existing_content) THEN 'updated' ELSE 'duplicate' END AS status, CASE WHEN score >= 0.3 THEN existing_id END AS existing_id FROM best", (M, BEST))
+@query("SELECT id, CASE WHEN coalesce(score, 0) < 0.3 THEN 'created' WHEN strlen(content) > strlen(existing_content) THEN 'updated' ELSE 'duplicate' END AS status, CASE WHEN score >= 0.3 THEN existing_id END AS existing_id FROM best", (M, BEST))
 def dedup_decision(spark, sf_dir):
     return writes.dedup_decision(*_best(spark, sf_dir), threshold=0.3)
 
 
 @query("SELECT id, CASE WHEN score >= 0.4 THEN 'duplicate' WHEN score >= 0.25 THEN 'reinforce' ELSE 'store' END AS decision FROM best", (M, BEST))
 def reinforce_decision(spark, sf_dir):
-    return _best(spark, sf_dir)[1].select("id", writes.capture_decision(F.col("score"), 0.25, 0.4).alias("decision"))
+    new, best = _best(spark, sf_dir)
+    return new.select("id").join(best, "id", "left").select("id", writes.capture_decision(F.col("score"), 0.25, 0.4).alias("decision"))
 
 
 @query(f"SELECT id, least(1, confidence + CASE WHEN hit THEN 0.05::double ELSE 0 END) AS confidence, (reinforced_count + hit::int)::int AS reinforced_count FROM (SELECT *, id IN (SELECT id FROM memories WHERE {CURRENT} AND type = 'fact') AS hit FROM memories)", (M,))

@@ -12,6 +12,7 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import evaluation, graph, ranking, search
 from ..operators.filters import SearchFilters, keyset_page, page
+from ..session import cut_off
 from ..sources import tables as T
 from .registry import query
 
@@ -146,10 +147,11 @@ merged AS (SELECT coalesce(v.id, g.id) AS id, coalesce(0.6::double / (60 + rank_
 def recall_with_graph(spark, sf_dir):
     memories, facts = T.memories(spark, sf_dir), T.facts(spark, sf_dir)
     near = search.knn(memories, probe(spark, sf_dir), 50)
-    linked = graph.graph_ranks(facts, seeds(spark), 50)
+    within = cut_off(graph.memories_within(facts, seeds(spark)))
+    linked = graph.ranks_of(within, 50)
     blend = ranking.rrf_blend(ranking.with_rank(near.select("id", "score"), F.desc("score"), F.col("id")), linked)
     pool = SearchFilters().apply(memories).join(blend, "id").withColumn("score", F.col("rrf"))
-    hops = graph.memories_within(facts, seeds(spark)).withColumnRenamed("memory_id", "id")
+    hops = within.withColumnRenamed("memory_id", "id")
     return ranking.rank(pool, ASKED, T.NOW, PROJECT, proximity=hops).limit(20).select("id", ROUND("rrf").alias("rrf"), ROUND("final_score").alias("final_score"))
 
 
@@ -241,7 +243,12 @@ def tag_affinity(spark, sf_dir):
 
 
 QUESTIONS = "q AS (SELECT item_id AS question_id, text AS ground_truth, CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'single-hop' ELSE 'multi-hop' END AS category FROM benchmark)"
-RETRIEVED = "found AS (SELECT question_id, ground_truth, category, row_number() OVER (PARTITION BY question_id ORDER BY doc_id) AS rank, content FROM (SELECT q.*, doc_id, text AS content FROM q JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = question_id) ) "
+SIGNIFICANT = r"list_filter(list_transform(list_filter(string_split_regex(lower({0}), '\s+'), lambda x: x <> ''), lambda w: trim(w, '.,;:\"''()')), lambda w: strlen(w) >= 4 AND w NOT IN ('the', 'and', 'for', 'that', 'this', 'with', 'from', 'have', 'been', 'they'))"
+RETRIEVED = f"""
+asked AS (SELECT *, list_distinct({SIGNIFICANT.format('ground_truth')}) AS sought FROM q),
+told AS (SELECT doc_id, text AS content, list_distinct({SIGNIFICANT.format('text')}) AS said FROM documents),
+found AS (SELECT question_id, ground_truth, category, content, row_number() OVER (PARTITION BY question_id ORDER BY len(list_intersect(sought, said)) DESC, doc_id) AS rank
+  FROM asked JOIN told ON len(list_intersect(sought, said)) > 0)"""
 WORDS = "regexp_extract_all(lower({0}), '[a-z0-9'']+')"
 SCORED = (
     "scored AS (SELECT *, CASE WHEN shared = 0 THEN 0 ELSE 2.0::double * shared / (len(a) + len(b)) END AS f1, ground_truth <> '' AND contains(lower(content), lower(ground_truth)) AS exact FROM ("
@@ -261,14 +268,15 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("ground_truth"), category.alias("category"))
 
 
-def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each question the documents dealt to it, in order of their ids."""
-    asked = questions(spark, sf_dir)
-    n = asked.count()
-    docs = T.read(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("question_id"), "doc_id", F.col("text").alias("content"))
-    place = F.row_number().over(W.partitionBy("question_id").orderBy("doc_id"))
-    few = docs.select("question_id", "doc_id").withColumn("rank", place).where("rank <= 3")
-    return few.join(docs.drop("question_id"), "doc_id").join(asked, "question_id")
+def retrieved(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """The ``k`` documents that share most of each question's significant words, best first; texts are read for these only."""
+    asked, docs = questions(spark, sf_dir), T.read(spark, sf_dir, "documents")
+    sought = asked.select("question_id", F.explode(F.array_distinct(X.significant_words(F.col("ground_truth")))).alias("word"))
+    said = docs.select("doc_id", F.explode(F.array_distinct(X.significant_words(F.col("text")))).alias("word"))
+    shared = said.join(sought, "word").groupBy("question_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("shared"), "doc_id"))
+    few = cut_off(shared.withColumn("rank", place).where(F.col("rank") <= k).select("question_id", "doc_id", "rank"))
+    return few.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").join(asked, "question_id")
 
 
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,8 +300,17 @@ def eval_by_category(spark, sf_dir):
 
 @query("SELECT item_id, count(*) AS hits FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY item_id")
 def exact_match_hits(spark, sf_dir):
-    """Which documents hold which benchmark passage. The benchmark is a fixed, small question set; its size is checked before it is sent everywhere."""
+    """How many documents hold each benchmark passage.
+
+    A passage's inner words, between its single spaces, are whole words of every text that holds it, so only documents with
+    its longest inner word are searched for it; passages without inner words are searched for everywhere."""
     asked = T.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
     docs = T.read(spark, sf_dir, "documents").select("doc_id", "text")
-    side = F.broadcast(asked) if asked.count() <= 100_000 else asked
-    return docs.join(side, X.exact_match(F.col("text"), F.col("truth"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"))
+    parts = F.split(F.lower("truth"), " ")
+    inner = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    anchored = asked.withColumn("anchor", F.array_max(inner)["w"])
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("anchor"))
+    maybe = words.join(anchored.where("anchor is not null"), "anchor").select("doc_id", "item_id", "truth")
+    hits = maybe.join(docs, "doc_id").where(X.exact_match(F.col("text"), F.col("truth"))).select("item_id")
+    bare = anchored.where("anchor is null").join(docs, X.exact_match(F.col("text"), F.col("truth"))).select("item_id")
+    return hits.unionByName(bare).groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"))
