@@ -91,6 +91,19 @@ def capture_gate(user: Column, assistant: Column, least_user: int = 20, least_as
     return keep
 
 
+def confident(confidence: Column, least: float = 0.5) -> Column:
+    """Whether a captured memory is sure enough to keep; never for an unknown confidence."""
+    return F.coalesce(confidence >= least, F.lit(False))
+
+
+def healthy(checks: list[Column]) -> Column:
+    """Whether no check failed; one that was skipped (null) counts as passed."""
+    out = F.lit(True)
+    for check in checks:
+        out = out & F.coalesce(check, F.lit(True))
+    return out
+
+
 def strip_marks(word: Column, marks: str) -> Column:
     return F.btrim(word, F.lit(marks))
 

@@ -46,6 +46,17 @@ def resolve_conflicts(memories: DataFrame) -> DataFrame:
     return memories.join(groups, "conflict_group_id", "left").withColumn("conflict_status", F.when(hit, "resolved").otherwise(F.col("conflict_status"))).select(*memories.columns)
 
 
+def conflict_winners(memories: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(conflict_group_id, id): of each active group's members whose confidence is within the tolerance of the highest the newest wins, the smaller id among equals."""
+    rows = current(memories)
+    groups = conflict_groups(rows).select("conflict_group_id")
+    members = rows.where("conflict_status = 'active'").join(groups, "conflict_group_id").select("conflict_group_id", "id", "confidence", "created_at")
+    best = members.groupBy("conflict_group_id").agg(F.max("confidence").alias("best"))
+    near = members.join(best, "conflict_group_id").where(F.col("confidence") >= F.col("best") - tolerance)
+    newest = F.min(F.struct((-F.unix_micros("created_at")).alias("t"), "id"))["id"]
+    return near.groupBy("conflict_group_id").agg(newest.alias("id"))
+
+
 def consolidation_pairs(memories: DataFrame, threshold: float = 0.92, blocks: int | None = None) -> DataFrame:
     """(a, b, score) of permanent memories more alike than the threshold."""
     return similar_pairs(current(memories).where("scope = 'permanent'"), threshold, blocks)

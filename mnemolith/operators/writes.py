@@ -111,19 +111,19 @@ def fact_conflict(text: Column, relation: Column, fact: Column) -> Column:
     return F.array_contains(signalled(text), F.upper(relation)) & (F.size(told) > 0) & (shared < F.floor((F.size(told) + 1) / 2))
 
 
-def contradictions(new: DataFrame, near: DataFrame, linked: DataFrame | None = None, confirm: Column | None = None) -> DataFrame:
+def contradictions(new: DataFrame, near: DataFrame, linked: DataFrame | None = None, confirm: Column | None = None, candidate: float = CANDIDATE, auto: float = AUTO_CONFIRM) -> DataFrame:
     """(id, candidate_id, score, stage): memories that contradict ``new`` (id, content).
 
     Candidates are the nearest (id, candidate_id, candidate_content, score) at or above the threshold, and those linked by entities, at the
-    threshold; of both the first score holds. They must share a relation by keyword. Above ``AUTO_CONFIRM`` that is enough; below, ``confirm``
+    threshold; of both the first score holds. They must share a relation by keyword. Above ``auto`` that is enough; below, ``confirm``
     (a column of the candidate) decides, where there is one."""
-    pool = near.where(F.col("score") >= CANDIDATE).withColumn("__o", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "candidate_id"))).where(F.col("__o") <= MOST_CANDIDATES).drop("__o")
+    pool = near.where(F.col("score") >= candidate).withColumn("__o", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "candidate_id"))).where(F.col("__o") <= MOST_CANDIDATES).drop("__o")
     if linked is not None:
         extra = linked.join(pool.select("id", "candidate_id"), ["id", "candidate_id"], "left_anti")
-        pool = pool.unionByName(extra.select("id", "candidate_id", "candidate_content", F.lit(CANDIDATE).alias("score")))
+        pool = pool.unionByName(extra.select("id", "candidate_id", "candidate_content", F.lit(candidate).alias("score")))
     hits = new.select("id", "content").join(pool, "id").where(keyword_conflict(F.col("content"), F.col("candidate_content")))
-    stage = F.when(F.col("score") >= AUTO_CONFIRM, "auto").otherwise("confirmed" if confirm is not None else "keyword")
-    sure = F.lit(True) if confirm is None else (F.col("score") >= AUTO_CONFIRM) | confirm
+    stage = F.when(F.col("score") >= auto, "auto").otherwise("confirmed" if confirm is not None else "keyword")
+    sure = F.lit(True) if confirm is None else (F.col("score") >= auto) | confirm
     return hits.where(sure).select("id", "candidate_id", "score", stage.alias("stage"))
 
 

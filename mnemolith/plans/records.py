@@ -33,7 +33,7 @@ def supersession_chain(spark, sf_dir):
     return versions.chains(T.memories(spark, sf_dir))
 
 
-@query("SELECT id, valid_from, valid_to FROM memories WHERE id IN (19, 18, 17)", (M,))
+@query("SELECT id, valid_from, valid_to FROM memories JOIN walk USING (id)", (M, "walk(id, next) AS (SELECT id, supersedes_id FROM memories WHERE id = 19 UNION ALL SELECT m.id, m.supersedes_id FROM walk w JOIN memories m ON m.id = w.next)"), recursive=True)
 def version_history(spark, sf_dir):
     return versions.chain_of(T.memories(spark, sf_dir), 19).select("id", "valid_from", "valid_to")
 
@@ -64,9 +64,11 @@ def graph_subgraph(spark, sf_dir):
     return graph.subgraph(T.facts(spark, sf_dir), "n3", 2)
 
 
-@query("SELECT id, relation_type FROM facts WHERE expired_at IS NULL AND least(source_entity_id, target_entity_id) = 'n3' AND greatest(source_entity_id, target_entity_id) = 'r1'", (FAC,))
+@query("SELECT f.id, f.relation_type FROM facts f, (SELECT source_entity_id AS a, target_entity_id AS b FROM facts WHERE relation_type = 'USES' AND expired_at IS NULL ORDER BY id LIMIT 1) WHERE expired_at IS NULL AND least(source_entity_id, target_entity_id) = least(a, b) AND greatest(source_entity_id, target_entity_id) = greatest(a, b)", (FAC,))
 def facts_between(spark, sf_dir):
-    return graph.facts_between(T.facts(spark, sf_dir), "r1", "n3").select("id", "relation_type")
+    facts = T.facts(spark, sf_dir)
+    one = facts.where("relation_type = 'USES' and expired_at is null").orderBy("id").select("target_entity_id", "source_entity_id").first()
+    return graph.facts_between(facts, *one).select("id", "relation_type")
 
 
 @query("SELECT id, relation_type FROM facts WHERE expired_at IS NULL AND (source_entity_id = 'c7' OR target_entity_id = 'c7')", (FAC,))
