@@ -1,8 +1,10 @@
 """Token-id files: concatenated ids with Elias-Fano coded document boundaries.
 
 A file is a table of shards in ascending document order. A shard holds the ids of its documents end to end
-(16 bits each where the vocabulary allows, else 32), the document ids, and the boundaries as an Elias-Fano code with a
-sampled select structure: about 2 + log2(ids / documents) bits for each document instead of a 64-bit offset.
+(16 bits each where the vocabulary allows, else 32), and Elias-Fano codes with a sampled select structure of the
+boundaries, about 2 + log2(ids / documents) bits for each document instead of a 64-bit offset, and of the document ids.
+Beside each shard stands the number of ids before it in its range of documents, so only a number a range is added on
+reading.
 
 Defined results: a null text counts as empty; a null document id sorts before all others; rows that share an id are
 ordered by their text; an empty table gives no shard and no row; columns other than the id and the text are not read.
@@ -29,7 +31,9 @@ SHARD_IDS = 1_000_000
 #: A select sample for every so many documents.
 SAMPLE = 256
 MAGIC = b"EFTOKEN1"
-HEADER = struct.Struct("<8sHHIQIII")
+HEADER, CODE = struct.Struct("<8sHHIQq"), struct.Struct("<IIIII")
+#: Bytes of stored text to a range of documents; ranges up to which what lies before each is broadcast; ranges at most.
+RANGE_BYTES, BROADCAST_RANGES, MOST_RANGES = 32 << 20, 500_000, 100_000
 
 
 class EliasFano:
@@ -89,33 +93,44 @@ class EliasFano:
     def n_bytes(self) -> int:
         return len(self.low) + len(self.high) + self.samples.nbytes
 
+    def to_bytes(self) -> bytes:
+        samples = self.samples.astype("<u4").tobytes()
+        return CODE.pack(self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low + self.high + samples
+
+    @classmethod
+    def read(cls, blob: bytes, at: int) -> tuple[EliasFano, int]:
+        """The code that begins at a place, and the place behind it."""
+        n, low_bits, low, high, samples = CODE.unpack_from(blob, at)
+        at += CODE.size
+        end = at + low + high + 4 * samples
+        return cls(n, low_bits, blob[at : at + low], blob[at + low : at + low + high], np.frombuffer(blob, "<u4", samples, at + low + high)), end
+
 
 def pack_shard(doc_ids: list[int | None], pieces: list[bytes], width: int) -> bytes:
-    """One shard: header, document ids with their null flags, boundaries, ids."""
+    """One shard: header, document ids (nulls first, then ascending), boundaries, ids."""
     sizes = np.array([len(p) // width for p in pieces], dtype=np.int64)
+    known = [d for d in doc_ids if d is not None]
+    first = known[0] if known else 0
+    keys = EliasFano.build(np.array([d - first for d in known], dtype=np.uint64))
     ends = EliasFano.build(np.cumsum(sizes))
-    known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
-    keys = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    head = HEADER.pack(MAGIC, width, ends.low_bits, len(pieces), int(sizes.sum()), len(ends.low), len(ends.high), len(ends.samples))
-    return b"".join([head, known.tobytes(), keys.tobytes(), ends.low, ends.high, ends.samples.astype("<u4").tobytes(), *pieces])
+    head = HEADER.pack(MAGIC, width, 0, len(doc_ids) - len(known), int(sizes.sum()), first)
+    return b"".join([head, keys.to_bytes(), ends.to_bytes(), *pieces])
 
 
 class Shard:
     """A shard read back from its bytes."""
 
     def __init__(self, blob: bytes):
-        magic, width, low_bits, n, self.n_ids, low, high, samples = HEADER.unpack_from(blob)
+        magic, width, _, self.n_null, self.n_ids, self.first = HEADER.unpack_from(blob)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = HEADER.size
-        known = np.frombuffer(blob, np.uint8, n, at)
-        keys = np.frombuffer(blob, "<i8", n, at + n)
-        self.doc_ids = [int(k) if f else None for k, f in zip(keys, known, strict=True)]
-        at += 9 * n
-        self.ends = EliasFano(n, low_bits, blob[at : at + low], blob[at + low : at + low + high], np.frombuffer(blob, "<u4", samples, at + low + high))
-        at += low + high + 4 * samples
+        self.keys, at = EliasFano.read(blob, HEADER.size)
+        self.ends, at = EliasFano.read(blob, at)
         self.ids = np.frombuffer(blob, f"<u{width}", self.n_ids, at)
 
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_null else self.first + self.keys.select(i - self.n_null)
+
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document, found by two selects."""
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
@@ -193,24 +208,26 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     """Encode (doc_id, text) and write shards to ``path`` in ascending order of doc_id.
 
     Ranges of document ids are shuffled, sorted and encoded each on its own; a range becomes one or more shards."""
-    n = buckets or 4 * shuffle_partitions(docs.sparkSession)
+    about = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = buckets or max(4 * shuffle_partitions(docs.sparkSession), min(-(-about // RANGE_BYTES), MOST_RANGES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     bounds = order_bounds(rows, "doc_id", n)
-    ordered = rows.withColumn("bucket", bucket_of(F.col("doc_id"), bounds)).repartition(max(1, len(bounds)), "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "text")
+    ordered = rows.withColumn("bucket", bucket_of(F.col("doc_id"), bounds)).repartitionByRange(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "text")
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer, width)
-        bucket, seq, ids, pieces, size = None, 0, [], [], 0
+        bucket, seq, before, ids, pieces, size = None, 0, 0, [], [], 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame({"bucket": [bucket], "seq": [seq], "n_docs": [len(ids)], "n_ids": [size // width], "blob": [pack_shard(ids, pieces, width)]})
+            return pd.DataFrame({"bucket": [bucket], "seq": [seq], "n_docs": [len(ids)], "n_ids": [size // width], "before": [before], "blob": [pack_shard(ids, pieces, width)]})
 
         for batch in batches:
             for b, known, doc_id, text in zip(batch["bucket"], batch["doc_id"].notna(), batch["doc_id"], batch["text"], strict=True):
                 if ids and (b != bucket or size >= shard_ids * width):
                     yield flush()
-                    seq, ids, pieces, size = (seq + 1 if b == bucket else 0), [], [], 0
+                    seq, before = (seq + 1, before + size // width) if b == bucket else (0, 0)
+                    ids, pieces, size = [], [], 0
                 bucket = b
                 ids.append(int(doc_id) if known else None)
                 pieces.append(encode(text) + end)
@@ -218,39 +235,43 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
         if ids:
             yield flush()
 
-    ordered.select("bucket", "doc_id", "text").mapInPandas(shards, "bucket int, seq int, n_docs long, n_ids long, blob binary").write.option("compression", "snappy").parquet(path)
+    ordered.select("bucket", "doc_id", "text").mapInPandas(shards, "bucket int, seq int, n_docs long, n_ids long, before long, blob binary").write.option("compression", "snappy").parquet(path)
 
 
-def shard_index(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each shard with the count of all ids before it. One row a shard, so this table is small."""
+def range_index(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, base): for each range the count of all ids before it. One row a range, so this table is small."""
     from pyspark.sql import Window
 
-    before = Window.orderBy("bucket", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return spark.read.parquet(path).select("bucket", "seq", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("bucket", "seq", "base")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = spark.read.parquet(path).groupBy("bucket").agg(F.sum("n_ids").alias("n_ids"))
+    return ranges.select("bucket", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, from the stored shards and their boundaries."""
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, from the stored shards: each boundary by a select."""
     columns = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for base, blob in zip(batch["base"], batch["blob"], strict=True):
                 shard = Shard(blob)
-                ends = shard.ends.values()
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+                ends = [shard.ends.select(i) for i in range(shard.ends.n)]
+                starts = [0, *ends[:-1]] if ends else []
                 wide = memoryview(shard.ids.astype("<u4").tobytes())
                 out = {
-                    "doc_id": pd.array(shard.doc_ids, dtype="Int64"),
-                    "start": starts + base,
-                    "n_tokens": ends - starts,
-                    "ids_crc32": [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)],
+                    "doc_id": pd.array([shard.doc_id(i) for i in range(len(ends))], dtype="Int64"),
+                    "start": [base + a for a in starts],
+                    "n_tokens": [b - a for a, b in zip(starts, ends, strict=True)],
+                    "ids_crc32": [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)],
                 }
                 if with_ids:
                     out["ids"] = [shard.ids[a:b].astype(np.int32) for a, b in zip(starts, ends, strict=True)]
                 yield pd.DataFrame(out)
 
-    return spark.read.parquet(path).join(shard_index(spark, path), ["bucket", "seq"]).select("base", "blob").mapInPandas(read, columns)
+    index = range_index(spark, path)
+    side = F.broadcast(index) if index.count() <= BROADCAST_RANGES else index
+    shards = spark.read.parquet(path).select("bucket", "before", "blob").join(side, "bucket")
+    return shards.select((F.col("base") + F.col("before")).alias("base"), "blob").mapInPandas(read, columns)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
