@@ -88,11 +88,14 @@ def pattern_count(text: Column, pattern: str) -> Column:
 
 def document_history(docs: DataFrame) -> DataFrame:
     """The changes that a corpus goes through: all documents arrive counted in words, English ones are counted anew in
-    parts, and documents of fewer than 50 words are deleted."""
+    parts, and documents of fewer than 50 words are deleted and then inserted again, so that all are counted in the end."""
     counted = docs.select("source", "lang", pattern_count(F.col("text"), WORD).alias("words"), pattern_count(F.col("text"), PARTS).alias("parts"))
     change = lambda batch, op, new, old: F.struct(F.lit(batch).cast("long").alias("batch"), F.lit(op).alias("op"), *[F.lit(v).alias(k) for k, v in (("tokenizer", new), ("old_tokenizer", old))])
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    steps = F.filter(F.array(change(1, "insert", "words-1", None), F.when(english, change(2, "revise", "parts-1", "words-1")), F.when(F.col("words") < 50, F.when(english, change(3, "delete", None, "parts-1")).otherwise(change(3, "delete", None, "words-1")))), lambda s: s.isNotNull())
+    short = F.col("words") < 50
+    gone = F.when(english, change(3, "delete", None, "parts-1")).otherwise(change(3, "delete", None, "words-1"))
+    back = F.when(english, change(4, "insert", "parts-1", None)).otherwise(change(4, "insert", "words-1", None))
+    steps = F.filter(F.array(change(1, "insert", "words-1", None), F.when(english, change(2, "revise", "parts-1", "words-1")), F.when(short, gone), F.when(short, back)), lambda s: s.isNotNull())
     count = lambda c: F.when(F.col(c) == "parts-1", F.col("parts")).when(F.col(c) == "words-1", F.col("words"))
     return counted.withColumn("s", F.explode(steps)).select("s.*", "source", "lang", F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), "words", "parts").withColumn("tokens", count("tokenizer")).withColumn("old_tokens", count("old_tokenizer"))
 
@@ -147,5 +150,5 @@ WITH counted AS (
   SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words, len(regexp_extract_all(coalesce(text, ''), '{PARTS}')) AS parts FROM documents
 )
 SELECT source, lang, CASE WHEN lang = 'en' THEN 'parts-1' ELSE 'words-1' END AS tokenizer, count(*)::bigint AS n_docs, sum(CASE WHEN lang = 'en' THEN parts ELSE words END)::bigint AS n_tokens
-FROM counted WHERE words >= 50 GROUP BY ALL
+FROM counted GROUP BY ALL
 """

@@ -109,7 +109,10 @@ def test_token_files(spark, small, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f")).count() > 7
     blob = spark.read.parquet(str(tmp_path / "f")).orderBy("bucket", "seq").first()["blob"]
     shard = tf.Shard(bytes(blob))
-    assert shard.document(0).tolist() == library.encode("null id").ids + [2]
+    assert shard.document(0).tolist() == library.encode("null id").ids + [2] and shard.doc_id(0) is None
+    far = [None, None, -(1 << 63), -5, -5, 0, 7, (1 << 63) - 1]
+    packed = tf.Shard(tf.pack_shard(far, [bytes([i, 0]) for i in range(8)], 2))
+    assert [packed.doc_id(i) for i in range(8)] == far and [packed.document(i).tolist() for i in range(8)] == [[i] for i in range(8)]
     tf.write_token_files(frame(spark, []), str(tmp_path / "e"), path)
     assert tf.read_token_files(spark, str(tmp_path / "e")).count() == 0
 
@@ -253,7 +256,8 @@ def test_rollup_of_documents_equals_a_recount(spark, small):
     docs = pd.read_parquet(f"{small}/documents.parquet")
     got = {tuple(r) for r in tc.op8_token_counts(spark, small).collect()}
     n = docs.assign(w=docs.text.str.encode("utf-8").map(lambda b: len(b.split())))
-    n = n[(n.w >= 50) & (n.lang != "en")].groupby(["source", "lang"]).agg(d=("w", "size"), t=("w", "sum"))
+    n = n[n.lang != "en"].groupby(["source", "lang"]).agg(d=("w", "size"), t=("w", "sum"))
+    assert sum(g[3] for g in got) == len(docs)
     assert {g for g in got if g[1] != "en"} == {(s, lang, "words-1", r.d, r.t) for (s, lang), r in n.iterrows()}
 
 
