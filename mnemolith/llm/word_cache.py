@@ -6,7 +6,7 @@ import sys
 from collections.abc import Callable
 
 #: Bytes that one cache may take, and what an entry takes besides the word and the value.
-ROOM, ENTRY = 16 << 20, 100
+ROOM, ENTRY = 32 << 20, 100
 
 
 class WordCache(dict):
