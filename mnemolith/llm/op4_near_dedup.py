@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, new_names
+from .common import cut, documents, new_names, shuffle_partitions
 from .components import connected
 from .word_cache import WordCache
 
@@ -252,7 +252,8 @@ def difference_keys(members: DataFrame, threshold: int) -> DataFrame:
                         keys = band_keys(sig[: bands * rows], bands, xxhash.xxh3_64_intdigest(bytes(fam), seed=level) >> 1)
                         yield pd.DataFrame({"key": keys, "node": [bytes(node)] * bands, "n": n, "low": len(d) < high * n, "root": root})
 
-    rows = members.select("node", "fam", "d", "n", "share", F.xxhash64("root").alias("root"))
+    # Nodes of one family lie together; they are dealt out evenly before the work on each.
+    rows = members.select("node", "fam", "d", "n", "share", F.xxhash64("root").alias("root")).repartition(shuffle_partitions(members.sparkSession))
     return rows.mapInPandas(run, "key long, node binary, n int, low boolean, root long")
 
 
@@ -266,7 +267,7 @@ def sketched(members: DataFrame) -> DataFrame:
             words = np.packbits(np.array(bits, dtype=np.uint8).reshape(-1, 64 * SKETCH), axis=1).view(np.int64)
             yield pd.DataFrame({"node": batch["node"], "size": [len(d) for d in batch["d"]]} | {c: words[:, i] for i, c in enumerate(names)})
 
-    return members.select("node", "d").mapInPandas(run, "node binary, size int, " + ", ".join(f"{c} long" for c in names)).dropDuplicates(["node"])
+    return members.select("node", "d").repartition(shuffle_partitions(members.sparkSession)).mapInPandas(run, "node binary, size int, " + ", ".join(f"{c} long" for c in names)).dropDuplicates(["node"])
 
 
 def alike_sketches(threshold: int) -> Column:
