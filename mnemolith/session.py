@@ -4,21 +4,32 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-def cut_off(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the checkpoint folder that all executors share: its lineage ends there.
 
-    Only a local session may leave ``spark.checkpoint.dir`` unset; it gets a folder of its own."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. Only a local session may leave ``spark.checkpoint.dir`` unset; it gets a folder of its own."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="shared-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in that folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_off(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the folder that all executors share: its lineage ends there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -44,7 +44,14 @@ def csv_rows(memories: DataFrame) -> DataFrame:
 
 
 def write_csv(memories: DataFrame, path: str) -> None:
-    csv_rows(memories).write.option("header", True).csv(path)
+    """Quotes are doubled, and white space at the ends of a field stays."""
+    csv_rows(memories).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_csv`` wrote; a field may hold line ends."""
+    schema = ", ".join(f"{c} {'timestamp' if c == 'created_at' else 'long' if c == 'access_count' else 'string'}" for c in CSV_COLUMNS)
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(path)
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,11 +64,13 @@ _TURN = T.StructType([T.StructField("role", T.StringType()), T.StructField("cont
 
 
 def read_transcript(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, role, content) of JSON lines; lines that can't be read are left out, human is user."""
+    """(file, block, line, role, content) of JSON lines: what user and assistant said, in the order of block and line.
+
+    Lines that can't be read and other roles are left out; human is user, in any case of letters."""
     schema = T.StructType([T.StructField("role", T.StringType()), T.StructField("type", T.StringType()), T.StructField("message", _TURN)])
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.from_json("value", schema).alias("t"))
-    role = F.coalesce(F.nullif("t.role", F.lit("")), "t.message.role")
-    return lines.select("file", "line", F.when(role == "human", "user").otherwise(role).alias("role"), F.col("t.message.content").alias("content")).where("role is not null and content is not null")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.from_json("value", schema).alias("t"))
+    role = F.lower(F.coalesce(F.nullif("t.role", F.lit("")), "t.message.role"))
+    return lines.select("file", "block", "line", F.when(role == "human", "user").otherwise(role).alias("role"), F.col("t.message.content").alias("content")).where("role in ('user', 'assistant') and content is not null")
 
 
 def locomo(spark: SparkSession, path: str) -> DataFrame:

@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..schema import WAL
+
 MAX_RETRIES = 3
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Add entries to a log of JSON lines."""
+    entries.write.options(**TIMES).mode("append").json(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a log, with their place in it as ``seq``; lines that can't be read are left out."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.schema(WAL).options(**TIMES).json(path).withColumn("seq", place).where("id is not null")
 
 
 def latest(log: DataFrame) -> DataFrame:
