@@ -56,6 +56,20 @@ def graph_ranks(facts: DataFrame, seeds: DataFrame, limit: int, depth: int = 2)
     return ranks_of(memories_within(facts, seeds, depth), limit)
 
 
+def fact_memories(found: DataFrame) -> DataFrame:
+    """(memory_id, rank) of the memories that found facts (id, score, source_memory_ids) name, in the order in which they are met, each once."""
+    named = found.select("score", "id", F.posexplode("source_memory_ids").alias("pos", "memory_id"))
+    first = named.groupBy("memory_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", "pos")).alias("met"))
+    return first.withColumn("rank", F.row_number().over(W.orderBy("met", "memory_id"))).drop("met")
+
+
+def recall_ids(facts: DataFrame, seeds: DataFrame, found: DataFrame, limit: int, depth: int = 2) -> DataFrame:
+    """(id, rank) of the nearest memories of the seeds; without seeds (a top-k, so few) those of the facts ``found`` by a search."""
+    if not seeds.isEmpty():
+        return graph_ranks(facts, seeds, limit, depth).select("id", "rank")
+    return fact_memories(found).where(F.col("rank") <= limit).select(F.col("memory_id").alias("id"), "rank")
+
+
 def subgraph(facts: DataFrame, seed: str, hops: int = 3, limit: int = 200) -> DataFrame:
     """(dist, entity_id, fact_id): ends and last edges of paths from the seed that repeat no edge, nearest first.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import evaluation, graph, lifecycle, versions, writes
 from ..operators.filters import SearchFilters
-from ..operators.search import similar_pairs
+from ..operators.search import search_facts, seed_entities, similar_pairs
 from ..sources import tables as T
 from .records import VECTORS
 from .registry import query
@@ -195,3 +195,15 @@ def eval_summary_same_k(spark, sf_dir):
 def candidates_by_entity(spark, sf_dir) -> DataFrame:
     facts = T.facts(spark, sf_dir).where("relation_type in ('PART_OF', 'BASED_IN')")
     return graph.linked_by_entity(T.memories(spark, sf_dir).select("id"), facts)
+
+
+@query(
+    """SELECT m AS id, rank FROM (SELECT m, (row_number() OVER (ORDER BY min(id), m))::int AS rank FROM (SELECT id, unnest(source_memory_ids) AS m FROM (
+      SELECT * FROM facts WHERE expired_at IS NULL AND (contains(lower(fact), 'part of') OR contains(lower(relation_type), 'part of')) ORDER BY id LIMIT 20)) GROUP BY m) WHERE rank <= 15""",
+    (FAC,),
+)
+def recall_by_facts(spark, sf_dir):
+    """No entity has a name with a word of the question, so facts with the question in them name the memories."""
+    facts, entities = T.facts(spark, sf_dir), T.entities(spark, sf_dir)
+    seeds = seed_entities(entities, "part of").select(F.col("id").alias("entity_id"))
+    return graph.recall_ids(facts, seeds, search_facts(facts, 20, "part of"), 15)
