@@ -162,6 +162,24 @@ def community_memories(entities: DataFrame, labels: DataFrame, community: str) -
     return entities.join(members, "id").select(F.explode("memory_ids").alias("memory_id")).distinct()
 
 
+GRAM = 3
+
+
+def names_holding(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, entity_id, embedding, name_embedding) where the name of (entity_id, name, name_embedding) has that of (id, name, embedding) in it, in any case.
+
+    A name is looked up by that of its runs of three characters (or by itself, if shorter) which the fewest known names have, and then verified."""
+    runs = lambda c, n: F.when(F.char_length(c) >= n, F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    low = F.col("low")
+    theirs = known.select("entity_id", F.lower("name").alias("low"), "name_embedding")
+    held = theirs.select("*", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[runs(low, n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    ours = asked.select("id", F.lower("name").alias("asked"), "embedding")
+    wanted = ours.select("id", "asked", F.explode(F.when(F.char_length("asked") < GRAM, F.array("asked")).otherwise(F.array_distinct(runs(F.col("asked"), GRAM)))).alias("gram")).distinct()
+    holders = held.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"))
+    rarest = wanted.join(holders, "gram", "left").groupBy("id", "asked").agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "gram")).alias("r")).where("r.holders > 0").select("id", "asked", "r.gram")
+    return ours.join(rarest, ["id", "asked"]).join(held, "gram").where(F.contains(low, F.col("asked"))).select("id", "entity_id", "embedding", "name_embedding")
+
+
 def resolve_entities(extracted: DataFrame, entities: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(id, entity_id, how) of extracted (id, name, aliases, embedding): by name, then alias in either direction, then cosine; null is new."""
     fold = lambda c: F.lower(F.trim(c))
@@ -171,7 +189,7 @@ def resolve_entities(extracted: DataFrame, entities: DataFrame, threshold: float
     by_name = named.join(known, "key").select("id", "entity_id", F.lit(1).alias("order"))
     ours = alias(entities.withColumnRenamed("id", "entity_id"), "entity_id")
     by_alias = named.join(ours, "key").select("id", "entity_id", F.lit(2).alias("order")).unionByName(alias(extracted, "id").join(known, "key").select("id", "entity_id", F.lit(2).alias("order")))
-    candidates = extracted.select("id", F.col("name").alias("n"), "embedding").join(entities.select(F.col("id").alias("entity_id"), "name", "name_embedding"), F.contains(F.lower("name"), F.lower("n")))
+    candidates = names_holding(extracted.where("embedding is not null"), entities.where("name_embedding is not null").select(F.col("id").alias("entity_id"), "name", "name_embedding"))
     by_vector = candidates.where(cosine(F.col("embedding"), F.col("name_embedding")) > threshold).select("id", "entity_id", F.lit(3).alias("order"))
     best = by_name.unionByName(by_alias).unionByName(by_vector).groupBy("id").agg(F.min(F.struct("order", "entity_id")).alias("m"))
     how = F.when(F.col("m.order") == 1, "name").when(F.col("m.order") == 2, "alias").when(F.col("m.order") == 3, "embedding").otherwise("new")

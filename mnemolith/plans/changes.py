@@ -207,3 +207,19 @@ def recall_by_facts(spark, sf_dir):
     facts, entities = T.facts(spark, sf_dir), T.entities(spark, sf_dir)
     seeds = seed_entities(entities, "part of").select(F.col("id").alias("entity_id"))
     return graph.recall_ids(facts, seeds, search_facts(facts, 20, "part of"), 15)
+
+
+@query(
+    """SELECT m.id, min(k.id) AS entity_id, CASE WHEN min(k.id) IS NULL THEN 'new' ELSE 'embedding' END AS how FROM met m
+    LEFT JOIN known k ON contains(lower(k.name), lower(m.name)) AND list_cosine_similarity(m.e, k.e) > 0.95 GROUP BY m.id""",
+    ("known AS (SELECT c_custkey AS k, 'c' || c_custkey::varchar AS id, c_name AS name, embedding::double[] AS e FROM customer JOIN embeddings ON vec_id = c_custkey)", "met AS (SELECT 'x' || id AS id, CASE WHEN k % 5 = 0 THEN 'nobody' WHEN k % 5 = 1 THEN 'CUST' ELSE right(name, 4) END AS name, e FROM known)"),
+)
+def entity_resolution_by_vector(spark, sf_dir):
+    """Customers met again under parts of their names, with their vectors; some under a name that nobody has."""
+    vectors = T.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("c_custkey"), F.col("embedding").alias("name_embedding"))
+    customers = T.read(spark, sf_dir, "customer").join(vectors, "c_custkey")
+    none = F.array().cast("array<string>").alias("aliases")
+    known = customers.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), none, "name_embedding", F.col("c_custkey").alias("k"))
+    part = F.when(F.col("k") % 5 == 0, "nobody").when(F.col("k") % 5 == 1, "CUST").otherwise(F.right("name", F.lit(4)))
+    met = known.select(F.concat(F.lit("x"), "id").alias("id"), part.alias("name"), "aliases", F.col("name_embedding").alias("embedding"))
+    return graph.resolve_entities(met, known.drop("k"))

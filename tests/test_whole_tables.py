@@ -94,3 +94,14 @@ def test_recall_without_seeds(spark):
     ranked = lambda seeds: [r["id"] for r in graph.recall_ids(facts, seeds, found, 2).orderBy("rank").collect()]
     assert ranked(spark.createDataFrame([], "entity_id string")) == ["m3", "m2"]
     assert ranked(spark.createDataFrame([("A",)], "entity_id string")) == ["m1", "m2"]
+
+
+def test_names_holding(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abÄ"), n))
+    known = [(f"e{i}", word(int(rng.integers(0, 9)))) for i in range(60)]
+    asked = [(str(i), word(int(rng.integers(0, 6)))) for i in range(40)] + [("none", None), ("twice", "ab"), ("twice", "ba")]
+    k = spark.createDataFrame(known + [("blank", None)], "entity_id string, name string").withColumn("name_embedding", F.array(F.lit(1.0)))
+    a = spark.createDataFrame(asked, "id string, name string").withColumn("embedding", F.array(F.lit(1.0)))
+    got = sorted((r["id"], r["entity_id"]) for r in graph.names_holding(a, k).select("id", "entity_id").collect())
+    assert got == sorted((i, e) for i, n in asked if n is not None for e, m in known if n.lower() in m.lower())
