@@ -125,6 +125,13 @@ def append_unique(rows: DataFrame, column: str, key, value) -> DataFrame:
     return rows.withColumn(column, F.when(F.col("id") == key, added).otherwise(F.col(column)))
 
 
+def link_memory(entities: DataFrame, entity, memory) -> DataFrame:
+    """``entities`` with the memory added to the entity's; an entity that is not there is an error."""
+    if entities.where(F.col("id") == entity).isEmpty():
+        raise LookupError("not found")
+    return append_unique(entities, "memory_ids", entity, memory)
+
+
 def invalidate_fact(facts: DataFrame, key, expired_at: datetime, invalid_at: datetime) -> DataFrame:
     hit = F.col("id") == key
     return facts.withColumn("expired_at", F.when(hit, F.lit(expired_at)).otherwise(F.col("expired_at"))).withColumn("invalid_at", F.when(hit, F.lit(invalid_at)).otherwise(F.col("invalid_at")))

@@ -94,7 +94,7 @@ def fact_invalidation(spark, sf_dir):
 
 @query("SELECT id, array_to_string(list_sort(CASE WHEN id = 'n3' THEN list_distinct(list_append(memory_ids, 5)) ELSE memory_ids END), ',') AS memory_ids FROM entities", (ENT,))
 def entity_memory_link(spark, sf_dir):
-    linked = graph.append_unique(T.entities(spark, sf_dir), "memory_ids", "n3", 5)
+    linked = graph.link_memory(T.entities(spark, sf_dir), "n3", 5)
     return linked.select("id", F.array_join(F.array_sort("memory_ids").cast("array<string>"), ",").alias("memory_ids"))
 
 

@@ -151,3 +151,11 @@ def markdown_chunks(spark, sf_dir):
     note = F.concat(F.lit("before\n# "), "p_name", F.lit("\nabc def\n### Deep\n x  y z \n\n## Next\n## Last\n##### no\n"))
     notes = T.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file"), note.alias("text"))
     return chunk_files(notes).select("file", "seq", "heading", "path", "depth", "word_count", "content")
+
+
+@query("SELECT conv_id, contains(array_to_string(texts[1:2], chr(1)), ask) AS early, contains(array_to_string(texts, chr(1)), ask) AS ever FROM (SELECT conv_id, list(lower(text) ORDER BY turn) AS texts, lower(split_part(arg_max(text, turn), ' ', 1)) AS ask FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) WHERE ask <> ''")
+def recall_at_k(spark, sf_dir):
+    """Whether the first word of a conversation's last turn stands in its first two turns, and in any."""
+    turns = T.read(spark, sf_dir, "conversations").where("text is not null")
+    said = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text")))["text"].alias("texts"), F.split_part(F.max_by("text", "turn"), F.lit(" "), F.lit(1)).alias("ask")).where("ask <> ''")
+    return said.select("conv_id", X.recall_at_k(F.col("texts"), F.col("ask"), 2).alias("early"), X.recall_at_k(F.col("texts"), F.col("ask"), 2147483647).alias("ever"))

@@ -163,6 +163,10 @@ def test_graph(spark):
     assert {(r["entity_id"], r["community"]) for r in graph.communities(two).collect()} == {("A", "A"), ("B", "A"), ("C", "A"), ("X", "X"), ("Y", "X")}
     twice = graph.append_unique(graph.append_unique(facts, "source_memory_ids", "f1", "m9"), "source_memory_ids", "f1", "m9")
     assert twice.where("id = 'f1'").first()["source_memory_ids"] == ["m1", "m9"]
+    known = spark.createDataFrame([("e", ["m1"])], "id string, memory_ids array<string>")
+    assert graph.link_memory(known, "e", "m2").first()["memory_ids"] == ["m1", "m2"]
+    with pytest.raises(LookupError):
+        graph.link_memory(known, "nobody", "m2")
     assert graph.invalidate_fact(facts, "f1", NOW, NOW).where("expired_at is not null").count() == 2
 
 
