@@ -76,24 +76,20 @@ def consolidate(memories: DataFrame, threshold: float = 0.92, blocks: int | None
     kind = memories.schema["id"].dataType.simpleString()
 
     def greedy(members: pd.DataFrame, alike: pd.DataFrame) -> pd.DataFrame:
-        order = members.sort_values(["created_at", "id"], ascending=[False, True])
+        order = members.sort_values(["created_at", "id"], ascending=[False, True])["id"].tolist()
+        place = {x: i for i, x in enumerate(order)}
         trust = dict(zip(members["id"], members["confidence"].fillna(0.0), strict=True))
-        near: dict = {}
+        later: dict = {}
         for a, b in zip(alike["a"], alike["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        ids, gone = order["id"].tolist(), set()
-        for i, x in enumerate(ids):
-            if x in gone:
-                continue
-            for y in ids[i + 1 :]:
-                if y in gone or y not in near.get(x, ()):
-                    continue
-                if trust[x] >= trust[y]:
-                    gone.add(y)
-                else:
-                    gone.add(x)
+            first, second = sorted((place[a], place[b]))
+            later.setdefault(first, []).append(second)
+        gone: set = set()
+        for i, x in enumerate(order):
+            for y in (order[j] for j in sorted(later.get(i, ()))):
+                if x in gone:
                     break
+                if y not in gone:
+                    gone.add(y if trust[x] >= trust[y] else x)
         return pd.DataFrame({"id": sorted(gone)})
 
     return rows.groupBy("community").cogroup(linked.groupBy("pair_community")).applyInPandas(greedy, f"id {kind}")

@@ -177,22 +177,23 @@ def batch_dedup(incoming: DataFrame, stored: DataFrame, threshold: float = DEDUP
     linked = pairs.join(groups.select(F.col("entity_id").alias("pair_key"), F.col("community").alias("pair_community")), F.col("a") == F.col("pair_key")).select("pair_community", "a", "b", "score")
 
     def work(rows: pd.DataFrame, alike: pd.DataFrame) -> pd.DataFrame:
-        score = {}
+        near: dict = {}
         for a, b, s in zip(alike["a"], alike["b"], alike["score"], strict=True):
-            score[a, b] = score[b, a] = s
+            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = s
         size = dict(zip(rows["id"], rows["size"], strict=True))
-        slots = {i: i for i in rows["id"] if i.startswith("s:")}  # record -> the row whose vector and content it has now
+        held = {i: i for i in rows["id"] if i.startswith("s:")}  # row -> the record that has its vector and content now
         out = []
         for i in rows[rows["id"].str.startswith("n:")].sort_values(["seq", "id"])["id"]:
-            best = max(((score[i, now], slot) for slot, now in slots.items() if (i, now) in score), key=lambda x: (x[0], x[1]), default=None)
+            best = max(((s, held[row], row) for row, s in near.get(i, {}).items() if row in held), default=None)
             if best is None:
-                slots[i] = i
+                held[i] = i
                 out.append((i[2:], "created", None))
-            elif size[i] > size[slots[best[1]]]:
-                slots[best[1]] = i
-                out.append((i[2:], "updated", best[1][2:]))
-            else:
-                out.append((i[2:], "duplicate", best[1][2:]))
+                continue
+            _, record, row = best
+            if size[i] > size[row]:
+                del held[row]
+                held[i] = record
+            out.append((i[2:], "updated" if record == held.get(i) else "duplicate", record[2:]))
         return pd.DataFrame(out, columns=["id", "status", "existing_id"])
 
     done = members.groupBy("community").cogroup(linked.groupBy("pair_community")).applyInPandas(work, "id string, status string, existing_id string")
