@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_off
 from .filters import SearchFilters
-from .graph import communities
+from .greedy import alike_classes, places, thin_out
 from .search import similar_pairs
 
 SESSION_HOURS = 24
@@ -57,42 +55,24 @@ def conflict_winners(memories: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return near.groupBy("conflict_group_id").agg(newest.alias("id"))
 
 
-def consolidation_pairs(memories: DataFrame, threshold: float = 0.92, blocks: int | None = None) -> DataFrame:
+def _permanent(memories: DataFrame) -> DataFrame:
+    return current(memories).where("scope = 'permanent'")
+
+
+def consolidation_pairs(memories: DataFrame, threshold: float = 0.92) -> DataFrame:
     """(a, b, score) of permanent memories more alike than the threshold."""
-    return similar_pairs(current(memories).where("scope = 'permanent'"), threshold, blocks)
+    return similar_pairs(_permanent(memories), threshold)
 
 
-def consolidate(memories: DataFrame, threshold: float = 0.92, blocks: int | None = None) -> DataFrame:
+def consolidate(memories: DataFrame, threshold: float = 0.92, **rest: int) -> DataFrame:
     """(id) of permanent memories to delete: newest first, each kept row is compared with the later ones; of two alike the more confident stays, and a row that goes stops comparing.
 
-    Only rows of one component of alike pairs affect each other, so the order-bound part runs for each component on its own."""
-    pairs = cut_off(consolidation_pairs(memories, threshold, blocks))
-    text = lambda c: F.col(c).cast("string")
-    edges = pairs.select(F.concat_ws("-", text("a"), text("b")).alias("id"), text("a").alias("source_entity_id"), text("b").alias("target_entity_id"), F.lit(None).cast("timestamp").alias("expired_at"), F.array().cast("array<string>").alias("source_memory_ids"))
-    groups = communities(edges)
-    rows = current(memories).select(text("id").alias("entity_id"), "id", "created_at", "confidence").join(groups, "entity_id")
-    of_pair = groups.select(F.col("entity_id").alias("pair_key"), F.col("community").alias("pair_community"))
-    linked = pairs.join(of_pair, text("a") == F.col("pair_key")).select("pair_community", "a", "b")
-    kind = memories.schema["id"].dataType.simpleString()
-
-    def greedy(members: pd.DataFrame, alike: pd.DataFrame) -> pd.DataFrame:
-        order = members.sort_values(["created_at", "id"], ascending=[False, True])["id"].tolist()
-        place = {x: i for i, x in enumerate(order)}
-        trust = dict(zip(members["id"], members["confidence"].fillna(0.0), strict=True))
-        later: dict = {}
-        for a, b in zip(alike["a"], alike["b"], strict=True):
-            first, second = sorted((place[a], place[b]))
-            later.setdefault(first, []).append(second)
-        gone: set = set()
-        for i, x in enumerate(order):
-            for y in (order[j] for j in sorted(later.get(i, ()))):
-                if x in gone:
-                    break
-                if y not in gone:
-                    gone.add(y if trust[x] >= trust[y] else x)
-        return pd.DataFrame({"id": sorted(gone)})
-
-    return rows.groupBy("community").cogroup(linked.groupBy("pair_community")).applyInPandas(greedy, f"id {kind}")
+    The comparisons are settled in rounds over all rows, see ``greedy``; ``rest`` bounds what is left to one task."""
+    rows = _permanent(memories)
+    classes, links = alike_classes(rows, threshold)
+    newest = F.coalesce(-F.unix_micros("created_at"), F.lit((1 << 63) - 1))
+    ordered = rows.select("id", places(newest, F.col("id")).alias("place"), F.coalesce("confidence", F.lit(0.0)).alias("trust"))
+    return thin_out(ordered.join(classes, "id").select("id", "class", "place", "trust"), links, **rest)
 
 
 def run_lifecycle(memories: DataFrame, now: datetime) -> DataFrame:

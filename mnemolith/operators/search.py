@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sanitise_query, words
 from ..functions.vectors import cosine_to
 from .filters import SearchFilters, checked_threshold
+from .vector_index import best_before, build_index, has_direction, matrix, row_pairs_above, unit
 
 
 def knn(memories: DataFrame, query: list[float], limit: int, filters: SearchFilters | None = None, *, candidate_window: int | None = None, post_filter: bool = False) -> DataFrame:
@@ -30,66 +31,53 @@ def find_duplicates(memories: DataFrame, query: list[float], threshold: float, c
     return near.limit(candidate_window) if candidate_window else near
 
 
-#: Vectors of a block: two blocks and their product fit a task.
+#: Up to so many vectors one task multiplies all with all; more are met through an index, which leaves out what cannot be alike.
 BLOCK_ROWS = 2000
 
 
-def _products(vectors: DataFrame, blocks: int | None, work: Callable, columns: str) -> DataFrame:
-    """``work(scores, ids of the rows, ids of the columns, whether both are the same block)`` for each pair of blocks of (id, embedding).
+def _product(vectors: DataFrame, work: Callable, columns: str) -> DataFrame:
+    """``work(cosines, ids)`` of all vectors (id, embedding) of one length in one task."""
 
-    Vectors are dealt into blocks by a hash of their ids, as many as their number asks for; each is sent to one group a block."""
-    rows = vectors.where("size(embedding) > 0").select("id", "embedding")
-    blocks = blocks or max(1, -(-rows.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    both = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")))
-    dealt = rows.withColumn("block", block).select("id", "embedding", "block", F.explode(both).alias("p")).select("id", "embedding", "block", "p.x", "p.y")
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        u = unit(matrix(group["embedding"]))
+        return work(u @ u.T, group["id"].to_numpy())
 
-    def product(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x, y = key
-        left, right = group[group["block"] == x], group[group["block"] == y]
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[c.split()[0] for c in columns.split(", ")])
-        unit = lambda f: (m := np.stack(f["embedding"].to_list()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        return work(unit(left) @ unit(right).T, left["id"].to_numpy(), right["id"].to_numpy(), x == y)
+    rows = vectors.where(has_direction(F.col("embedding"))).select("id", "embedding", F.size("embedding").alias("length"))
+    return rows.groupBy("length").applyInPandas(product, columns)
 
-    return dealt.groupBy("x", "y").applyInPandas(product, columns)
 
+def _is_small(vectors: DataFrame, block_rows: int) -> bool:
+    return vectors.where(has_direction(F.col("embedding"))).limit(block_rows + 1).count() <= block_rows
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, score), a < b, of every pair of (id, embedding) with a cosine above the threshold."""
-    kind = vectors.schema["id"].dataType.simpleString()
 
-    def above(scores: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> pd.DataFrame:
-        i, j = np.nonzero(scores > threshold)
-        out = pd.DataFrame({"a": a[i], "b": b[j], "score": scores[i, j]})
-        if same:
-            return out[out["a"] < out["b"]]
-        turned = out["a"] > out["b"]
-        out.loc[turned, ["a", "b"]] = out.loc[turned, ["b", "a"]].to_numpy()
-        return out
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, score), a < b, of every pair of (id, embedding) with a cosine above the threshold (0 or more). Vectors of different lengths, or without a direction, are not alike."""
+    kind = vectors.schema["id"].dataType.simpleString()
 
-    return _products(vectors, blocks, above, f"a {kind}, b {kind}, score double")
+    def above(scores: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero((scores > threshold) & (ids[:, None] < ids[None, :]))
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "score": scores[i, j]})
 
+    if _is_small(vectors, block_rows):
+        return _product(vectors, above, f"a {kind}, b {kind}, score double")
+    return row_pairs_above(build_index(vectors, calibrate=False), threshold)
 
-def nearest_before(vectors: DataFrame, blocks: int | None = None) -> DataFrame:
-    """(id, existing_id, score): for each of (id, embedding) the most alike of those with a smaller id, the first among equals (to nine digits).
 
-    A product of blocks gives one row a vector at most, so no pairs are made."""
+def nearest_before(vectors: DataFrame, at_least: float = 0.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, existing_id, score): for each of (id, embedding) the most alike of those with a smaller id, the first among equals (to nine digits), where its cosine is ``at_least``."""
     kind = vectors.schema["id"].dataType.simpleString()
 
-    def best(scores: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> pd.DataFrame:
-        scores, found = np.round(scores, 9), []
-        for s, new, old in ((scores, a, b),) if same else ((scores, a, b), (scores.T, b, a)):
-            order = np.argsort(old, kind="stable")
-            allowed = np.where(old[order][None, :] < new[:, None], s[:, order], -np.inf)
-            at = allowed.argmax(axis=1)
-            top = allowed[np.arange(len(new)), at]
-            found.append(pd.DataFrame({"id": new, "existing_id": old[order][at], "score": top})[top > -np.inf])
-        return pd.concat(found)
-
-    each = _products(vectors, blocks, best, f"id {kind}, existing_id {kind}, score double")
-    ranked = each.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "existing_id")).alias("m"))
-    return ranked.select("id", "m.existing_id", (-F.col("m.s")).alias("score"))
+    def best(scores: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(ids, kind="stable")
+        scores, ids = np.round(scores, 9)[np.ix_(order, order)], ids[order]
+        allowed = np.where(np.tri(len(ids), k=-1, dtype=bool), scores, -np.inf)
+        at = allowed.argmax(axis=1)
+        top = allowed[np.arange(len(ids)), at]
+        return pd.DataFrame({"id": ids, "existing_id": ids[at], "score": top})[top >= at_least]
+
+    if _is_small(vectors, block_rows):
+        return _product(vectors, best, f"id {kind}, existing_id {kind}, score double")
+    return best_before(build_index(vectors, calibrate=False), at_least)
 
 
 def search_facts(facts: DataFrame, limit: int, query: str = "", embedding: list[float] | None = None, candidate_window: int | None = None) -> DataFrame:

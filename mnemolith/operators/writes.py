@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import significant_words, trimmed
-from ..session import cut_off
+from .greedy import alike_classes, places, take_in
 
 DEDUP, REINFORCE, DUPLICATE, BOOST = 0.92, 0.80, 0.95, 0.05
 CANDIDATE, AUTO_CONFIRM, MOST_CANDIDATES = 0.75, 0.82, 20
@@ -158,44 +157,15 @@ def import_cleanse(rows: DataFrame, now: datetime) -> DataFrame:
     return out
 
 
-def batch_dedup(incoming: DataFrame, stored: DataFrame, threshold: float = DEDUP, blocks: int | None = None) -> DataFrame:
+def batch_dedup(incoming: DataFrame, stored: DataFrame, threshold: float = DEDUP, **rest: int) -> DataFrame:
     """(id, status, existing_id) of (id, seq, content, embedding), where each row also sees what earlier ones made of the store.
 
-    A row joins the most alike record at or above the threshold and takes its place if it is longer; else it is a new record. Only
-    rows that alike pairs connect affect each other, so each such group is worked through in order on its own."""
-    from .graph import communities
-    from .search import similar_pairs
-
-    text = lambda c: F.col(c).cast("string")
-    name = lambda mark, df: df.select(F.concat(F.lit(mark), text("id")).alias("id"), "embedding", F.octet_length("content").alias("size"))
-    every = name("n:", incoming).unionByName(name("s:", stored))
-    pairs = cut_off(similar_pairs(every, threshold - 1e-12, blocks).where("a like 'n:%' or b like 'n:%'"))
-    edges = pairs.select(F.concat_ws(" ", "a", "b").alias("id"), F.col("a").alias("source_entity_id"), F.col("b").alias("target_entity_id"), F.lit(None).cast("timestamp").alias("expired_at"), F.array().cast("array<string>").alias("source_memory_ids"))
-    groups = communities(edges)
-    order = incoming.select(F.concat(F.lit("n:"), text("id")).alias("id"), "seq")
-    members = every.select("id", "size").join(order, "id", "left").join(groups.withColumnRenamed("entity_id", "id"), "id")
-    linked = pairs.join(groups.select(F.col("entity_id").alias("pair_key"), F.col("community").alias("pair_community")), F.col("a") == F.col("pair_key")).select("pair_community", "a", "b", "score")
-
-    def work(rows: pd.DataFrame, alike: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b, s in zip(alike["a"], alike["b"], alike["score"], strict=True):
-            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = s
-        size = dict(zip(rows["id"], rows["size"], strict=True))
-        held = {i: i for i in rows["id"] if i.startswith("s:")}  # row -> the record that has its vector and content now
-        out = []
-        for i in rows[rows["id"].str.startswith("n:")].sort_values(["seq", "id"])["id"]:
-            best = max(((s, held[row], row) for row, s in near.get(i, {}).items() if row in held), default=None)
-            if best is None:
-                held[i] = i
-                out.append((i[2:], "created", None))
-                continue
-            _, record, row = best
-            if size[i] > size[row]:
-                del held[row]
-                held[i] = record
-            out.append((i[2:], "updated" if record == held.get(i) else "duplicate", record[2:]))
-        return pd.DataFrame(out, columns=["id", "status", "existing_id"])
-
-    done = members.groupBy("community").cogroup(linked.groupBy("pair_community")).applyInPandas(work, "id string, status string, existing_id string")
-    alone = incoming.select(text("id").alias("id")).join(done.select("id"), "id", "left_anti")
-    return done.unionByName(alone.select("id", F.lit("created").alias("status"), F.lit(None).cast("string").alias("existing_id")))
+    A row joins the most alike record at or above the threshold and takes its place if it is longer; else it is a new record. Of records
+    equally alike a stored one comes first, then the smaller id as text. Settled in rounds over all rows, see ``greedy``."""
+    named = lambda mark, df: df.withColumn("id", F.concat(F.lit(mark), F.col("id").cast("string"))).withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0)))
+    new, old = named("n:", incoming), named("s:", stored)
+    classes, links = alike_classes(new.select("id", "embedding").unionByName(old.select("id", "embedding")), threshold - 1e-12)
+    arrived = new.select("id", places(F.col("seq"), F.col("id")).alias("place"), "size").join(classes, "id", "left")
+    held = old.select("id", "size").join(classes, "id")
+    done = take_in(arrived.select("id", "class", "place", "size"), held.select("id", "class", "size"), links, **rest)
+    return done.select(F.substr("id", F.lit(3)).alias("id"), "status", F.when(F.col("status") != "created", F.substr("record.id", F.lit(3))).alias("existing_id"))

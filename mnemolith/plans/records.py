@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import graph, lifecycle, stats, versions, writes
+from ..operators import graph, lifecycle, stats, vector_index, versions, writes
 from ..operators.chunks import pieces
 from ..operators.filters import SearchFilters
 from ..operators.ranking import community_sweep
 from ..operators.search import knn, nearest_before, seed_entities, similar_pairs
+from ..operators.vector_index import build_index
 from ..sources import files
 from ..sources import tables as T
 from ..streaming import wal
@@ -126,11 +127,24 @@ def recall_community(spark, sf_dir):
     return swept.select("id", F.round("score", 6).alias("score"), "swept")
 
 
-@query()
+COMING = """
+coming AS MATERIALIZED (SELECT id, strlen(content) AS size, embedding, row_number() OVER (ORDER BY id) AS place FROM memories WHERE embedding IS NOT NULL),
+before AS MATERIALIZED (SELECT b.place, list({'s': -list_cosine_similarity(a.embedding, b.embedding), 'rec': a.id::varchar, 'place': a.place, 'size': a.size}) AS near FROM coming a JOIN coming b ON a.place < b.place AND list_cosine_similarity(a.embedding, b.embedding) >= 0.35 GROUP BY b.place),
+steps(place, held, status, rec) AS (
+  SELECT 0::bigint, []::STRUCT(place bigint, rec varchar)[], '', NULL::varchar
+  UNION ALL
+  SELECT place, CASE WHEN best IS NULL THEN list_append(held, {'place': place, 'rec': id}) WHEN size > best.size THEN list_append([h FOR h IN held IF h.place <> best.place], {'place': place, 'rec': best.rec}) ELSE held END,
+    CASE WHEN best IS NULL THEN 'created' WHEN size > best.size THEN 'updated' ELSE 'duplicate' END, best.rec
+  FROM (SELECT c.place, c.id::varchar AS id, c.size, w.held,
+      list_sort(flatten([[{'s': n.s, 'rec': h.rec, 'place': n.place, 'size': n.size} FOR h IN w.held IF h.place = n.place] FOR n IN coalesce(b.near, [])]))[1] AS best
+    FROM steps w JOIN coming c ON c.place = w.place + 1 LEFT JOIN before b ON b.place = c.place))"""
+
+
+@query("SELECT id::varchar AS id, status, rec AS existing_id FROM steps JOIN coming USING (place)", (M, COMING), recursive=True)
 def batch_dedup(spark, sf_dir):
-    rows = T.memories(spark, sf_dir).where("embedding is not null")
-    new = rows.where("id % 10 = 7").withColumn("seq", F.col("id"))
-    return writes.batch_dedup(new, rows.where("id % 10 <> 7"), 0.35)
+    """All memories with a vector arrive in the order of their ids, at an empty store."""
+    rows = T.memories(spark, sf_dir).where("embedding is not null").withColumn("seq", F.col("id"))
+    return writes.batch_dedup(rows, rows.limit(0), 0.35)
 
 
 @query("SELECT relation_type, CASE WHEN upper(trim(relation_type)) IN ('LOCATED_IN', 'BASED_IN', 'PART_OF', 'USES') THEN upper(trim(relation_type)) ELSE 'RELATES_TO' END AS label, count(*) AS n FROM facts GROUP BY ALL", (FAC,))
@@ -226,7 +240,18 @@ def consolidate_pairs(spark, sf_dir):
     return lifecycle.consolidation_pairs(T.memories(spark, sf_dir), 0.3).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query()
+WALKED = f"""
+ordered AS MATERIALIZED (SELECT id, embedding, coalesce(confidence, 0) AS trust, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM perm),
+later AS MATERIALIZED (SELECT a.place, list({{'place': b.place, 'trust': b.trust}} ORDER BY b.place) AS alike FROM ordered a JOIN ordered b ON a.place < b.place AND list_cosine_similarity(a.embedding, b.embedding) > 0.3 GROUP BY a.place),
+turns(place, gone) AS (
+  SELECT 0::bigint, []::bigint[]
+  UNION ALL
+  SELECT place, CASE WHEN list_contains(gone, place) THEN gone ELSE gone || [m.place FOR m IN met IF stop IS NULL OR m.place < stop] || CASE WHEN stop IS NULL THEN [] ELSE [place] END END
+  FROM (SELECT *, list_min([m.place FOR m IN met IF m.trust > trust]) AS stop
+    FROM (SELECT o.place, o.trust, w.gone, [m FOR m IN coalesce(l.alike, []) IF NOT list_contains(w.gone, m.place)] AS met FROM turns w JOIN ordered o ON o.place = w.place + 1 LEFT JOIN later l ON l.place = o.place)))"""
+
+
+@query("SELECT id FROM ordered WHERE list_contains((SELECT gone FROM turns ORDER BY place DESC LIMIT 1), place)", (M, PERMANENT, WALKED), recursive=True)
 def consolidate_greedy(spark, sf_dir):
     return lifecycle.consolidate(T.memories(spark, sf_dir), 0.3)
 
@@ -240,27 +265,54 @@ def similar_vectors(spark, sf_dir):
     return similar_pairs(vectors, 0.4).select("a", "b", F.round("score", 6).alias("score"))
 
 
+QUESTION = "asked AS (SELECT embedding::double[] AS q FROM embeddings WHERE vec_id = 7)"
+NEAREST = f"SELECT id, round(list_cosine_similarity(embedding, q), 6) AS score FROM memories, asked WHERE {CURRENT} AND embedding IS NOT NULL ORDER BY list_cosine_similarity(embedding, q) DESC, id LIMIT 25"
+
+
+@query(NEAREST, (M, QUESTION))
+def knn_indexed(spark, sf_dir):
+    """The 25 nearest memories by an index of all of them: lists near the question first, then all that can hold a nearer one."""
+    memories = T.memories(spark, sf_dir)
+    index = build_index(memories.select("id", "embedding"), calibrate=False)
+    return vector_index.knn_indexed(index, memories, probe(spark, sf_dir), 25, exact=True).select("id", F.round("score", 6).alias("score"))
+
+
+@query(VECTORS)
+def similar_vectors_indexed(spark, sf_dir):
+    """The pairs of ``similar_vectors`` by an index: blocks meet only where their angles allow a pair."""
+    vectors = T.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vector_index.row_pairs_above(build_index(vectors, calibrate=False), 0.4).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query()
+def neighbours_indexed(spark, sf_dir):
+    """The ten nearest of every hundredth vector, by as many probes as the calibration asked for; a share of 0.9 of them or more is exact."""
+    vectors = T.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = vector_index.neighbours(build_index(vectors), vectors.where("id % 100 = 0"), 10)
+    return found.select("id", "neighbour_id", F.round("score", 6).alias("score"))
+
+
 BEST = """
 incoming AS (SELECT * FROM memories WHERE embedding IS NOT NULL),
 best AS (SELECT p.id, p.content, m.id AS existing_id, m.content AS existing_content, round(list_cosine_similarity(p.embedding, m.embedding), 9) AS score FROM incoming p LEFT JOIN incoming m ON m.id < p.id
   QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY round(list_cosine_similarity(p.embedding, m.embedding), 9) DESC NULLS LAST, m.id) = 1)"""
 
 
-def _best(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Every memory with a vector, as it came in, and the most alike of those before it."""
+def _best(spark, sf_dir, at_least: float) -> tuple[DataFrame, DataFrame]:
+    """Every memory with a vector, as it came in, and the most alike of those before it, if it is that alike."""
     memories = T.memories(spark, sf_dir).where("embedding is not null")
-    best = nearest_before(memories.select("id", "embedding"))
+    best = nearest_before(memories.select("id", "embedding"), at_least)
     return memories.select("id", "content"), best.join(memories.select(F.col("id").alias("existing_id"), F.col("content").alias("existing_content")), "existing_id")
 
 
 @query("SELECT id, CASE WHEN coalesce(score, 0) < 0.3 THEN 'created' WHEN strlen(content) > strlen(existing_content) THEN 'updated' ELSE 'duplicate' END AS status, CASE WHEN score >= 0.3 THEN existing_id END AS existing_id FROM best", (M, BEST))
 def dedup_decision(spark, sf_dir):
-    return writes.dedup_decision(*_best(spark, sf_dir), threshold=0.3)
+    return writes.dedup_decision(*_best(spark, sf_dir, 0.3), threshold=0.3)
 
 
 @query("SELECT id, CASE WHEN score >= 0.4 THEN 'duplicate' WHEN score >= 0.25 THEN 'reinforce' ELSE 'store' END AS decision FROM best", (M, BEST))
 def reinforce_decision(spark, sf_dir):
-    new, best = _best(spark, sf_dir)
+    new, best = _best(spark, sf_dir, 0.25)
     return new.select("id").join(best, "id", "left").select("id", writes.capture_decision(F.col("score"), 0.25, 0.4).alias("decision"))
 
 

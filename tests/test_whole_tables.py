@@ -38,21 +38,19 @@ def test_consolidate_greedy(spark, small, memories):
 
 
 def test_batch_dedup(spark, small, memories):
-    score, at = cosines(memories), {r["id"]: i for i, r in enumerate(memories)}
-    size = {r["id"]: len((r["content"] or "").encode()) for r in memories}
-    holds = {("s", r["id"]): r["id"] for r in memories if r["id"] % 10 != 7}
-    want = {}
-    for r in (r for r in memories if r["id"] % 10 == 7):
-        key = r["id"]
-        best, record = max(((score[at[key], at[now]], record) for record, now in holds.items()), key=lambda x: x[0])
-        if best < 0.35:
-            holds["n", key] = key
-            want[str(key)] = ("created", None)
+    score = cosines(memories)
+    size = [len((r["content"] or "").encode()) for r in memories]
+    holds, want = {}, {}
+    for i, r in enumerate(memories):
+        best = max(((score[i, at], -record, at) for record, at in holds.items()), default=None)
+        if best is None or best[0] < 0.35:
+            holds[i] = i
+            want[str(r["id"])] = ("created", None)
         else:
-            longer = size[key] > size[holds[record]]
-            want[str(key)] = ("updated" if longer else "duplicate", str(record[1]))
+            longer = size[i] > size[best[2]]
+            want[str(r["id"])] = ("updated" if longer else "duplicate", str(memories[-best[1]]["id"]))
             if longer:
-                holds[record] = key
+                holds[-best[1]] = i
     got = {r["id"]: (r["status"], r["existing_id"]) for r in records.batch_dedup(spark, small).collect()}
     assert want and got == want
 
