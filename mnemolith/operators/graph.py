@@ -108,11 +108,17 @@ def memories_of_facts(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("id").alias("fact_id"), F.explode("source_memory_ids").alias("memory_id")).distinct()
 
 
-def linked_by_entity(memories: DataFrame, facts: DataFrame) -> DataFrame:
-    """(id, candidate_id): for each of (id), the other memories that the facts of its entities name."""
-    named = undirected(facts).select("src", F.explode("source_memory_ids").alias("memory_id")).distinct()
-    mine = named.join(memories.select(F.col("id").alias("memory_id")).distinct(), "memory_id").select(F.col("memory_id").alias("id"), "src")
-    return mine.join(named.withColumnRenamed("memory_id", "candidate_id"), "src").where("id <> candidate_id").select("id", "candidate_id").distinct()
+def linked_by_entity(memories: DataFrame, facts: DataFrame, most: int = 20) -> DataFrame:
+    """(id, candidate_id, rank): for each of (id, created_at) the newest ``most`` other memories that active facts of its entities name.
+
+    Each entity keeps its newest ``most`` and one more (the memory itself may be among them) before it meets its memories, so a hub that names
+    a third of all memories costs each of them no more rows than any entity."""
+    newest = lambda group: F.row_number().over(W.partitionBy(group).orderBy(F.desc("created_at"), "candidate_id"))
+    known = memories.select(F.col("id").alias("candidate_id"), "created_at")
+    named = cut_off(undirected(facts).select("src", F.explode("source_memory_ids").alias("candidate_id")).distinct().join(known, "candidate_id"))
+    lists = named.withColumn("__n", newest("src")).where(F.col("__n") <= most + 1).drop("__n")
+    met = named.select("src", F.col("candidate_id").alias("id")).join(lists, "src").where("id <> candidate_id").select("id", "candidate_id", "created_at").distinct()
+    return met.withColumn("rank", newest("id")).where(F.col("rank") <= most).select("id", "candidate_id", "rank")
 
 
 def episodes_of_memory(episodes: DataFrame, memory) -> DataFrame:

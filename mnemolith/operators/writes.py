@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import significant_words, trimmed
+from ..session import cut_off
 from .greedy import alike_classes, places, take_in
 
 DEDUP, REINFORCE, DUPLICATE, BOOST = 0.92, 0.80, 0.95, 0.05
@@ -98,11 +99,6 @@ def signalled(text: Column) -> Column:
     return F.filter(F.array(*[F.when(has(p), F.lit(r)) for r, p in SIGNALS.items()]), lambda x: x.isNotNull())
 
 
-def keyword_conflict(a: Column, b: Column) -> Column:
-    """Whether both texts signal the same relation."""
-    return F.arrays_overlap(signalled(a), signalled(b))
-
-
 def fact_conflict(text: Column, relation: Column, fact: Column) -> Column:
     """Whether the text signals the fact's relation but has fewer than half of its significant words."""
     told = significant_words(fact)
@@ -114,13 +110,18 @@ def contradictions(new: DataFrame, near: DataFrame, linked: DataFrame | None = N
     """(id, candidate_id, score, stage): memories that contradict ``new`` (id, content).
 
     Candidates are the nearest (id, candidate_id, candidate_content, score) at or above the threshold, and those linked by entities, at the
-    threshold; of both the first score holds. They must share a relation by keyword. Above ``auto`` that is enough; below, ``confirm``
-    (a column of the candidate) decides, where there is one."""
+    threshold; of both the first score holds. They must share a relation by keyword: ``candidate_signals``, where the candidates have that column
+    in place of their content, are what ``signalled`` says of it. Above ``auto`` that is enough; below, ``confirm`` (a column of the candidate)
+    decides, where there is one."""
     pool = near.where(F.col("score") >= candidate).withColumn("__o", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "candidate_id"))).where(F.col("__o") <= MOST_CANDIDATES).drop("__o")
+    told = "candidate_signals" if "candidate_signals" in near.columns else "candidate_content"
     if linked is not None:
         extra = linked.join(pool.select("id", "candidate_id"), ["id", "candidate_id"], "left_anti")
-        pool = pool.unionByName(extra.select("id", "candidate_id", "candidate_content", F.lit(candidate).alias("score")))
-    hits = new.select("id", "content").join(pool, "id").where(keyword_conflict(F.col("content"), F.col("candidate_content")))
+        pool = pool.select("id", "candidate_id", told, "score").unionByName(extra.select("id", "candidate_id", told, F.lit(candidate).alias("score")))
+    # The new texts are looked through once, not for each candidate.
+    signals = cut_off(new.select("id", signalled(F.col("content")).alias("__signals")))
+    theirs = F.col(told) if told == "candidate_signals" else signalled(F.col(told))
+    hits = signals.join(pool, "id").where(F.arrays_overlap("__signals", theirs))
     stage = F.when(F.col("score") >= auto, "auto").otherwise("confirmed" if confirm is not None else "keyword")
     sure = F.lit(True) if confirm is None else (F.col("score") >= auto) | confirm
     return hits.where(sure).select("id", "candidate_id", "score", stage.alias("stage"))

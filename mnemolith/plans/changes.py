@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evaluation, graph, lifecycle, versions, writes
+from ..operators import contradiction, evaluation, graph, lifecycle, versions, writes
 from ..operators.filters import SearchFilters
 from ..operators.search import search_facts, seed_entities, similar_pairs
+from ..session import cut_off
 from ..sources import tables as T
 from .records import VECTORS
 from .registry import query
@@ -141,32 +142,84 @@ def conflict_winners(spark, sf_dir):
     return lifecycle.conflict_winners(T.memories(spark, sf_dir))
 
 
-SAID = "said AS (SELECT id, embedding, id % 3 AS relation FROM memories)"
-CLOSE = """close AS (SELECT b.id, a.id AS candidate_id, list_cosine_similarity(a.embedding, b.embedding) AS score FROM said a JOIN said b ON a.id < b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND list_cosine_similarity(a.embedding, b.embedding) > 0.25
+PHRASES = ("she joined them. ", "it is based in town. ", "he leads them. ")
+SIGNS = {"work": ["works at", "employed at", "employed by", "joined", "started at", "job at"], "place": ["lives in", "located in", "based in", "moved to", "relocated to"], "lead": ["ceo of", "leads ", "leading ", "head of"], "role": ["role is", "position is", "title is", "works as", "his role", "her role", "their role"], "pair": ["married to", "spouse is", "wife is", "husband is", "partner is"], "boss": ["reports to", "manager is", "boss is"]}
+_SIGNS = ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(content), {chr(39)}{p}{chr(39)})' for p in ps)} THEN '{name}' END" for name, ps in SIGNS.items())
+#: A sentence that signals a relation, and the document itself.
+SAID = f"""said AS MATERIALIZED (SELECT id, embedding, created_at, content, [x FOR x IN [{_SIGNS}] IF x IS NOT NULL] AS signs
+  FROM (SELECT id, embedding, created_at, (['she joined them. ', 'it is based in town. ', 'he leads them. '])[id % 3 + 1] || coalesce(content, '') AS content FROM memories))"""
+CLOSE = """close AS MATERIALIZED (SELECT b.id, a.id AS candidate_id, list_cosine_similarity(a.embedding, b.embedding) AS score FROM said a JOIN said b ON a.id < b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND list_cosine_similarity(a.embedding, b.embedding) > 0.25
   QUALIFY row_number() OVER (PARTITION BY b.id ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, a.id) <= 20)"""
-NAMED = """named AS (SELECT DISTINCT e, m FROM (SELECT unnest([source_entity_id, target_entity_id]) AS e, source_memory_ids[1] AS m FROM facts WHERE relation_type IN ('PART_OF', 'BASED_IN'))),
-linked AS (SELECT DISTINCT x.m AS id, y.m AS candidate_id FROM named x JOIN named y ON x.e = y.e AND x.m <> y.m)"""
+NAMED = """named AS MATERIALIZED (SELECT DISTINCT e, m, created_at FROM (SELECT unnest([source_entity_id, target_entity_id]) AS e, source_memory_ids[1] AS m FROM facts WHERE expired_at IS NULL) JOIN memories ON memories.id = m)"""
+LINKED = """linked AS MATERIALIZED (SELECT id, candidate_id, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, candidate_id) AS rank
+  FROM (SELECT DISTINCT x.m AS id, y.m AS candidate_id, y.created_at FROM named x JOIN named y ON x.e = y.e AND x.m <> y.m) QUALIFY rank <= 20)"""
+
+
+def _said(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Memories whose texts begin with a sentence that signals a relation, and for each the alike ones before it."""
+    memories = T.memories(spark, sf_dir)
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("id") % 3 + 1).cast("int"))
+    near = similar_pairs(memories.select("id", "embedding"), 0.25).select(F.col("b").alias("id"), F.col("a").alias("candidate_id"), "score")
+    return memories.withColumn("content", F.concat(phrase, F.coalesce("content", F.lit("")))), near, T.facts(spark, sf_dir)
 
 
 @query(
     """SELECT p.id, p.candidate_id, round(score, 6) AS score, CASE WHEN score >= 0.35 THEN 'auto' ELSE 'keyword' END AS stage FROM (
       SELECT * FROM close UNION ALL SELECT id, candidate_id, 0.25::double FROM linked WHERE (id, candidate_id) NOT IN (SELECT (id, candidate_id) FROM close)) p
-    JOIN said a ON a.id = p.id JOIN said b ON b.id = p.candidate_id WHERE a.relation = b.relation""",
-    (M, FAC, SAID, CLOSE, NAMED),
+    JOIN said a ON a.id = p.id JOIN said b ON b.id = p.candidate_id WHERE list_has_any(a.signs, b.signs)""",
+    (M, FAC, SAID, CLOSE, NAMED, LINKED),
 )
 def contradictions(spark, sf_dir):
-    """Each memory says one of three relations; its candidates are alike ones before it, and those that facts of its entities name."""
-    memories = T.memories(spark, sf_dir)
-    phrase = F.element_at(F.array(*[F.lit(p) for p in ("she joined ", "it is based in ", "he leads ")]), (F.col("id") % 3 + 1).cast("int"))
-    said = memories.select("id", F.concat(phrase, F.lit("them")).alias("content"))
-    near = similar_pairs(memories.select("id", "embedding"), 0.25).select(F.col("b").alias("id"), F.col("a").alias("candidate_id"), "score")
-    candidates = said.select(F.col("id").alias("candidate_id"), F.col("content").alias("candidate_content"))
-    facts = T.facts(spark, sf_dir).where("relation_type in ('PART_OF', 'BASED_IN')")
-    linked = graph.linked_by_entity(memories.select("id"), facts)
-    found = writes.contradictions(said, near.join(candidates, "candidate_id"), linked.join(candidates, "candidate_id"), candidate=0.25, auto=0.35)
+    """By keywords alone: candidates are alike memories before each, and the newest that its entities name, over all relations."""
+    said, near, facts = _said(spark, sf_dir)
+    signs = cut_off(said.select(F.col("id").alias("candidate_id"), writes.signalled(F.col("content")).alias("candidate_signals")))
+    linked = graph.linked_by_entity(said, facts).select("id", "candidate_id")
+    found = writes.contradictions(said.select("id", "content"), near.join(signs, "candidate_id"), linked.join(signs, "candidate_id"), candidate=0.25, auto=0.35)
     return found.select("id", "candidate_id", F.round("score", 6).alias("score"), "stage")
 
 
+#: Facts of the relations that a subject has one at a time; of those here, places.
+PLACES_SAID = """told AS MATERIALIZED (SELECT DISTINCT source_memory_ids[1] AS m, relation_type AS r, fact, list_filter(list_transform(list_filter(string_split(lower(fact), ' '), lambda x: x <> ''), lambda w: trim(w, '.,;:"()' || chr(39))), lambda w: strlen(w) >= 4 AND w NOT IN ('the', 'and', 'for', 'that', 'this', 'with', 'from', 'have', 'been', 'they')) AS ws
+  FROM facts WHERE relation_type IN ('LOCATED_IN', 'BASED_IN')),
+able AS MATERIALIZED (SELECT e, r, named.m, created_at FROM named JOIN (SELECT DISTINCT m, r FROM told) t ON t.m = named.m),
+touching AS (SELECT DISTINCT e, m FROM (SELECT unnest([source_entity_id, target_entity_id]) AS e, source_memory_ids[1] AS m FROM facts)),
+reached AS (SELECT c.id, a.m AS candidate_id, a.created_at FROM close c JOIN said s ON s.id = c.id AND list_contains(s.signs, 'place') JOIN touching t ON t.m = c.candidate_id JOIN able a ON a.e = t.e WHERE a.m <> c.id GROUP BY ALL),
+by_entity AS (SELECT id, candidate_id, 0.25::double AS score FROM reached WHERE (id, candidate_id) NOT IN (SELECT (id, candidate_id) FROM close) QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC, candidate_id) <= 20),
+hits AS MATERIALIZED (SELECT DISTINCT p.id, p.candidate_id, p.score FROM (SELECT * FROM close UNION ALL SELECT * FROM by_entity) p JOIN said s ON s.id = p.id AND list_contains(s.signs, 'place') JOIN told f ON f.m = p.candidate_id
+  WHERE len(f.ws) > 0 AND len([w FOR w IN f.ws IF contains(lower(s.content), w)]) < (len(f.ws) + 1) // 2),
+judged AS (SELECT h.id, h.candidate_id, h.score, CASE WHEN h.score >= 0.35 THEN 'auto' ELSE 'confirmed' END AS stage FROM hits h JOIN memories c ON c.id = h.candidate_id WHERE h.score >= 0.35 OR strlen(coalesce(c.content, '')) % 2 = 0)"""
+
+
+def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every stage, with a judge that confirms candidates whose text has an even number of bytes."""
+    said, near, facts = _said(spark, sf_dir)
+    memories = T.memories(spark, sf_dir)
+    judge = lambda pairs: pairs.where(F.octet_length("candidate_content") % 2 == 0)
+    plain = memories.withColumn("content", F.coalesce("content", F.lit("")))
+    return contradiction.find_contradictions(said, near, plain, facts, judge, candidate=0.25, auto=0.35), memories, facts
+
+
+@query("SELECT id, candidate_id, round(score, 6) AS score, stage FROM judged", (M, FAC, SAID, CLOSE, NAMED, PLACES_SAID))
+def contradiction_cascade(spark, sf_dir):
+    """Vectors and entities, signals, the candidates' facts, and a judge for what is still open."""
+    return _judged(spark, sf_dir)[0].select("id", "candidate_id", F.round("score", 6).alias("score"), "stage")
+
+
+@query(
+    """SELECT 'memory' AS kind, id::varchar AS id FROM memories WHERE valid_to IS NULL AND id IN (SELECT candidate_id FROM judged)
+    UNION ALL SELECT 'fact', id FROM facts WHERE expired_at IS NULL AND source_memory_ids[1] IN (SELECT candidate_id FROM judged)
+      AND source_memory_ids[1] NOT IN (SELECT id FROM memories WHERE valid_to IS NULL AND id NOT IN (SELECT candidate_id FROM judged))""",
+    (M, FAC, SAID, CLOSE, NAMED, PLACES_SAID),
+)
+def contradictions_applied(spark, sf_dir):
+    """What ends by it: contradicted memories, and facts that are left without a valid memory."""
+    found, memories, facts = _judged(spark, sf_dir)
+    after, kept = contradiction.invalidate_contradicted(memories, facts, cut_off(found), T.NOW)
+    ended = after.where(F.col("valid_to") == F.lit(T.NOW)).join(memories.where("valid_to is null").select("id"), "id", "left_semi")
+    expired = kept.where(F.col("expired_at") == F.lit(T.NOW)).join(facts.where("expired_at is null").select("id"), "id", "left_semi")
+    return ended.select(F.lit("memory").alias("kind"), F.col("id").cast("string").alias("id")).unionByName(expired.select(F.lit("fact").alias("kind"), "id"))
+
+
 @query("SELECT id, relation_type IN ('LOCATED_IN', 'BASED_IN') AND NOT contains('they relocated to mars', CASE relation_type WHEN 'LOCATED_IN' THEN 'located' ELSE 'based' END) AS conflict FROM facts", (FAC,))
 def fact_conflicts(spark, sf_dir):
     """Which facts a new text contradicts: it speaks of a place, and of the fact's own words it has fewer than half."""
@@ -191,10 +244,9 @@ def eval_summary_same_k(spark, sf_dir):
     return evaluation.summarise(eval_results(spark, sf_dir), 3, 3).withColumn("avg_f1", F.round("avg_f1", 6))
 
 
-@query("SELECT DISTINCT x.m AS id, y.m AS candidate_id FROM named x JOIN named y ON x.e = y.e AND x.m <> y.m WHERE x.m IN (SELECT id FROM memories)", (M, FAC, NAMED.split(chr(10))[0].rstrip(",")))
+@query("SELECT id, candidate_id, rank::int AS rank FROM linked", (M, FAC, NAMED, LINKED))
 def candidates_by_entity(spark, sf_dir) -> DataFrame:
-    facts = T.facts(spark, sf_dir).where("relation_type in ('PART_OF', 'BASED_IN')")
-    return graph.linked_by_entity(T.memories(spark, sf_dir).select("id"), facts)
+    return graph.linked_by_entity(T.memories(spark, sf_dir), T.facts(spark, sf_dir))
 
 
 @query(

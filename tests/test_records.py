@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from mnemolith.operators import graph, lifecycle, stats, versions, writes
+from mnemolith.operators import contradiction, graph, lifecycle, stats, versions, writes
 from mnemolith.operators.filters import SearchFilters, checked_threshold, keyset_page, parse_filters
 from mnemolith.operators.search import find_duplicates, knn, similar_pairs
 from mnemolith.schema import FACT, MEMORY, WAL
@@ -282,3 +282,35 @@ def test_times():
     assert parse_time("2024-01-05T02:00:00+02:00", NOW) == datetime(2024, 1, 5) and parse_time("2d", NOW) == NOW - timedelta(days=2)
     with pytest.raises(ValueError):
         parse_time("-2d", NOW)
+
+
+def test_contradictions_by_facts_and_entities(spark):
+    """The hub names every memory; each new memory takes the newest two that it can contradict, and the judge sees only what is open."""
+    day = lambda n: datetime(2024, 1, n)
+    memories = table(spark, *[{"id": f"m{i}", "content": f"text {i}", "created_at": day(i + 1)} for i in range(9)], {"id": "n", "created_at": day(20), "content": "Bo moved to Oslo"})
+    told = [(f"f{i}", "bo", "hub", "LIVES_IN" if i != 7 else "KNOWS", "Bo lives in Paris", [f"m{i}"], day(2) if i == 8 else None) for i in range(9)]
+    facts = spark.createDataFrame([fact(id=i, source_entity_id=a, target_entity_id=b, relation_type=r, fact=f, source_memory_ids=m, expired_at=e) for i, a, b, r, f, m, e in told], FACT)
+    new = spark.createDataFrame([("n", "Bo moved to Oslo"), ("p", "Bo lives in Paris"), ("q", "nothing"), ("r", None)], "id string, content string")
+    near = spark.createDataFrame([("n", "m0", 0.9), ("n", "m1", 0.8), ("n", "m2", 0.7), ("p", "m0", 0.9), ("q", "m0", 0.9), ("r", "m0", 0.9)], "id string, candidate_id string, score double")
+    got = {(r["id"], r["candidate_id"]): (r["score"], r["stage"]) for r in contradiction.find_contradictions(new, near, memories, facts, most_linked=2).collect()}
+    # m7 has no fact of a place, m8's fact has expired, so m6 and m5 are the newest.
+    assert got == {("n", "m0"): (0.9, "auto"), ("n", "m1"): (0.8, "heuristic"), ("n", "m6"): (0.75, "heuristic"), ("n", "m5"): (0.75, "heuristic")}
+    asked = []
+
+    def judge(pairs):
+        asked.extend(sorted(r["candidate_id"] for r in pairs.collect()))
+        return pairs.where("candidate_content = 'text 6'")
+
+    found = contradiction.find_contradictions(new, near, memories, facts, judge, most_linked=2)
+    assert {(r["candidate_id"], r["stage"]) for r in found.collect()} == {("m0", "auto"), ("m6", "confirmed")} and asked == ["m1", "m5", "m6"]
+    after, left = contradiction.invalidate_contradicted(memories, facts.withColumn("source_memory_ids", F.when(F.col("id") == "f6", F.array(F.lit("m6"), F.lit("m4"))).otherwise(F.col("source_memory_ids"))), found, day(28))
+    assert sorted(r["id"] for r in after.where("valid_to is not null").collect()) == ["m0", "m6"]
+    assert sorted(r["id"] for r in left.where(F.col("expired_at") == F.lit(day(28))).collect()) == ["f0"]
+
+
+def test_linked_by_entity_takes_the_newest(spark):
+    day = lambda n: datetime(2024, 1, n)
+    memories = table(spark, *[{"id": f"m{i}", "created_at": day(i + 1)} for i in range(6)])
+    facts = edges(spark, *[(f"f{i}", "hub", f"e{i}", [f"m{i}"], None) for i in range(6)], ("g", "e0", "x", ["m0", "gone"], None), ("h", "hub", "y", ["m5"], day(3)))
+    got = {(r["id"], r["rank"]): r["candidate_id"] for r in graph.linked_by_entity(memories, facts, 2).collect()}
+    assert got == {(f"m{i}", n + 1): c for i in range(6) for n, c in enumerate([f"m{k}" for k in range(5, -1, -1) if k != i][:2])}
