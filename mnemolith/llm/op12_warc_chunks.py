@@ -32,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path
+from .common import scratch_path
 
 #: Bytes of a chunk, of the pieces that a payload is cut into before chunks, and of an archive.
-CHUNK_BYTES, PIECE_BYTES, ARCHIVE_BYTES = 64 << 10, 8 << 20, 1 << 30
+CHUNK_BYTES, PIECE_BYTES, ARCHIVE_BYTES = 32 << 10, 4 << 20, 1 << 30
+#: Bytes of a row group of the tables of chunks.
+ROW_GROUP = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the format.
 VERSION, PROFILE, END = b"WARC/1.1\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"\r\n\r\n"
@@ -75,7 +77,14 @@ def chunk_table(pages: DataFrame, payload: str = "html", *, chunk_bytes: int = C
                 checks.append(crc32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.binary()), pa.array(checks, pa.int64())], [*batch.schema.names, "sha1", "crc32"])
 
-    return cut(rows.mapInArrow(digested, CHUNKS), "chunk-table")
+    path = scratch_path(pages.sparkSession, "chunk-table")
+    _stored(rows.mapInArrow(digested, CHUNKS), path)
+    return pages.sparkSession.read.schema(CHUNKS).parquet(path)
+
+
+def _stored(rows: DataFrame, path: str) -> None:
+    """Write rows of chunks: small row groups, and no dictionary of the bytes, as a writer holds both in memory."""
+    rows.write.options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.enable.dictionary#data": "false"}).parquet(path)
 
 
 def record_types(chunks: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -154,7 +163,7 @@ def write_archives(chunks: DataFrame, path: str, *, min_bytes: int = 0, date: st
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
-    rows.mapInArrow(archived, ARCHIVE).write.option("compression", "zstd").parquet(path)
+    _stored(rows.mapInArrow(archived, ARCHIVE), path)
 
 
 def archive_rows(spark: SparkSession, path: str) -> DataFrame:
