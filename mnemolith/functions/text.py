@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,6 +148,9 @@ def heading_tags(heading: Column, path: Column) -> Column:
     return F.concat(F.when(stem != "", F.array(stem)).otherwise(F.array().cast("array<string>")), of_heading)
 
 
+EVAL_WORD = re.compile(r"[a-z0-9']+")
+
+
 def eval_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9']+)"), F.lit(1))
 
@@ -156,11 +161,18 @@ def exact_match(retrieved: Column, truth: Column) -> Column:
 
 
 def token_f1(retrieved: Column, truth: Column) -> Column:
-    """F1 of the two bags of words; 0 if either is empty or nothing is shared."""
-    a, b = eval_words(retrieved), eval_words(truth)
-    count = lambda bag, w: F.size(F.filter(bag, lambda x: x == w))
-    shared = F.aggregate(F.transform(F.array_intersect(a, b), lambda w: F.least(count(a, w), count(b, w))), F.lit(0), lambda s, x: s + x)
-    return F.when(shared == 0, 0.0).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
+    """F1 of the two bags of words; 0 if either is empty or nothing is shared. Bags are counted batch by batch in Python."""
+
+    @F.pandas_udf("double")
+    def score(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(left, right, strict=True):
+            x, y = (Counter(EVAL_WORD.findall(t or "")) for t in (a, b))
+            shared = (x & y).total()
+            out.append(2.0 * shared / (x.total() + y.total()) if shared else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return score(F.lower(retrieved), F.lower(truth))
 
 
 def recall_at_k(retrieved: Column, truth: Column, k: int) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import evaluation, graph, ranking, search
+from ..operators import retrieval as by_words
 from ..operators.filters import SearchFilters, keyset_page, page
 from ..session import cut_off
 from ..sources import tables as T
@@ -271,12 +272,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieved(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
     """The ``k`` documents that share most of each question's significant words, best first; texts are read for these only."""
     asked, docs = questions(spark, sf_dir), T.read(spark, sf_dir, "documents")
-    sought = asked.select("question_id", F.explode(F.array_distinct(X.significant_words(F.col("ground_truth")))).alias("word"))
-    said = docs.select("doc_id", F.explode(F.array_distinct(X.significant_words(F.col("text")))).alias("word"))
-    shared = said.join(sought, "word").groupBy("question_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("shared"), "doc_id"))
-    few = cut_off(shared.withColumn("rank", place).where(F.col("rank") <= k).select("question_id", "doc_id", "rank"))
-    return few.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").join(asked, "question_id")
+    stored = docs.select(F.lit(0).alias("scope"), "doc_id", F.col("text").alias("content"))
+    return by_words.recall_by_words(asked.select(F.lit(0).alias("scope"), "question_id", F.col("ground_truth").alias("question")), stored, k).join(asked, "question_id")
 
 
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,3 +311,41 @@ def exact_match_hits(spark, sf_dir):
     hits = maybe.join(docs, "doc_id").where(X.exact_match(F.col("text"), F.col("truth"))).select("item_id")
     bare = anchored.where("anchor is null").join(docs, X.exact_match(F.col("text"), F.col("truth"))).select("item_id")
     return hits.unionByName(bare).groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+#: The first turn of a conversation is asked, the answer is what came next; all turns but the question are stored.
+PAIRS = f"""
+pairs AS MATERIALIZED (SELECT conv_id AS pair_id, conv_id AS question_id, u.text AS question, a.text AS ground_truth, CASE conv_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS category FROM
+  (SELECT conv_id, arg_min(text, turn) AS text, min(turn) AS turn FROM conversations GROUP BY conv_id) u JOIN conversations a USING (conv_id) WHERE a.turn = u.turn + 1),
+asked AS (SELECT *, list_distinct({SIGNIFICANT.format('question')}) AS sought FROM pairs),
+told AS MATERIALIZED (SELECT conv_id AS pair_id, conv_id * 1000 + turn AS doc_id, role || ': ' || text AS content, list_distinct({SIGNIFICANT.format("role || ': ' || text")}) AS said
+  FROM conversations c WHERE turn > (SELECT min(turn) FROM conversations d WHERE d.conv_id = c.conv_id)),
+found AS (SELECT a.question_id, ground_truth, category, content, row_number() OVER (PARTITION BY a.question_id ORDER BY len(list_intersect(sought, said)) DESC, doc_id) AS rank
+  FROM asked a JOIN told t ON {{scope}} len(list_intersect(sought, said)) > 0)"""
+RUN = "SELECT {0}, 0::bigint AS recall_failures, '{1}' AS mode FROM results"
+PAIR_RESULTS = RESULTS.replace("FROM q\n", "FROM pairs q\n")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = T.read(spark, sf_dir, "conversations")
+    starts = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("q"))
+    answers = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ground_truth"))
+    asked = starts.select("conv_id", F.col("q.turn").alias("turn"), F.col("q.text").alias("question")).join(answers, ["conv_id", "turn"])
+    category = F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd")
+    pairs = asked.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("question_id"), "question", "ground_truth", category.alias("category"))
+    turns = rows.join(starts.select("conv_id", F.col("q.turn").alias("start")), "conv_id").where("turn > start")
+    return pairs, turns.select(F.col("conv_id").alias("pair_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat_ws(": ", "role", "text").alias("content"))
+
+
+@query(RUN.format(MEASURES, "per-pair-reset"), (PAIRS.format(scope="a.pair_id = t.pair_id AND"), SCORED, PAIR_RESULTS))
+def eval_run_reset(spark, sf_dir):
+    """Every conversation on its own: its first turn is asked of its other turns."""
+    pairs, turns = _pairs(spark, sf_dir)
+    return by_words.summary(by_words.evaluate(pairs, turns, 3), 3, 2, False).withColumn("avg_f1", ROUND("avg_f1"))
+
+
+@query(RUN.format(MEASURES, "accumulate"), (PAIRS.format(scope=""), SCORED, PAIR_RESULTS))
+def eval_run_accumulate(spark, sf_dir):
+    """All turns are stored before any first turn is asked."""
+    pairs, turns = _pairs(spark, sf_dir)
+    return by_words.summary(by_words.evaluate(pairs, turns, 3, accumulate=True), 3, 2, True).withColumn("avg_f1", ROUND("avg_f1"))
