@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import MARKS, SPACE, STOP_WORDS, strip_marks
-from ..session import cut_off
+from ..session import cut_off, spread
 from .contradiction import first_of
 from .evaluation import results, summarise
 
@@ -39,7 +39,7 @@ def most_shared(questions: DataFrame, documents: DataFrame, k: int) -> DataFrame
     words = sought.select("word").distinct()
     few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
     # Words that nobody asks for are dropped where they are read.
-    told = cut_off(word_rows(documents, "content", "scope", "doc_id").join(F.broadcast(words) if few else words, "word", "left_semi").distinct())
+    told = cut_off(word_rows(spread(documents), "content", "scope", "doc_id").join(F.broadcast(words) if few else words, "word", "left_semi").distinct())
     held = told.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("holders"))
     by_rarity = W.partitionBy("question_id").orderBy("holders", "word")
     ranked = cut_off(

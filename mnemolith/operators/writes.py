@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import significant_words, trimmed
-from ..session import cut_off
+from ..session import cut_off, spread
 from .greedy import alike_classes, places, take_in
 
 DEDUP, REINFORCE, DUPLICATE, BOOST = 0.92, 0.80, 0.95, 0.05
@@ -94,16 +94,29 @@ def tag_conflicts(memories: DataFrame, conflicts: DataFrame) -> DataFrame:
 
 def signalled(text: Column) -> Column:
     """Relations that the text has a signal phrase of."""
-    low = F.lower(text)
+    return _signalled(F.lower(text))
+
+
+def _signalled(low: Column) -> Column:
     has = lambda phrases: F.greatest(*[F.contains(low, F.lit(p)) for p in phrases]) if len(phrases) > 1 else F.contains(low, F.lit(phrases[0]))
     return F.filter(F.array(*[F.when(has(p), F.lit(r)) for r, p in SIGNALS.items()]), lambda x: x.isNotNull())
 
 
+def with_signals(rows: DataFrame, text: str = "content") -> DataFrame:
+    """``rows`` with ``low``, their texts in lower case, and ``signals``, the relations that these signal; each text is lowered once."""
+    return spread(rows).withColumn("low", F.lower(text)).withColumn("signals", _signalled(F.col("low")))
+
+
+def differs(low: Column, fact: Column) -> Column:
+    """Whether a text in lower case has fewer than half of the fact's significant words, of which there are some."""
+    told = significant_words(fact)
+    shared = F.size(F.filter(told, lambda w: F.contains(low, w)))
+    return (F.size(told) > 0) & (shared < F.floor((F.size(told) + 1) / 2))
+
+
 def fact_conflict(text: Column, relation: Column, fact: Column) -> Column:
     """Whether the text signals the fact's relation but has fewer than half of its significant words."""
-    told = significant_words(fact)
-    shared = F.size(F.filter(told, lambda w: F.contains(F.lower(text), w)))
-    return F.array_contains(signalled(text), F.upper(relation)) & (F.size(told) > 0) & (shared < F.floor((F.size(told) + 1) / 2))
+    return F.array_contains(signalled(text), F.upper(relation)) & differs(F.lower(text), fact)
 
 
 def contradictions(new: DataFrame, near: DataFrame, linked: DataFrame | None = None, confirm: Column | None = None, candidate: float = CANDIDATE, auto: float = AUTO_CONFIRM) -> DataFrame:
@@ -119,7 +132,7 @@ def contradictions(new: DataFrame, near: DataFrame, linked: DataFrame | None = N
         extra = linked.join(pool.select("id", "candidate_id"), ["id", "candidate_id"], "left_anti")
         pool = pool.select("id", "candidate_id", told, "score").unionByName(extra.select("id", "candidate_id", told, F.lit(candidate).alias("score")))
     # The new texts are looked through once, not for each candidate.
-    signals = cut_off(new.select("id", signalled(F.col("content")).alias("__signals")))
+    signals = cut_off(with_signals(new.select("id", "content")).select("id", F.col("signals").alias("__signals")))
     theirs = F.col(told) if told == "candidate_signals" else signalled(F.col(told))
     hits = signals.join(pool, "id").where(F.arrays_overlap("__signals", theirs))
     stage = F.when(F.col("score") >= auto, "auto").otherwise("confirmed" if confirm is not None else "keyword")

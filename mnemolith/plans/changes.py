@@ -172,7 +172,7 @@ def _said(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 def contradictions(spark, sf_dir):
     """By keywords alone: candidates are alike memories before each, and the newest that its entities name, over all relations."""
     said, near, facts = _said(spark, sf_dir)
-    signs = cut_off(said.select(F.col("id").alias("candidate_id"), writes.signalled(F.col("content")).alias("candidate_signals")))
+    signs = cut_off(writes.with_signals(said.select("id", "content")).select(F.col("id").alias("candidate_id"), F.col("signals").alias("candidate_signals")))
     linked = graph.linked_by_entity(said, facts).select("id", "candidate_id")
     found = writes.contradictions(said.select("id", "content"), near.join(signs, "candidate_id"), linked.join(signs, "candidate_id"), candidate=0.25, auto=0.35)
     return found.select("id", "candidate_id", F.round("score", 6).alias("score"), "stage")

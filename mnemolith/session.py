@@ -33,6 +33,16 @@ def cut_off(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Up to so many bytes, by the plan's own estimate, rows are dealt out anew before dear work on their texts.
+SMALL_TABLE = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: its file may be a single split. A larger one has splits enough, and stays where it is."""
+    about = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if about <= SMALL_TABLE else df
+
+
 _shipped: set[str] = set()
 
 
