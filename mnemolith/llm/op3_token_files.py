@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, documents, order_bounds, scratch_path, shuffle_partitions
+from .common import documents, scratch_path, shuffle_partitions
 from .word_cache import WordCache
 
 END_ID = 2
@@ -32,8 +32,8 @@ SHARD_IDS = 1_000_000
 SAMPLE = 256
 MAGIC = b"EFTOKEN1"
 HEADER, CODE = struct.Struct("<8sHHIQq"), struct.Struct("<IIIII")
-#: Bytes of stored text to a range of documents; ranges up to which what lies before each is broadcast; ranges at most.
-RANGE_BYTES, BROADCAST_RANGES, MOST_RANGES = 32 << 20, 500_000, 100_000
+#: Bytes of text to a range of documents; ranges up to which what lies before each is broadcast.
+RANGE_BYTES, BROADCAST_RANGES = 128 << 20, 500_000
 
 
 class EliasFano:
@@ -207,12 +207,15 @@ def encoder(path: str, width: int) -> BpeEncoder:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, width: int = 2, shard_ids: int = SHARD_IDS, buckets: int | None = None) -> None:
     """Encode (doc_id, text) and write shards to ``path`` in ascending order of doc_id.
 
-    Ranges of document ids are shuffled, sorted and encoded each on its own; a range becomes one or more shards."""
-    about = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n = buckets or max(4 * shuffle_partitions(docs.sparkSession), min(-(-about // RANGE_BYTES), MOST_RANGES))
+    Ranges of document ids are shuffled, sorted and encoded each on its own; a range becomes one or more shards. There are as many as the bytes
+    of the texts ask for, which are counted; a range is a partition, so no bound of it stands in the plan."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bounds = order_bounds(rows, "doc_id", n)
-    ordered = rows.withColumn("bucket", bucket_of(F.col("doc_id"), bounds)).repartitionByRange(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "text")
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        buckets = max(4 * shuffle_partitions(docs.sparkSession), -(-size // RANGE_BYTES))
+    first = F.asc_nulls_first("doc_id")
+    # The text's beginning divides rows that share an id, such as none.
+    ordered = rows.repartitionByRange(buckets, first, F.substring("text", 1, 32)).sortWithinPartitions(first, "text").select(F.spark_partition_id().alias("bucket"), "doc_id", "text")
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,7 +238,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
         if ids:
             yield flush()
 
-    ordered.select("bucket", "doc_id", "text").mapInPandas(shards, "bucket int, seq int, n_docs long, n_ids long, before long, blob binary").write.option("compression", "snappy").parquet(path)
+    ordered.mapInPandas(shards, "bucket int, seq int, n_docs long, n_ids long, before long, blob binary").write.option("compression", "snappy").parquet(path)
 
 
 def range_index(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -261,6 +262,19 @@ def test_rollup_of_documents_equals_a_recount(spark, small):
     assert {g for g in got if g[1] != "en"} == {(s, lang, "words-1", r.d, r.t) for (s, lang), r in n.iterrows()}
 
 
+def test_token_files_of_a_frame_without_statistics(spark, tmp_path):
+    """Ranges come from the bytes of the texts, so small rows of unknown size make few; rows without an id are spread over ranges too."""
+    rows = [(None if i % 3 == 0 else i, f"two words{i}") for i in range(2000)]
+    began = time.time()
+    tf.write_token_files(frame(spark, rows), str(tmp_path / "f"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert time.time() - began < 60
+    got = tf.read_token_files(spark, str(tmp_path / "f")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+    ranges = spark.read.parquet(str(tmp_path / "f"))
+    assert ranges.count() <= 16 and ranges.select("bucket").distinct().count() > 12
+
+
 def test_tokenizer_counts_cover_every_document(spark, small):
     """A recount of all rows, short and empty ones too, by the tokenizers themselves."""
     docs = pd.read_parquet(f"{small}/documents.parquet")
