@@ -163,7 +163,7 @@ class BpeEncoder:
         self.space = letters.pre_tokenize_str(" ")[0][0]
         self.bytes_of = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.first = WordCache(lambda w: self.word("", w), 8 << 20)
-        self.later = WordCache(lambda w: self.word(self.space, w), 64 << 20)
+        self.later = WordCache(lambda w: self.word(self.space, w), 160 << 20)
         self.newline = self.encode("\n")
 
     def join(self, ids: list[int]) -> bytes:
@@ -174,8 +174,9 @@ class BpeEncoder:
 
     def word(self, space: str, word: str) -> bytes:
         """A word, after a space or at the start of a line."""
-        if word.isalpha() and max(word) < self.LIMIT:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        plain = word.isascii()
+        if word.isalpha() and (plain or max(word) < self.LIMIT):
+            shown = word if plain else word.encode().decode("latin-1").translate(self.shown)
             return self.join([t.id for t in self.model.tokenize(space + shown)])
         if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
             return (self.later if space else self.first)[word[:-1]] + self.first[word[-1]]
