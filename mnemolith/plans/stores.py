@@ -49,5 +49,5 @@ def backfilled_embeddings(spark, sf_dir):
     memories, done = T.memories(spark, sf_dir), SegmentLog(spark, scratch(spark, "backfill"), "id string, embedding array<double>")
     embedding.backfill(memories, letter_model, done, parts=4)
     after = embedding.with_backfilled(memories, done)
-    new = done.read().agg(F.count(F.lit(1)).alias("embedded"), F.sum(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).cast("long").alias("bytes"))
+    new = done.read().agg(F.count(F.lit(1)).alias("embedded"), F.coalesce(F.sum(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)), F.lit(0.0)).cast("long").alias("bytes"))
     return embedding.to_embed(after).agg(F.count(F.lit(1)).cast("int").alias("without_embedding")).join(F.broadcast(new), how="cross").select("embedded", "without_embedding", "bytes")

@@ -55,7 +55,7 @@ def test_no_documents_or_questions(spark, texts):
 @pytest.fixture(scope="module")
 def run(spark):
     pairs = spark.createDataFrame([(1, "q1", "where does Alice work", "globex", "1-hop"), (2, "q2", "where does Alice live", "oslo", ""), (3, "q3", "what", "nothing", "")], "pair_id int, question_id string, question string, ground_truth string, category string")
-    turns = spark.createDataFrame([(1, 10, "user: Alice said where her work is: Globex"), (1, 11, "user: hello there"), (2, 20, "user: Alice went there"), (2, 21, "user: where they live now: Oslo, Alice said"), (3, 30, "user: where does Alice work? Initech")], "pair_id int, doc_id int, content string")
+    turns = spark.createDataFrame([(1, 10, "user: Alice said where her work is: Globex"), (1, 11, "user: hello there"), (2, 20, "user: Alice went there"), (2, 21, "user: where they live now: Oslo, Alice said"), (3, 30, "user: where does Alice work, Initech")], "pair_id int, doc_id int, content string")
     return pairs, turns
 
 
