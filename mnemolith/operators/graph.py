@@ -5,13 +5,14 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from ..schema import RELATIONS
 from ..session import cut_off
+from .greedy import alike_classes
 
 
 def active(facts: DataFrame) -> DataFrame:
@@ -175,22 +176,62 @@ def community_memories(entities: DataFrame, labels: DataFrame, community: str) -
     return entities.join(members, "id").select(F.explode("memory_ids").alias("memory_id")).distinct()
 
 
-GRAM = 3
+#: Length of the runs that names are looked up by, and how many known names may have one before vectors are asked first. It changes no result.
+GRAM, HOT_NAMES = 3, 200
+
+
+def _runs(c: str, n: int) -> Column:
+    return F.when(F.char_length(c) >= n, F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _by_runs(known: DataFrame) -> DataFrame:
+    """(entity_id, low, gram) of (entity_id, name): every name with all its runs."""
+    theirs = known.select("entity_id", F.lower("name").alias("low"))
+    return theirs.select("*", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[_runs("low", n) for n in range(1, GRAM + 1)]))).alias("gram"))
+
+
+def _rarest_runs(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, asked, holders, gram): of the runs of each name (id, name) that which the fewest known names have; none if some run is in no known name."""
+    ours = asked.select("id", F.lower("name").alias("asked"))
+    wanted = ours.select("id", "asked", F.explode(F.when(F.char_length("asked") < GRAM, F.array("asked")).otherwise(F.array_distinct(_runs("asked", GRAM)))).alias("gram")).distinct()
+    holders = held.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"))
+    rarest = F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "gram")).alias("r")
+    return wanted.join(holders, "gram", "left").groupBy("id", "asked").agg(rarest).where("r.holders > 0").select("id", "asked", "r.holders", "r.gram")
 
 
 def names_holding(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(id, entity_id, embedding, name_embedding) where the name of (entity_id, name, name_embedding) has that of (id, name, embedding) in it, in any case.
 
     A name is looked up by that of its runs of three characters (or by itself, if shorter) which the fewest known names have, and then verified."""
-    runs = lambda c, n: F.when(F.char_length(c) >= n, F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    low = F.col("low")
-    theirs = known.select("entity_id", F.lower("name").alias("low"), "name_embedding")
-    held = theirs.select("*", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[runs(low, n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    held = _by_runs(known)
+    met = _rarest_runs(asked, held).join(held, "gram").where(F.contains("low", F.col("asked"))).select("id", "asked", "entity_id")
     ours = asked.select("id", F.lower("name").alias("asked"), "embedding")
-    wanted = ours.select("id", "asked", F.explode(F.when(F.char_length("asked") < GRAM, F.array("asked")).otherwise(F.array_distinct(runs(F.col("asked"), GRAM)))).alias("gram")).distinct()
-    holders = held.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"))
-    rarest = wanted.join(holders, "gram", "left").groupBy("id", "asked").agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "gram")).alias("r")).where("r.holders > 0").select("id", "asked", "r.gram")
-    return ours.join(rarest, ["id", "asked"]).join(held, "gram").where(F.contains(low, F.col("asked"))).select("id", "entity_id", "embedding", "name_embedding")
+    return met.join(ours, ["id", "asked"]).join(known.select("entity_id", "name_embedding"), "entity_id").select("id", "entity_id", "embedding", "name_embedding")
+
+
+def alike_names(asked: DataFrame, known: DataFrame, threshold: float, hot_names: int = HOT_NAMES) -> DataFrame:
+    """(id, entity_id) of ``names_holding`` with a cosine above the threshold.
+
+    A name that only runs in very many known names could be looked up by ("CUST" among customers) would be paired with all of these. For
+    such names the alike vectors come first, by classes of equal ones, and the names are compared after that."""
+    held = _by_runs(known)
+    looked_up = cut_off(_rarest_runs(asked, held))
+    rare, hot = looked_up.where(F.col("holders") <= hot_names), looked_up.where(F.col("holders") > hot_names)
+    ours = asked.select("id", F.lower("name").alias("asked"), "embedding")
+    theirs = known.select("entity_id", F.lower("name").alias("low"), "name_embedding")
+    alike = cosine(F.col("embedding"), F.col("name_embedding")) > threshold
+    met = rare.join(held, "gram").where(F.contains("low", F.col("asked"))).select("id", "asked", "entity_id")
+    found = met.join(ours, ["id", "asked"]).join(theirs, "entity_id").where(alike).select("id", "entity_id")
+    if hot.isEmpty():
+        return found
+    common = ours.join(hot.select("id", "asked"), ["id", "asked"], "left_semi")
+    marked = lambda df, mark, key, vector: df.select(F.concat(F.lit(mark), F.xxhash64(key, vector).cast("string"), F.lit(":"), F.col(key).cast("string")).alias("id"), F.col(key).alias("row"), F.transform(vector, lambda x: x.cast("double")).alias("embedding"))
+    a, k = marked(common, "a", "id", "embedding"), marked(theirs, "k", "entity_id", "name_embedding")
+    classes, links = alike_classes(a.select("id", "embedding").unionByName(k.select("id", "embedding")), threshold - 1e-9)
+    side = lambda df, row, of: df.join(classes, "id").select(F.col("row").alias(row), F.col("class").alias(of))
+    near = side(a, "id", "a").join(links.select("a", "b"), "a").join(side(k, "entity_id", "b"), "b").select("id", "entity_id").distinct()
+    held_too = near.join(common, "id").join(theirs, "entity_id").where(F.contains("low", F.col("asked")) & alike)
+    return found.unionByName(held_too.select("id", "entity_id"))
 
 
 def resolve_entities(extracted: DataFrame, entities: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -202,8 +243,8 @@ def resolve_entities(extracted: DataFrame, entities: DataFrame, threshold: float
     by_name = named.join(known, "key").select("id", "entity_id", F.lit(1).alias("order"))
     ours = alias(entities.withColumnRenamed("id", "entity_id"), "entity_id")
     by_alias = named.join(ours, "key").select("id", "entity_id", F.lit(2).alias("order")).unionByName(alias(extracted, "id").join(known, "key").select("id", "entity_id", F.lit(2).alias("order")))
-    candidates = names_holding(extracted.where("embedding is not null"), entities.where("name_embedding is not null").select(F.col("id").alias("entity_id"), "name", "name_embedding"))
-    by_vector = candidates.where(cosine(F.col("embedding"), F.col("name_embedding")) > threshold).select("id", "entity_id", F.lit(3).alias("order"))
+    with_vectors = entities.where("name_embedding is not null").select(F.col("id").alias("entity_id"), "name", "name_embedding")
+    by_vector = alike_names(extracted.where("embedding is not null"), with_vectors, threshold).select("id", "entity_id", F.lit(3).alias("order"))
     best = by_name.unionByName(by_alias).unionByName(by_vector).groupBy("id").agg(F.min(F.struct("order", "entity_id")).alias("m"))
     how = F.when(F.col("m.order") == 1, "name").when(F.col("m.order") == 2, "alias").when(F.col("m.order") == 3, "embedding").otherwise("new")
     return extracted.select("id").join(best, "id", "left").select("id", F.col("m.entity_id").alias("entity_id"), how.alias("how"))

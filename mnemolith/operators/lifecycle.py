@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_off
 from .filters import SearchFilters
 from .greedy import alike_classes, places, thin_out
 from .search import similar_pairs
@@ -92,3 +95,59 @@ def lifecycle_report(memories: DataFrame, now: datetime) -> DataFrame:
         *[F.count_if(F.col("lifecycle_action") == a).alias(a) for a in ("expired", "decayed", "retired")],
         (F.count_if(F.col("lifecycle_action") == "resolved") - F.count_distinct(F.when(F.col("lifecycle_action") == "resolved", F.col("conflict_group_id")))).alias("conflicts"),
     )
+
+
+#: A phase names rows of the memories that are left, (id), in their order.
+Phase = Callable[[DataFrame], DataFrame]
+
+
+def phases(now: datetime, threshold: float = 0.92) -> dict[str, Phase]:
+    """All phases in their order. Of a conflict group of n rows the n - 1 that lost are named."""
+
+    def lost(memories: DataFrame) -> DataFrame:
+        rows = current(memories).where("conflict_status = 'active'")
+        return rows.join(conflict_groups(rows).select("conflict_group_id"), "conflict_group_id", "left_semi").join(conflict_winners(memories).select("id"), "id", "left_anti")
+
+    return {
+        "expired": lambda m: current(m).where(ttl_expired(now)),
+        "decayed": lambda m: current(m).where(session_decayed(now)),
+        "consolidated": lambda m: consolidate(m, threshold),
+        "retired": lambda m: current(m).where(retired(now)),
+        "conflicts": lost,
+    }
+
+
+@dataclass(frozen=True)
+class LifecycleRun:
+    memories: DataFrame  # what is left, resolved members of conflict groups among it; in a dry run all, as they were
+    actions: DataFrame  # (id, action)
+    report: DataFrame  # (phase, n, error): n is 0 where the phase failed
+
+    def checked(self) -> LifecycleRun:
+        """An error if a phase failed. What the others did is in the tables all the same."""
+        bad = [f"{r['phase']}: {r['error']}" for r in self.report.where("error is not null").collect()]
+        if bad:
+            raise RuntimeError("lifecycle: " + "; ".join(bad))
+        return self
+
+
+def run_phases(memories: DataFrame, now: datetime, steps: Mapping[str, Phase] | None = None, dry_run: bool = False) -> LifecycleRun:
+    """Run the phases (those of ``phases`` if none are given) one after the other; each sees what the ones before it left, in a dry run all.
+
+    Rows of a phase go, but for conflicts, whose groups are resolved. A phase that fails when it is run is reported, and the others go on."""
+    left, did, report = memories, [], []
+    for name, step in (phases(now) if steps is None else steps).items():
+        try:
+            hit = cut_off(step(left).select("id").distinct().withColumn("action", F.lit(name)))
+            n = hit.count()
+            after = left if dry_run or not n else cut_off(resolve_conflicts(left) if name == "conflicts" else left.join(hit, "id", "left_anti"))
+        except Exception as e:  # noqa: BLE001  whatever stops one phase, the others are to go on
+            report.append((name, 0, (str(e).splitlines() or [type(e).__name__])[0]))
+            continue
+        left, did = after, [*did, hit]
+        report.append((name, n, None))
+    spark = memories.sparkSession
+    actions = memories.select("id", F.lit("").alias("action")).limit(0)
+    for hit in did:
+        actions = actions.unionByName(hit)
+    return LifecycleRun(left, actions, spark.createDataFrame(report, "phase string, n long, error string"))

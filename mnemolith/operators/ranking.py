@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.text import estimate_tokens
 from ..schema import Weights
+from ..session import cut_off
 
 RRF = 60
 VECTOR_SHARE, GRAPH_SHARE = 0.6, 0.4
@@ -31,15 +33,20 @@ def rrf_merge(lists: list[DataFrame], limit: int = 0) -> DataFrame:
 
 
 def hybrid_search(searches: list[Callable[[int], DataFrame]], limit: int) -> DataFrame:
-    """Fuse the searches that can be planned, each asked for twice as many rows; all failing is an error."""
-    lists, failed = [], None
-    for search in searches:
+    """Fuse the searches (id, rank), each asked for twice as many rows. They run side by side, each on its own, so one that fails, be it when it is
+    planned or in a task, is left out; all failing is an error."""
+
+    def run(search: Callable[[int], DataFrame]) -> DataFrame | Exception:
         try:
-            lists.append(search(2 * limit))
+            return cut_off(search(2 * limit).select("id", "rank"))
         except Exception as e:  # noqa: BLE001  one search of several may be out of order
-            failed = e
+            return e
+
+    with ThreadPoolExecutor(max(1, len(searches))) as pool:
+        found = list(pool.map(run, searches))
+    lists = [x for x in found if isinstance(x, DataFrame)]
     if not lists:
-        raise RuntimeError("no search could be planned") from failed
+        raise RuntimeError("no search worked") from next(iter(found), None)
     return rrf_merge(lists, limit)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from mnemolith.plans import changes, exchange, records, retrieval, stores  # noqa: F401
+from mnemolith.plans import changes, exchange, records, retrieval, runs, stores  # noqa: F401
 from mnemolith.plans.registry import ORACLE_SQL, QUERIES
 
 
