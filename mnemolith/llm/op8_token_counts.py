@@ -5,7 +5,7 @@ becomes signed deltas of documents and tokens (a revision takes the old count aw
 summed for each batch and key and stored under the batch's number. A batch that is delivered again replaces itself, so
 commits are idempotent, and after a failure the batch is simply committed again. Totals are the sums over all batches;
 older batches can be folded into a base, which keeps their
-numbers: a folded batch is final, and is skipped when it is delivered again.
+numbers: a folded batch is final, and is skipped when it is delivered again. A delivery without rows is told by its number.
 
 Defined results: null sources, languages and versions are keys of their own; a null count is 0; an empty batch changes
 nothing; keys whose documents and tokens are both back at 0 are left out of the totals; columns other than those named
@@ -14,7 +14,7 @@ are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,9 +60,16 @@ class Rollup:
         """(batch): numbers of the batches that the base holds."""
         return self.spark.read.schema("batch long").parquet(f"{self.path}/folded") if self.has_base() else self.spark.createDataFrame([], "batch long")
 
-    def commit(self, changes: DataFrame) -> None:
-        """Store the deltas of all batches in ``changes``, each in place of an earlier delivery of the same batch; those in the base are skipped."""
-        rows = deltas(changes.join(self.folded(), "batch", "left_anti") if self.has_base() else changes)
+    def commit(self, changes: DataFrame, batches: Iterable[int] = ()) -> None:
+        """Store the deltas of all batches in ``changes``, each in place of an earlier delivery of the same batch; those in the base are skipped.
+
+        ``batches`` are numbers that were delivered, with rows or without: a delivery that has no rows any more takes the place of one that had some."""
+        marks = self.spark.createDataFrame([(int(n),) for n in batches], "batch long")
+        if self.has_base():
+            changes, marks = (df.join(self.folded(), "batch", "left_anti") for df in (changes, marks))
+        # A delta of nothing, which is in no total.
+        nothing = marks.select("batch", *[F.lit(None).cast("string").alias(c) for c in KEY], *[F.lit(0).cast("long").alias(c) for c in ("docs", "tokens")])
+        rows = deltas(changes).unionByName(nothing)
         rows.repartition("batch", *KEY).write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/deltas")
 
     def totals(self) -> DataFrame:
@@ -112,8 +119,8 @@ BYTES, PIECES = "byte_bpe_50k", "piece_bpe_32k"
 
 
 def tokenizer_history(docs: DataFrame) -> DataFrame:
-    """Changes that end with every document counted by a real tokenizer: all arrive under ``byte_bpe_50k``, English ones are
-    counted anew under ``piece_bpe_32k``, documents of fewer than 50 words are deleted, and a later batch inserts them again."""
+    """Changes that end with every document counted by both tokenizers: all arrive counted in ``byte_bpe_50k``, with their words in place of their
+    count in ``piece_bpe_32k``, which is revised then; documents of fewer than 50 words are deleted, and a later batch inserts them again."""
     import public_tokenizers
 
     bytes_path, pieces_path = public_tokenizers.path(f"{BYTES}.json"), public_tokenizers.path(f"{PIECES}.model")
@@ -122,22 +129,24 @@ def tokenizer_history(docs: DataFrame) -> DataFrame:
         whole, pieces = encoder(bytes_path, 2), piece_encoder(pieces_path)
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
-            # Only English documents have a count in pieces.
-            in_pieces = [len(pieces.encode(t)) if lang == "en" else 0 for t, lang in zip(texts, batch["lang"], strict=True)]
-            yield batch[["source", "lang", "words"]].assign(whole=[len(whole(t)) // 2 for t in texts], pieces=in_pieces)
+            yield batch[["source", "lang", "words"]].assign(whole=[len(whole(t)) // 2 for t in texts], pieces=[len(pieces.encode(t)) for t in texts])
 
     counted = docs.select("source", "lang", pattern_count(F.col("text"), WORD).alias("words"), "text").mapInPandas(run, "source string, lang string, words long, whole long, pieces long")
-    english, short = F.coalesce(F.col("lang") == "en", F.lit(False)), F.col("words") < 50
-    latest, none = F.when(english, PIECES).otherwise(BYTES), F.lit(None).cast("string")
-    change = lambda batch, op, new, old: F.struct(F.lit(batch).cast("long").alias("batch"), F.lit(op).alias("op"), new.alias("tokenizer"), old.alias("old_tokenizer"))
-    steps = F.array(change(1, "insert", F.lit(BYTES), none), F.when(english, change(2, "revise", F.lit(PIECES), F.lit(BYTES))), F.when(short, change(3, "delete", none, latest)), F.when(short, change(4, "insert", latest, none)))
-    count = lambda c: F.when(F.col(c) == PIECES, F.col("pieces")).when(F.col(c) == BYTES, F.col("whole"))
-    rows = counted.withColumn("s", F.explode(F.filter(steps, lambda s: s.isNotNull())))
-    return rows.select("s.*", "source", "lang", F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), "whole", "pieces").withColumn("tokens", count("tokenizer")).withColumn("old_tokens", count("old_tokenizer"))
+    lit = lambda v: F.lit(v).cast("string")
+    n = lambda c: F.lit(None).cast("long") if c is None else F.col(c)
+
+    def change(batch: int, op: str, tokenizer: str | None, tokens: str | None, old: str | None = None, old_tokens: str | None = None) -> Column:
+        return F.struct(F.lit(batch).cast("long").alias("batch"), F.lit(op).alias("op"), lit(tokenizer).alias("tokenizer"), n(tokens).alias("tokens"), lit(old).alias("old_tokenizer"), n(old_tokens).alias("old_tokens"))
+
+    always = [change(1, "insert", BYTES, "whole"), change(1, "insert", PIECES, "words"), change(2, "revise", PIECES, "pieces", PIECES, "words")]
+    counts = ((BYTES, "whole"), (PIECES, "pieces"))
+    again = [change(3, "delete", None, None, t, c) for t, c in counts] + [change(4, "insert", t, c) for t, c in counts]
+    steps = F.when(F.col("words") < 50, F.array(*always, *again)).otherwise(F.array(*always))
+    return counted.withColumn("s", F.explode(steps)).select("s.*", "source", "lang", F.col("source").alias("old_source"), F.col("lang").alias("old_lang"))
 
 
 def op8_tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of every document, in tokens of the real tokenizers."""
+    """Totals of every document, in tokens of both tokenizers."""
     history = cut(tokenizer_history(documents(spark, sf_dir)), "token-changes")
     rollup = Rollup(spark, scratch_path(spark, "token-counts"))
     rollup.commit(history)

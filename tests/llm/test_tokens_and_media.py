@@ -253,6 +253,19 @@ def test_redelivery_after_a_fold(spark, tmp_path):
     assert {tuple(r) for r in tc.Rollup(spark, folded.path).totals().collect()} == {("a", "en", "t1", 4, 11110)}
 
 
+def test_an_empty_redelivery_takes_its_batch_back(spark, tmp_path):
+    one, two = (changes(spark, [(n, "insert", "a", "en", "t1", 10**n, None, None, None, None)]) for n in (1, 2))
+    roll = tc.Rollup(spark, str(tmp_path / "r"))
+    roll.commit(one.unionByName(two), [1, 2])
+    roll.commit(changes(spark, []), [2, 7])
+    assert {tuple(r) for r in roll.totals().collect()} == {("a", "en", "t1", 1, 10)}
+    folded = roll.fold(str(tmp_path / "s"), 2)
+    folded.commit(changes(spark, []), [1, 2])  # final
+    assert {tuple(r) for r in folded.totals().collect()} == {("a", "en", "t1", 1, 10)}
+    roll.commit(two, [1, 2])
+    assert {tuple(r) for r in roll.totals().collect()} == {("a", "en", "t1", 1, 100)}
+
+
 def test_rollup_of_documents_equals_a_recount(spark, small):
     docs = pd.read_parquet(f"{small}/documents.parquet")
     got = {tuple(r) for r in tc.op8_token_counts(spark, small).collect()}
@@ -282,15 +295,15 @@ def test_tokenizer_counts_cover_every_document(spark, small):
     pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = {}
     for source, lang, text in zip(docs["source"], docs["lang"], docs["text"].fillna(""), strict=True):
-        n = len(pieces.encode(text)) if lang == "en" else len(whole.encode(text, add_special_tokens=False).ids)
-        had = want.get((source, lang), (0, 0))
-        want[source, lang] = (had[0] + 1, had[1] + n)
+        for name, n in (("piece_bpe_32k", len(pieces.encode(text))), ("byte_bpe_50k", len(whole.encode(text, add_special_tokens=False).ids))):
+            had = want.get((source, lang, name), (0, 0))
+            want[source, lang, name] = (had[0] + 1, had[1] + n)
     got = tc.op8_tokenizer_counts(spark, small).collect()
-    assert {tuple(r) for r in got} == {(s, lang, "piece_bpe_32k" if lang == "en" else "byte_bpe_50k", d, n) for (s, lang), (d, n) in want.items()}
-    assert sum(r["n_docs"] for r in got) == len(docs)
+    assert {tuple(r) for r in got} == {(*key, d, n) for key, (d, n) in want.items()}
+    assert sum(r["n_docs"] for r in got) == 2 * len(docs)
 
 
 def test_only_short_documents_still_count(spark):
     rows = spark.createDataFrame([("tiny", "en", "one two"), ("tiny", None, None), (None, "de", "")], "source string, lang string, text string")
     got = tc.deltas(tc.tokenizer_history(rows)).groupBy(*tc.KEY).agg(F.sum("docs").alias("n"), F.sum("tokens")).where("n <> 0").collect()
-    assert {tuple(r)[:4] for r in got} == {("tiny", "en", "piece_bpe_32k", 1), ("tiny", None, "byte_bpe_50k", 1), (None, "de", "byte_bpe_50k", 1)}
+    assert {tuple(r)[:4] for r in got} == {(*key, name, 1) for key in (("tiny", "en"), ("tiny", None), (None, "de")) for name in ("piece_bpe_32k", "byte_bpe_50k")}
