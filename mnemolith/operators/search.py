@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sanitise_query, words
 from ..functions.vectors import cosine_to
 from .filters import SearchFilters, checked_threshold
-from .vector_index import best_before, build_index, has_direction, matrix, row_pairs_above, unit
+from .vector_index import best_before, build_index, has_direction, matrix, most_alike_before, row_pairs_above, unit
 
 
 def knn(memories: DataFrame, query: list[float], limit: int, filters: SearchFilters | None = None, *, candidate_window: int | None = None, post_filter: bool = False) -> DataFrame:
@@ -80,6 +80,21 @@ def nearest_before(vectors: DataFrame, at_least: float = 0.0, block_rows: int =
     return best_before(build_index(vectors, calibrate=False), at_least)
 
 
+def nearest_few_before(vectors: DataFrame, above: float, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, existing_id, score): for each of (id, embedding) the ``k`` most alike of those with a smaller id, the first among equals (to twelve digits), of a cosine above ``above`` (0 or more)."""
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def best(scores: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        scores = np.round(scores, 12)
+        i, j = np.nonzero((scores > above) & (ids[None, :] < ids[:, None]))
+        rows = pd.DataFrame({"id": ids[i], "existing_id": ids[j], "score": scores[i, j]})
+        return rows.sort_values(["id", "score", "existing_id"], ascending=[True, False, True]).groupby("id").head(k)
+
+    if _is_small(vectors, block_rows):
+        return _product(vectors, best, f"id {kind}, existing_id {kind}, score double")
+    return most_alike_before(build_index(vectors, calibrate=False, merge=False), above, k)
+
+
 def search_facts(facts: DataFrame, limit: int, query: str = "", embedding: list[float] | None = None, candidate_window: int | None = None) -> DataFrame:
     """Facts that have not expired: by cosine if there is a query vector, else those whose text or relation has the query in it."""
     if limit <= 0:

@@ -34,6 +34,8 @@ from .filters import SearchFilters
 SAMPLE_ROWS, MOST_LISTS, FIT_ROUNDS = 20_000, 4096, 8
 #: A block's bytes and vectors at most.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 1024
+#: Vectors that a task holds while others pass by, the groups that there are at least, and the rows found that it holds.
+GROUP_BYTES, LEAST_GROUPS, HELD_ROWS = 32 << 20, 12, 1 << 19
 #: Calibration: queries, neighbours of each, and the share of them that probing has to find.
 ASKED, NEIGHBOURS, RECALL = 100, 10, 0.95
 #: Angles are compared with this slack, far above their rounding.
@@ -159,15 +161,16 @@ def ensure_index(vectors: DataFrame, path: str, column: str = "embedding", **opt
     return found if found is not None and found.is_of(vectors, column) else build_index(vectors, path, column, **options)
 
 
-def build_index(vectors: DataFrame, path: str | None = None, column: str = "embedding", *, lists: int | None = None, calibrate: bool = True) -> VectorIndex:
-    """Index (id, column). The version is written whole before its line in ``meta`` makes it the current one."""
+def build_index(vectors: DataFrame, path: str | None = None, column: str = "embedding", *, lists: int | None = None, calibrate: bool = True, merge: bool = True) -> VectorIndex:
+    """Index (id, column); without ``merge`` equal vectors stay rows of their own. The version is written whole before its line in ``meta`` makes it the current one."""
     spark = vectors.sparkSession
     path, version = path or scratch(spark, "vector-index"), uuid.uuid4().hex
     kind = vectors.schema["id"].dataType.simpleString()
     n, checksum = _mark(vectors, column)
     rows = vectors.where(has_direction(F.col(column))).select("id", F.transform(column, lambda x: x.cast("double")).alias("v"))
     # Equal vectors are one row from here on.
-    distinct = cut_off(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    each = rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")) if merge else rows.select("v", "id", F.lit(1).alias("n"))
+    distinct = cut_off(each)
     repeated = distinct.where("n > 1").select("v", F.col("id").alias("first"))
     rows.join(repeated, "v").where("id <> first").select("first", "id").write.parquet(f"{path}/{version}/others")
 
@@ -341,31 +344,78 @@ def neighbours(index: VectorIndex, queries: DataFrame, k: int, probes: int | Non
     return _top(_with_others(index, found, k), k)
 
 
-def _meetings(index: VectorIndex, threshold: float, work: Callable, columns: str) -> DataFrame:
-    """``work(cosines, ids of the rows, ids of the columns, whether both are of one list)`` for every block and what of other blocks can reach the threshold with it.
+class _Tile:
+    """A block's vectors in a meeting."""
 
-    A block asks its own list and the later ones, so vectors of two lists meet once and those of one list from both sides."""
-    kind, spread = _id_type(index), index.spark.sparkContext.broadcast(index.lists)
+    def __init__(self, row: tuple):
+        self.list, self.lo, self.hi, self.ids = row.list, row.lo, row.hi, np.asarray(row.ids)
+        self.u = np.frombuffer(row.block, "<f8").reshape(len(self.ids), -1)
+        self.place = (row.list, self.ids[0])
+
+    def reached(self, other: _Tile, lists: Lists, within: float) -> np.ndarray:
+        """Which of the vectors can have a partner in the other block."""
+        at = angles(self.u @ lists.centres[np.searchsorted(lists.numbers, other.list)])
+        return (at - within <= other.hi) & (at + within >= other.lo)
+
+
+def _groups(index: VectorIndex) -> int:
+    return max(LEAST_GROUPS, -(-8 * max(index.lists, default=1) * index.meta["vectors"] // GROUP_BYTES))
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                lists, ids = spread.value[row.dimension], np.asarray(row.ids)
-                u = np.frombuffer(row.block, "<f8").reshape(len(ids), -1)
-                hit = lists.reach(u, np.full(len(ids), threshold)) & (lists.numbers >= row.list)
-                out += [(int(lists.numbers[at]), row.list, ids[hit[:, at]], u[hit[:, at]].tobytes()) for at in np.flatnonzero(hit.any(axis=0))]
-            yield pd.DataFrame(out, columns=["list", "own", "asked", "asked_block"])
+
+def _dealt(index: VectorIndex) -> DataFrame:
+    """Blocks by two groups x and y, x not after y: those of x (side 0) before those of y (side 1)."""
+    groups = _groups(index)
+    blocks = index.blocks().withColumn("g", F.pmod(F.xxhash64("list", F.element_at("ids", 1)), F.lit(groups)).cast("int"))
+    rest = ["list", "ids", "lo", "hi", "block"]
+    first = blocks.select("dimension", F.col("g").alias("x"), F.explode(F.sequence("g", F.lit(groups - 1))).alias("y"), F.lit(0).alias("side"), *rest)
+    second = blocks.select("dimension", F.explode(F.sequence(F.lit(0), "g")).alias("x"), F.col("g").alias("y"), F.lit(1).alias("side"), *rest)
+    return first.unionByName(second).repartition(groups * (groups + 1) // 2, "dimension", "x", "y").sortWithinPartitions("dimension", "x", "y", "side", "list")
+
+
+def _meetings(index: VectorIndex, threshold: float, work: Callable, columns: str, condense: Callable | None = None) -> DataFrame:
+    """``work(cosines, ids of the rows, ids of the columns, whether both are the same block)`` for every two blocks, with their vectors that can reach the threshold.
+
+    Blocks are dealt into groups of ``GROUP_BYTES`` or so, and a task has two groups at a time: it holds the first and the blocks of the second pass by. So a vector is
+    sent once for each group, not for each list, and two blocks meet once. ``condense`` keeps of the rows of two groups those that still matter."""
+    spread = index.spark.sparkContext.broadcast(index.lists)
+    within = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + SLACK
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, first, held, n, most = None, [], [], 0, HELD_ROWS
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield work(np.clip(_products(row), -1.0, 1.0), np.asarray(row.asked), np.asarray(row.ids), row.own == row.list)
+                if key != (row.dimension, row.x, row.y):
+                    if held:
+                        yield condense(pd.concat(held)) if condense else pd.concat(held)
+                    key, first, held, n, most = (row.dimension, row.x, row.y), [], [], 0, HELD_ROWS
+                lists, b = spread.value[row.dimension], _Tile(row)
+                if row.side == 0:
+                    first.append(b)
+                    continue
+                for a in first:
+                    same = row.x == row.y and a.place == b.place
+                    if row.x == row.y and a.place > b.place:
+                        continue
+                    i, j = a.reached(b, lists, within), b.reached(a, lists, within)
+                    if same:
+                        i[:], j[:] = True, True
+                    if not (i.any() and j.any()):
+                        continue
+                    held.append(work(np.clip(a.u[i] @ b.u[j].T, -1.0, 1.0), a.ids[i], b.ids[j], same))
+                    n += len(held[-1])
+                    if n > most:
+                        some = pd.concat(held)
+                        if condense:
+                            held = [condense(some)]
+                            n = len(held[0])
+                            most = max(HELD_ROWS, 2 * n)
+                        else:
+                            yield some
+                            held, n = [], 0
+        if held:
+            yield condense(pd.concat(held)) if condense else pd.concat(held)
 
-    blocks = index.blocks()
-    asked = blocks.select("list", "dimension", "ids", "block").mapInPandas(ask, f"list int, own int, asked array<{kind}>, asked_block binary")
-    joined = asked.join(blocks.select("list", "ids", "block"), "list").select("list", "own", "asked", "asked_block", "ids", "block")
-    return joined.mapInPandas(meet, columns)
+    return _dealt(index).mapInPandas(meet, columns)
 
 
 def _id_type(index: VectorIndex) -> str:
@@ -387,19 +437,46 @@ def pairs_above(index: VectorIndex, threshold: float) -> DataFrame:
 
 def row_pairs_above(index: VectorIndex, threshold: float) -> DataFrame:
     """(a, b, score) of ``pairs_above`` for all rows: equal vectors in each other's place, and paired with each other."""
-    others = index.others()
-    found = pairs_above(index, threshold)
+    others, found = index.others(), pairs_above(index, threshold)
+    if others.isEmpty():
+        return found
+    # All rows of a repeated vector; pairs pass by once for each side.
+    members = others.unionByName(others.select("first", F.col("first").alias("id")).distinct())
     for side in ("a", "b"):
         rest = "b" if side == "a" else "a"
-        found = found.unionByName(found.join(others, F.col(side) == F.col("first")).select(F.col("id").alias(side), rest, "score"))
-    equal = others.select("first", F.col("id").alias("b")).join(others.unionByName(others.select("first", F.col("first").alias("id")).distinct()), "first").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("score")).where((F.col("a") < F.col("b")) & (F.lit(1.0) > threshold))
+        found = found.join(members, F.col(side) == F.col("first"), "left").select(F.coalesce("id", side).alias(side), rest, "score")
+    equal = others.select("first", F.col("id").alias("b")).join(members, "first").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("score")).where((F.col("a") < F.col("b")) & (F.lit(1.0) > threshold))
     return found.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
+def _first_rows(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The ``k`` best of (id, existing_id, score) of each id."""
+    return lambda rows: rows.sort_values(["id", "score", "existing_id"], ascending=[True, False, True]).groupby("id", sort=False).head(k)
+
+
+def most_alike_before(index: VectorIndex, above: float, k: int) -> DataFrame:
+    """(id, existing_id, score): for every row the ``k`` most alike of those with a smaller id, the first among equals (to twelve digits), of a cosine above ``above``.
+
+    The index must hold each row by itself, as ``build_index`` makes it with ``merge=False``."""
+
+    def best(cosines: np.ndarray, asked: np.ndarray, ids: np.ndarray, same: bool) -> pd.DataFrame:
+        cosines, found = np.round(cosines, 12), []
+        for s, new, old in ((cosines, asked, ids),) if same else ((cosines, asked, ids), (cosines.T, ids, asked)):
+            i, j = np.nonzero((s > above) & (old[None, :] < new[:, None]))
+            rows = pd.DataFrame({"id": new[i], "existing_id": old[j], "score": s[i, j]})
+            found.append(few(rows) if len(rows) > k * len(new) else rows)
+        return pd.concat(found)
+
+    few, kind = _first_rows(k), _id_type(index)
+    each = _meetings(index, above - SLACK, best, f"id {kind}, existing_id {kind}, score double", few)
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "existing_id"))
+    return each.withColumn("__n", place).where(F.col("__n") <= k).drop("__n")
+
+
 def best_before(index: VectorIndex, at_least: float) -> DataFrame:
     """(id, existing_id, score): for every row the most alike of those with a smaller id, the first among equals (to nine digits), if its cosine is ``at_least``.
 
-    A meeting of blocks gives one row a vector at most, and of equal vectors all but the first have that one."""
+    A meeting of two groups gives one row a vector at most, and of equal vectors all but the first have that one."""
 
     def best(cosines: np.ndarray, asked: np.ndarray, ids: np.ndarray, same: bool) -> pd.DataFrame:
         cosines, found = np.round(cosines, 9), []
@@ -412,7 +489,7 @@ def best_before(index: VectorIndex, at_least: float) -> DataFrame:
         return pd.concat(found)
 
     kind = _id_type(index)
-    each = _meetings(index, at_least - SLACK, best, f"id {kind}, existing_id {kind}, score double")
+    each = _meetings(index, at_least - SLACK, best, f"id {kind}, existing_id {kind}, score double", _first_rows(1))
     ranked = each.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "existing_id")).alias("m")).select("id", "m.existing_id", (-F.col("m.s")).alias("score"))
     ranked = cut_off(ranked)
     # An equal vector's first row scores 1, and only what scores 1 with that one as well can come before it.

@@ -239,3 +239,28 @@ def test_nothing_alike(spark):
     blank = {f.name: None for f in MEMORY}
     memories = spark.createDataFrame([tuple((blank | {"id": "a", "scope": "permanent", "visibility": "shared"})[f.name] for f in MEMORY)], MEMORY)
     assert lifecycle.consolidate(memories).collect() == []
+
+
+def test_a_task_holds_two_groups_and_two_blocks_meet_once(spark, vectors, index, monkeypatch):
+    """However small the groups are, and however few rows a task holds."""
+    rows, _ = vectors
+    ids, s = cosines(rows)
+    monkeypatch.setattr(vector_index, "GROUP_BYTES", 4096)
+    monkeypatch.setattr(vector_index, "HELD_ROWS", 50)
+    i, j = np.nonzero((s > 0.4) & (ids[:, None] < ids[None, :]))
+    got = [(r["a"], r["b"]) for r in vector_index.row_pairs_above(index, 0.4).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(zip(ids[i].tolist(), ids[j].tolist(), strict=True))
+    # A vector is sent once for each group and once more, not for each list.
+    assert vector_index._dealt(index).count() == index.blocks().count() * (vector_index._groups(index) + 1) and vector_index._groups(index) > vector_index.LEAST_GROUPS
+
+
+@pytest.mark.parametrize("block_rows", [100, 5000])
+def test_nearest_few_before(spark, vectors, block_rows):
+    rows, _ = vectors
+    ids, s = cosines(rows)
+    want = set()
+    for at, q in enumerate(ids.tolist()):
+        before = sorted((-round(s[at, k], 12), int(ids[k])) for k in np.flatnonzero((ids < q) & (s[at] > 0.5)))
+        want |= {(q, i) for _, i in before[:4]}
+    got = [(r["id"], r["existing_id"]) for r in search.nearest_few_before(frame(spark, vectors), 0.5, 4, block_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
