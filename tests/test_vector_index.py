@@ -264,3 +264,22 @@ def test_nearest_few_before(spark, vectors, block_rows):
         want |= {(q, i) for _, i in before[:4]}
     got = [(r["id"], r["existing_id"]) for r in search.nearest_few_before(frame(spark, vectors), 0.5, 4, block_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("rest", [0, 30])
+def test_take_in_by_pairs_like_a_plain_loop(spark, rest, monkeypatch):
+    """Random vectors in random order, alike to many, some equal; of stored and new rows."""
+    monkeypatch.setattr(greedy, "_mostly_single", lambda *_: True)
+    walked = []
+    monkeypatch.setattr(greedy, "_walk_pairs", lambda pairs, rows, plain=greedy._walk_pairs: walked.append(pairs.count()) or plain(pairs, rows))
+    rng = np.random.default_rng(5)
+    drawn = rng.normal(0, 1, (30, 4)).round(2)
+    rows = [(i, drawn[i % 26].tolist()) for i in range(30)]
+    seq, sizes, stored = rng.permutation(30).tolist(), rng.integers(1, 12, 30).tolist(), [4, 9, 27]
+    ids, s = cosines(rows)
+    want = plain_take_in([(i, seq[i], sizes[i]) for i in ids.tolist() if i not in stored], [(i, sizes[i]) for i in stored], lambda _, a, __, b: s[a, b], 0.6 - 1e-12)
+    df = spark.createDataFrame([(i, v, seq[i], "x" * sizes[i]) for i, v in rows], "id long, embedding array<double>, seq long, content string")
+    got = writes.batch_dedup(df.where(~F.col("id").isin(stored)), df.where(F.col("id").isin(stored)), 0.6, rest_rows=rest, rest_links=rest).collect()
+    assert {r["id"]: (r["status"], r["existing_id"]) for r in got} == want
+    # Settled by rounds alone, or by rounds and a walk.
+    assert len(walked) == (rest > 0) and all(n <= rest for n in walked)
