@@ -109,16 +109,25 @@ def memories_of_facts(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("id").alias("fact_id"), F.explode("source_memory_ids").alias("memory_id")).distinct()
 
 
+def _new_enough(mine: DataFrame, lists: DataFrame, most: int) -> DataFrame:
+    """(id, candidate_id, created_at): what the lists (src, candidate_id, created_at, __n) of its entities (src, id) have for a memory, as new as the newest last row of a full one."""
+    last = lists.where(F.col("__n") == most + 1).select("src", F.col("created_at").alias("oldest"))
+    bounds = mine.join(last, "src").groupBy("id").agg(F.max("oldest").alias("oldest"))
+    met = mine.join(bounds, "id", "left").join(lists, "src").where("id <> candidate_id AND (oldest IS NULL OR created_at IS NULL OR created_at >= oldest)")
+    return met.select("id", "candidate_id", "created_at")
+
+
 def linked_by_entity(memories: DataFrame, facts: DataFrame, most: int = 20) -> DataFrame:
     """(id, candidate_id, rank): for each of (id, created_at) the newest ``most`` other memories that active facts of its entities name.
 
     Each entity keeps its newest ``most`` and one more (the memory itself may be among them) before it meets its memories, so a hub that names
-    a third of all memories costs each of them no more rows than any entity."""
+    a third of all memories costs each of them no more rows than any entity. A full list has ``most`` others, so what is older than the last
+    of it is not among the newest of any memory in it; a memory takes from all its lists only what is as new as the newest of these last ones."""
     newest = lambda group: F.row_number().over(W.partitionBy(group).orderBy(F.desc("created_at"), "candidate_id"))
     known = memories.select(F.col("id").alias("candidate_id"), "created_at")
     named = cut_off(undirected(facts).select("src", F.explode("source_memory_ids").alias("candidate_id")).distinct().join(known, "candidate_id"))
-    lists = named.withColumn("__n", newest("src")).where(F.col("__n") <= most + 1).drop("__n")
-    met = named.select("src", F.col("candidate_id").alias("id")).join(lists, "src").where("id <> candidate_id").select("id", "candidate_id", "created_at").distinct()
+    lists = cut_off(named.withColumn("__n", newest("src")).where(F.col("__n") <= most + 1))
+    met = _new_enough(named.select("src", F.col("candidate_id").alias("id")), lists, most).distinct()
     return met.withColumn("rank", newest("id")).where(F.col("rank") <= most).select("id", "candidate_id", "rank")
 
 

@@ -314,3 +314,19 @@ def test_linked_by_entity_takes_the_newest(spark):
     facts = edges(spark, *[(f"f{i}", "hub", f"e{i}", [f"m{i}"], None) for i in range(6)], ("g", "e0", "x", ["m0", "gone"], None), ("h", "hub", "y", ["m5"], day(3)))
     got = {(r["id"], r["rank"]): r["candidate_id"] for r in graph.linked_by_entity(memories, facts, 2).collect()}
     assert got == {(f"m{i}", n + 1): c for i in range(6) for n, c in enumerate([f"m{k}" for k in range(5, -1, -1) if k != i][:2])}
+
+
+def test_a_memory_of_many_entities_takes_few_of_their_rows(spark):
+    """Thirty hubs with a newest memory each, all of which name m0: the newest list alone has enough for it."""
+    start = datetime(2024, 1, 1)
+    memories = table(spark, {"id": "m0", "created_at": start}, *[{"id": f"m{h}-{i}", "created_at": start + timedelta(hours=10 * h + i + 1)} for h in range(30) for i in range(3)])
+    facts = edges(spark, *[(f"f{h}-{m}", f"hub{h}", f"x{h}-{m}", [m], None) for h in range(30) for m in ("m0", *(f"m{h}-{i}" for i in range(3)))])
+    taken = []
+    plain = graph._new_enough
+    graph._new_enough = lambda *a: taken.append(plain(*a)) or taken[0]
+    try:
+        got = [(r["candidate_id"], r["rank"]) for r in graph.linked_by_entity(memories, facts, 2).where("id = 'm0'").collect()]
+    finally:
+        graph._new_enough = plain
+    assert sorted(got, key=lambda r: r[1]) == [("m29-2", 1), ("m29-1", 2)]
+    assert taken[0].where("id = 'm0'").count() == 3  # not three for each hub
