@@ -283,3 +283,20 @@ def test_take_in_by_pairs_like_a_plain_loop(spark, rest, monkeypatch):
     assert {r["id"]: (r["status"], r["existing_id"]) for r in got} == want
     # Settled by rounds alone, or by rounds and a walk.
     assert len(walked) == (rest > 0) and all(n <= rest for n in walked)
+
+
+@pytest.mark.parametrize("rest", [0, 400])
+def test_thin_out_of_rows_alike_to_many_takes_few_rounds(spark, rest, monkeypatch):
+    """Where each row is alike to many, all rows are within two links of each other; they don't wait for each other one by one."""
+    made, walked = [], []
+    monkeypatch.setattr(greedy, "cut_off", lambda df, plain=greedy.cut_off: made.append(1) or plain(df))
+    monkeypatch.setattr(greedy, "_walk_met", lambda pairs, placed, plain=greedy._walk_met: walked.append(pairs.count()) or plain(pairs, placed))
+    rng = np.random.default_rng(8)
+    vectors, trust, place = rng.normal(0, 1, (150, 6)).round(2), rng.integers(0, 9, 150).tolist(), rng.permutation(150).tolist()
+    ids, s = cosines([(i, v.tolist()) for i, v in enumerate(vectors)])
+    want = plain_thin_out(list(zip(ids.tolist(), place, trust, strict=True)), lambda a, b: s[a, b] > 0.5)
+    df = spark.createDataFrame([(i, v.tolist(), place[i], trust[i]) for i, v in enumerate(vectors)], "id long, embedding array<double>, place long, trust long")
+    classes, links = greedy.alike_classes(df.select("id", "embedding"), 0.5)
+    found = greedy.thin_out(df.drop("embedding").join(classes, "id").select("id", "class", "place", "trust"), links, rest_rows=rest, rest_links=rest).collect()
+    assert {r["id"] for r in found} == want and len(found) == len(want) > 50
+    assert len(made) <= 20 and len(walked) == (rest > 0) and all(n <= rest for n in walked)
