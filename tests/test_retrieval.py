@@ -46,6 +46,29 @@ def test_most_shared_is_exact(spark, texts, monkeypatch, k, room):
     assert got == plain_most_shared(asked, docs, k)
 
 
+@pytest.mark.parametrize("k", [1, 3, 500])
+def test_most_shared_by_blocks_is_exact(spark, texts, monkeypatch, k):
+    monkeypatch.setattr(retrieval, "FEW_MEETINGS", 0)
+    monkeypatch.setattr(retrieval, "BLOCK_SAID", 300)
+    monkeypatch.setattr(retrieval, "BLOCK_ASKED", 120)
+    asked, docs = texts
+    q = spark.createDataFrame(asked, "scope int, question_id string, question string")
+    d = spark.createDataFrame(docs, "scope int, doc_id long, content string")
+    got = {(r["question_id"], r["doc_id"]): (r["shared"], r["rank"]) for r in retrieval.most_shared(q, d, k).collect()}
+    assert got == plain_most_shared(asked, docs, k)
+
+
+def test_what_shares_words_often_is_not_joined(spark):
+    """300 questions and 5000 documents share 30 words each: 45 million meetings, of which joins make a row each."""
+    common = " ".join(f"common{i}" for i in range(30))
+    q = spark.range(300).selectExpr("0 as scope", "id as question_id", f"concat('{common} rare', id) as question")
+    d = spark.range(5000).selectExpr("0 as scope", "id as doc_id", f"concat('{common} rare', id % 1000) as content")
+    found = retrieval.most_shared(q, d, 3)
+    assert {(r["question_id"], r["doc_id"], r["rank"]) for r in found.collect()} == {(i, i + 1000 * n, n + 1) for i in range(300) for n in range(3)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan
+
+
 def test_no_documents_or_questions(spark, texts):
     q = spark.createDataFrame(texts[0], "scope int, question_id string, question string")
     d = spark.createDataFrame(texts[1], "scope int, doc_id long, content string")
