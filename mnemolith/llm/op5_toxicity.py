@@ -25,6 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .common import cut, documents, labels
 from .labelled import TRAINING_ROWS, held_out, training_sample
 from .word_cache import WordCache
@@ -94,7 +95,10 @@ class NoisyOr:
         placed = sample.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)))
         ordered = placed.repartition(n_parts, "part").sortWithinPartitions("part", "doc_id", "features").select("part", "label", "features", "per_token", "sizes")
         each = lambda rows: ((p, Occurrences.of(mine, sent.value, importance)) for p, mine in groupby(rows, key=lambda r: r["part"]))
+        shared_dir(sample.sparkSession)
         parts = ordered.rdd.mapPartitions(each).coalesce(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
+        # Each step is a job; without what came before the parts, the driver keeps one small stage of each.
+        parts.checkpoint()
         in_order = lambda found: [x for _, x in sorted(found, key=lambda x: x[0])]
         mass = sum(in_order(parts.mapValues(Occurrences.mass).collect()), np.zeros(len(keys)))
         weights, bias = np.zeros(len(keys)), float(np.log(max(importance[1] * about[1]["docs"], 1e-4) / (sum(r["sentences"] for r in about.values()) / n_docs)))
