@@ -13,6 +13,7 @@ from ..session import cut_off
 from .filters import SearchFilters
 from .greedy import alike_classes, places, thin_out
 from .search import similar_pairs
+from .vector_index import has_direction
 
 SESSION_HOURS = 24
 
@@ -71,7 +72,7 @@ def consolidate(memories: DataFrame, threshold: float = 0.92, **rest: int) -> Da
     """(id) of permanent memories to delete: newest first, each kept row is compared with the later ones; of two alike the more confident stays, and a row that goes stops comparing.
 
     The comparisons are settled in rounds over all rows, see ``greedy``; ``rest`` bounds what is left to one task."""
-    rows = _permanent(memories)
+    rows = cut_off(_permanent(memories).where(has_direction(F.col("embedding"))).select("id", "embedding", "created_at", "confidence"))
     classes, links = alike_classes(rows, threshold)
     newest = F.coalesce(-F.unix_micros("created_at"), F.lit((1 << 63) - 1))
     ordered = rows.select("id", places(newest, F.col("id")).alias("place"), F.coalesce("confidence", F.lit(0.0)).alias("trust"))
@@ -134,17 +135,19 @@ class LifecycleRun:
 def run_phases(memories: DataFrame, now: datetime, steps: Mapping[str, Phase] | None = None, dry_run: bool = False) -> LifecycleRun:
     """Run the phases (those of ``phases`` if none are given) one after the other; each sees what the ones before it left, in a dry run all.
 
-    Rows of a phase go, but for conflicts, whose groups are resolved. A phase that fails when it is run is reported, and the others go on."""
+    Rows of a phase go, but for conflicts, whose groups are resolved. A phase that fails when it is run is reported, and the others go on. Only the ids
+    that phases name are stored: what is left is the memories without them, so a phase reads no columns but its own."""
     left, did, report = memories, [], []
     for name, step in (phases(now) if steps is None else steps).items():
         try:
             hit = cut_off(step(left).select("id").distinct().withColumn("action", F.lit(name)))
             n = hit.count()
-            after = left if dry_run or not n else cut_off(resolve_conflicts(left) if name == "conflicts" else left.join(hit, "id", "left_anti"))
         except Exception as e:  # noqa: BLE001  whatever stops one phase, the others are to go on
             report.append((name, 0, (str(e).splitlines() or [type(e).__name__])[0]))
             continue
-        left, did = after, [*did, hit]
+        did.append(hit)
+        if n and not dry_run:
+            left = resolve_conflicts(left) if name == "conflicts" else left.join(hit.select("id"), "id", "left_anti")
         report.append((name, n, None))
     spark = memories.sparkSession
     actions = memories.select("id", F.lit("").alias("action")).limit(0)

@@ -90,6 +90,15 @@ def test_lifecycle_phases(spark):
     assert lifecycle.run_phases(rows.limit(0), NOW).checked().actions.isEmpty()
 
 
+def test_phases_store_no_contents(spark, monkeypatch):
+    """Tables of whole memories were written and read again after each phase."""
+    stored, cut_off = [], lifecycle.cut_off
+    monkeypatch.setattr(lifecycle, "cut_off", lambda df: stored.append(set(df.columns)) or cut_off(df))
+    run = lifecycle.run_phases(stale(spark), NOW).checked()
+    assert stored and not any(columns & {"content", "tags", "metadata"} for columns in stored)
+    assert {r["id"] for r in run.memories.collect()} == {"c1", "c2", "old"}
+
+
 def test_a_phase_that_fails_is_reported_and_the_rest_goes_on(spark):
     steps = lifecycle.phases(NOW) | {"decayed": lambda m: m.where(F.assert_true(F.col("id") == "", F.lit("no such table")).isNull()), "consolidated": lambda m: 1 / 0}
     run = lifecycle.run_phases(stale(spark), NOW, steps)
