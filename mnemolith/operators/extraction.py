@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import member_or, trimmed
@@ -33,7 +34,7 @@ Extractor = Callable[[str], list[dict]]
 class Extraction:
     entities: DataFrame  # (id, name, type, is_new) of every name found
     links: DataFrame  # (entity_id, memory_id)
-    facts: DataFrame  # (id, source_entity_id, target_entity_id, relation_type, fact)
+    facts: DataFrame  # (id, source_entity_id, target_entity_id, relation_type, fact, memories): how many memories say it
     fact_links: DataFrame  # (fact_id, memory_id)
     counts: DataFrame  # (entities_extracted, facts_extracted, errors), one row
 
@@ -65,6 +66,10 @@ def _key(name: str) -> Column:
     return F.lower(trimmed(F.col(name)))
 
 
+def _new_id(key: str) -> Column:
+    return F.sha2(F.concat(F.lit("entity:"), key), 256)
+
+
 def _named(parts: tuple[str, ...]) -> Column:
     return F.sha2(F.to_json(F.array(*parts)), 256)
 
@@ -78,10 +83,11 @@ def extract(memories: DataFrame, entities: DataFrame, load_entities: Callable[[]
     mentions = cut_off(said.where("key <> ''"))
     first = F.min_by(F.struct("name", "type"), F.struct("memory_id", "pos")).alias("first")
     known = entities.select("id", _key("name").alias("key")).groupBy("key").agg(F.min("id").alias("known_id"))
-    names = cut_off(
-        mentions.groupBy("key").agg(first).join(known, "key", "left").select("key", F.coalesce("known_id", F.sha2(F.concat(F.lit("entity:"), "key"), 256)).alias("id"), "first.name", member_or(F.col("first.type"), ENTITY_TYPES, "concept").alias("type"), F.col("known_id").isNull().alias("is_new"))
-    )
-    links = mentions.join(names.select("key", F.col("id").alias("entity_id")), "key").select("entity_id", "memory_id").distinct()
+    named = mentions.groupBy("key").agg(first).join(known, "key", "left").withColumn("id", F.coalesce("known_id", _new_id("key")))
+    # Rows on the way hold an entity by its first key and the id that the graph gave it, if any: less than its id, and the same for all keys of one.
+    same = W.partitionBy("id")
+    names = cut_off(named.select("key", "id", F.min("key").over(same).alias("entity"), F.max("known_id").over(same).alias("given"), "first.name", member_or(F.col("first.type"), ENTITY_TYPES, "concept").alias("type"), F.col("known_id").isNull().alias("is_new")))
+    links = mentions.select("key", "memory_id").join(names.select("key", "entity", "given"), "key").select("entity", "given", "memory_id").distinct().select(F.coalesce("given", _new_id("entity")).alias("entity_id"), "memory_id")
     failed = lambda rows: rows.agg(F.count_if(F.col("found").isNull()).alias("failed"))
 
     if names.isEmpty():
@@ -89,17 +95,20 @@ def extract(memories: DataFrame, entities: DataFrame, load_entities: Callable[[]
     else:
         told = _looked_for(memories, load_facts, FACT_FIELDS)
     stated = told.select("memory_id", F.explode("found").alias("f")).select("memory_id", _key("f.source_name").alias("source_key"), _key("f.target_name").alias("target_key"), F.col("f.relation_type").alias("relation_type"), F.coalesce("f.fact", F.lit("")).alias("fact"))
-    end = lambda side: names.select(F.col("key").alias(f"{side}_key"), F.col("id").alias(f"{side}_entity_id"))
-    both = stated.join(end("source"), "source_key").join(end("target"), "target_key").where("source_entity_id <> target_entity_id")
+    end = lambda side: names.select(F.col("key").alias(f"{side}_key"), F.col("entity").alias(f"{side}_entity"), F.col("given").alias(f"{side}_given"))
+    both = stated.join(end("source"), "source_key").join(end("target"), "target_key").where("source_entity <> target_entity")
+    short = ("source_entity", "source_given", "target_entity", "target_given", "relation_type", "fact")
+    placed = cut_off(both.withColumn("relation_type", F.coalesce(normalise_relation("relation_type"), F.lit("RELATES_TO"))).groupBy(*short, "memory_id").agg(F.count(F.lit(1)).alias("times")))
+    ids = [F.coalesce(f"{side}_given", _new_id(f"{side}_entity")).alias(f"{side}_entity_id") for side in ("source", "target")]
     columns = ("source_entity_id", "target_entity_id", "relation_type", "fact")
-    placed = cut_off(both.withColumn("relation_type", F.coalesce(normalise_relation("relation_type"), F.lit("RELATES_TO"))).select(_named(columns).alias("id"), *columns, "memory_id"))
+    whole = lambda rows, rest: rows.select(*ids, "relation_type", "fact", rest).select(_named(columns).alias("id"), *columns, rest)
 
-    counts = mentions.agg(F.count(F.lit(1)).alias("entities_extracted")).join(F.broadcast(placed.agg(F.count(F.lit(1)).alias("facts_extracted"))), how="cross")
+    counts = mentions.agg(F.count(F.lit(1)).alias("entities_extracted")).join(F.broadcast(placed.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("facts_extracted"))), how="cross")
     errors = failed(asked).unionByName(failed(told)).agg(F.sum("failed").alias("errors"))
     return Extraction(
         names.select("id", "name", "type", "is_new"),
         links,
-        placed.select("id", *columns).distinct(),
-        placed.select(F.col("id").alias("fact_id"), "memory_id").distinct(),
+        whole(placed.groupBy(*short).agg(F.count(F.lit(1)).alias("memories")), "memories"),
+        whole(placed, "memory_id").select(F.col("id").alias("fact_id"), "memory_id"),
         counts.join(F.broadcast(errors), how="cross"),
     )

@@ -60,6 +60,21 @@ def test_repeated_rows_and_blank_names(spark):
     assert got.counts.first().asDict() == {"entities_extracted": 4, "facts_extracted": 0, "errors": 0}
 
 
+def test_extraction_stores_short_rows(spark, monkeypatch):
+    """Each statement was stored and sent with three hashes. Names of one entity are one on the way, too."""
+    stored, cut_off = [], extraction.cut_off
+    monkeypatch.setattr(extraction, "cut_off", lambda df: stored.append(set(df.columns)) or cut_off(df))
+    texts = spark.createDataFrame([(1, "Alexandria elephantine unheardof"), (1, "Alexandria elephantine unheardof"), (2, "alexandria unheardof"), (3, "Alexandria unheardof")], "id int, content string")
+    got = extraction.extract(texts, spark.createDataFrame([("k", "alexandria"), ("k", "elephantine")], "id string, name string"), long_words, next_words)
+    assert not any({"source_entity_id", "target_entity_id"} & columns for columns in stored)
+    (new,) = (r["id"] for r in got.entities.where("is_new").collect())
+    assert sorted(map(tuple, got.links.collect())) == sorted([("k", 1), ("k", 2), ("k", 3), (new, 1), (new, 2), (new, 3)])
+    facts = {r["fact"]: r for r in got.facts.collect()}
+    assert {f: (r["source_entity_id"], r["target_entity_id"], r["memories"]) for f, r in facts.items()} == {f: ("k", new, 1) for f in ("elephantine uses unheardof", "alexandria uses unheardof", "Alexandria uses unheardof")}
+    assert sorted(map(tuple, got.fact_links.collect())) == sorted((facts[f"{w} uses unheardof"]["id"], n) for w, n in (("elephantine", 1), ("alexandria", 2), ("Alexandria", 3)))
+    assert got.counts.first().asDict() == {"entities_extracted": 10, "facts_extracted": 4, "errors": 0}
+
+
 def stale(spark):
     old = NOW - timedelta(days=3)
     pair = {"conflict_status": "active", "conflict_group_id": "g", "scope": "permanent", "created_at": old}
