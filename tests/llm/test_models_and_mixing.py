@@ -217,6 +217,24 @@ def test_many_chunks_meet_in_a_tree(spark, monkeypatch):
     assert len(got) == 1200 and (abs(by["taken"] - by["target"]) <= 9).all()
 
 
+def test_rows_and_tables_share_their_workers(spark):
+    """Toxicity is trained on rows and scored on a table; workers of each kind, with what they hold, stayed beside those of the other."""
+
+    def forks(batches):
+        import os
+
+        for _ in batches:
+            yield pd.DataFrame({"of": [os.getppid()]})
+
+    def fork(_):
+        import os
+
+        return os.getppid()
+
+    of_tables = {r["of"] for r in spark.range(8).mapInPandas(forks, "of long").collect()}
+    assert set(spark.sparkContext.parallelize(range(8)).map(fork).collect()) == of_tables and len(of_tables) == 1
+
+
 def test_pipeline(spark, small):
     """Each stage on what its predecessor kept, against brute force."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
