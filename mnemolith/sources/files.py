@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,11 @@ def write_csv(memories: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_csv`` wrote; a field may hold line ends."""
+    """What ``write_csv`` wrote; a field may hold line ends. Null is a field without quotes, and an empty text one with nothing between them.
+
+    Spark takes what equals ``nullValue`` for null, quoted or not, so that is a name which no text has; without a mark for escaped quotes it loses zero characters."""
     schema = ", ".join(f"{c} {'timestamp' if c == 'created_at' else 'long' if c == 'access_count' else 'string'}" for c in CSV_COLUMNS)
-    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(path)
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True, nullValue=uuid.uuid4().hex, charToEscapeQuoteEscaping='"').csv(path)
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:

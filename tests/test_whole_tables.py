@@ -10,6 +10,7 @@ from mnemolith.operators import graph
 from mnemolith.operators.chunks import split_by_size
 from mnemolith.plans import records
 from mnemolith.schema import FACT
+from mnemolith.sources import files
 from mnemolith.sources import tables as T
 
 
@@ -103,3 +104,12 @@ def test_names_holding(spark):
     a = spark.createDataFrame(asked, "id string, name string").withColumn("embedding", F.array(F.lit(1.0)))
     got = sorted((r["id"], r["entity_id"]) for r in graph.names_holding(a, k).select("id", "entity_id").collect())
     assert got == sorted((i, e) for i, n in asked if n is not None for e, m in known if n.lower() in m.lower())
+
+
+def test_csv_keeps_odd_texts(spark, small, tmp_path):
+    """Empty texts are not null, and zero characters, quotes and line ends stay, over more than one of the reader's buffers."""
+    odd = ["", None, " ", '"', '""', "a\0b", '"\0"', "\0\n,", "a\r\nb\r", "\\", '\\"', "x," * 600_000 + "\0\"\n"]
+    rows = T.memories(spark, small).withColumn("content", F.element_at(F.array(*[F.lit(t) for t in odd]), (F.col("id") % len(odd) + 1).cast("int"))).withColumn("project", F.when(F.col("id") % 2 == 0, ""))
+    files.write_csv(rows, str(tmp_path / "csv"))
+    got = {r["id"]: (r["content"], r["project"]) for r in files.read_csv(spark, str(tmp_path / "csv")).collect()}
+    assert got == {str(r["id"]): (r["content"], r["project"]) for r in files.csv_rows(rows).collect()}
