@@ -10,6 +10,7 @@ from mnemolith.operators import greedy, lifecycle, search, vector_index, writes
 from mnemolith.operators.filters import SearchFilters
 from mnemolith.operators.vector_index import build_index, ensure_index, neighbours, open_index
 from mnemolith.schema import MEMORY
+from mnemolith.session import cut_off
 
 
 def unit(m):
@@ -300,3 +301,36 @@ def test_thin_out_of_rows_alike_to_many_takes_few_rounds(spark, rest, monkeypatc
     found = greedy.thin_out(df.drop("embedding").join(classes, "id").select("id", "class", "place", "trust"), links, rest_rows=rest, rest_links=rest).collect()
     assert {r["id"] for r in found} == want and len(found) == len(want) > 50
     assert len(made) <= 20 and len(walked) == (rest > 0) and all(n <= rest for n in walked)
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    """A checkpoint had the estimate of its plan, a product of its sides', whose digits tripled with every round; the estimates of indexed_notes took minutes."""
+    rows = spark.range(60).select("id", (F.col("id") % 7).alias("class"))
+    for _ in range(5):
+        firsts = cut_off(rows.groupBy("class").agg(F.min("id").alias("first")))
+        rows = cut_off(rows.join(firsts, "class").join(firsts.withColumnRenamed("first", "again"), "class").select("id", "class"))
+    assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 30
+    assert sorted(map(tuple, rows.collect())) == [(i, i % 7) for i in range(60)]
+
+
+@pytest.mark.parametrize("kind", ["chain", "mixed", "lengths"])
+@pytest.mark.parametrize("block_rows", [6, 2000])
+def test_first_come_like_a_plain_loop(spark, kind, block_rows, monkeypatch):
+    monkeypatch.setattr(vector_index, "ASKED_BYTES", 200)
+    rng = np.random.default_rng(5)
+    threshold = 0.9
+    if kind == "chain":
+        turn = rng.permutation(14) * 0.3
+        vectors = [[float(np.cos(t)), float(np.sin(t)), 0.1] for t in turn]
+    else:
+        centres = rng.normal(0, 1, (6, 8))
+        vectors = [(centres[i % 6] + rng.normal(0, 0.3, 8)).tolist()[: 5 if kind == "lengths" and i % 3 == 0 else 8] for i in range(90)]
+        vectors += vectors[10:16]
+    rows = list(enumerate(vectors, -3))
+    plain, held, want = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows], [], []
+    for i, u in plain:
+        if i < 0 or not any(len(u) == len(w) and u @ w > threshold for w in held):
+            held.append(u)
+            want += [i] if i >= 0 else []
+    got = greedy.first_come(spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3), threshold, block_rows).collect()
+    assert sorted(r["id"] for r in got) == want and len(want) < len(rows) - 3
