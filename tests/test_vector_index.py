@@ -334,3 +334,21 @@ def test_first_come_like_a_plain_loop(spark, kind, block_rows, monkeypatch):
             want += [i] if i >= 0 else []
     got = greedy.first_come(spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3), threshold, block_rows).collect()
     assert sorted(r["id"] for r in got) == want and len(want) < len(rows) - 3
+
+
+@pytest.mark.parametrize("passing", [1, 250])
+def test_pairs_pass_a_walk_by(spark, passing, monkeypatch):
+    """More pairs than are held at once: they went in rounds, at 1 GB in so many that the job did not end."""
+    stored, cut = [], greedy.cut_off
+    monkeypatch.setattr(greedy, "cut_off", lambda df: stored.append(df.columns) or cut(df))
+    monkeypatch.setattr(greedy, "PASSING", passing, raising=False)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.cos(t)), float(np.sin(t)), 0.2]) for i, t in enumerate(rng.uniform(0, 6, 60))]
+    sizes = rng.integers(1, 30, 60).tolist()
+    old = [3, 20, 21]
+    ids, s = cosines(rows)
+    want = plain_take_in([(i, i * 5 % 71, sizes[i]) for i in ids.tolist() if i not in old], [(i, sizes[i]) for i in old], lambda _, a, __, b: s[a, b], 0.9 - 1e-12)
+    df = spark.createDataFrame([(i, v, i * 5 % 71, "x" * sizes[i]) for i, v in rows], "id long, embedding array<double>, seq long, content string")
+    got = writes.batch_dedup(df.where(~F.col("id").isin(old)), df.where(F.col("id").isin(old)), 0.9, rest_rows=30, rest_links=30).collect()
+    assert {r["id"]: (r["status"], r["existing_id"]) for r in got} == want
+    assert passing == 1 or sum("y_size" in columns for columns in stored) <= 2
