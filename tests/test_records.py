@@ -330,3 +330,15 @@ def test_a_memory_of_many_entities_takes_few_of_their_rows(spark):
         graph._new_enough = plain
     assert sorted(got, key=lambda r: r[1]) == [("m29-2", 1), ("m29-1", 2)]
     assert taken[0].where("id = 'm0'").count() == 3  # not three for each hub
+
+
+def test_texts_are_lowered_once(spark, monkeypatch):
+    """The condition on signals was pushed below the dealing out of the texts, where it lowered each text for every phrase."""
+    plans, cut = [], contradiction.cut_off
+    monkeypatch.setattr(contradiction, "cut_off", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    new = spark.createDataFrame([("n1", "She works at Initech")], "id string, content string")
+    near = spark.createDataFrame([], "id string, candidate_id string, score double")
+    memories = spark.createDataFrame([("m1", "Old", datetime(2024, 1, 1))], "id string, content string, created_at timestamp")
+    facts = spark.createDataFrame([], "id string, source_entity_id string, target_entity_id string, relation_type string, fact string, expired_at timestamp, source_memory_ids array<string>")
+    contradiction.find_contradictions(new, near, memories, facts)
+    assert plans[0].count("lower(") == 1
